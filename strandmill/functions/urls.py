@@ -6,6 +6,8 @@ resolved inside one array transform, without a UDF and without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,7 @@ QUERY_AND_FRAGMENT = r"^[^?#]*((?:\?[^#]*)?(?:#.*)?)$"
 OPAQUE = r"^[a-zA-Z][a-zA-Z0-9+.-]*:[^/]"
 HTTP = r"(?i)^https?://.*"
 # What a URI may not contain.
-CONTROLS_AND_SPACES = (
-    r"[\x00-\x20\x7f\u0080-   -     　]"
-)
+CONTROLS_AND_SPACES = r"[\x00-\x20\x7f\u0080-   -     　]"
 RESERVED = r'["<>\\^`{|}]'
 BROKEN_ESCAPE = r"%(?![0-9a-fA-F]{2})"
 BROKEN_SCHEME = r"^(?![a-zA-Z][a-zA-Z0-9+.-]*:)[^/?#:]*:|^[^/?#]*:$"
@@ -57,35 +57,46 @@ def _without_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(folded, "/")).otherwise(path)
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """The absolute form of ``link`` on page ``base``; both must be parsable."""
-    base_scheme = F.concat(F.regexp_extract(base, SCHEME, 1), F.lit(":"))
-    base_authority = F.regexp_extract(base, AUTHORITY, 1)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def page_parts(base: Column) -> Column:
+    """What links are resolved against, taken apart once per page."""
     base_path = F.regexp_extract(base, PATH, 1)
+    return F.struct(
+        base.alias("url"),
+        F.concat(F.regexp_extract(base, SCHEME, 1), F.lit(":")).alias("scheme"),
+        F.regexp_extract(base, AUTHORITY, 1).alias("authority"),
+        F.regexp_extract(base_path, r"^(.*/)", 1).alias("folder"),
+        base.rlike(OPAQUE).alias("opaque"),
+        is_parsable(base).alias("parsable"),
+    )
+
+
+def resolve(page: Column, link: Column) -> Column:
+    """The absolute form of a parsable ``link`` on a page given by its parts."""
     path = F.regexp_extract(link, PATH, 1)
     tail = F.regexp_extract(link, QUERY_AND_FRAGMENT, 1)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
+    site = F.concat(page["scheme"], page["authority"])
     return (
-        F.when(link.rlike(SCHEME) | base.rlike(OPAQUE), link)
-        .when(link.startswith("//"), F.concat(base_scheme, link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .when(link.startswith("/"), F.concat(base_scheme, base_authority, path, tail))
+        F.when(link.rlike(SCHEME) | page["opaque"], link)
+        .when(link.startswith("//"), F.concat(page["scheme"], link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(page["url"], "#.*$", ""), link))
+        .when(link.startswith("/"), F.concat(site, path, tail))
         .otherwise(
-            F.concat(
-                base_scheme, base_authority, _without_dot_segments(F.concat(folder, path)), tail
-            )
+            let(F.concat(page["folder"], path), lambda p: F.concat(site, _without_dot_segments(p), tail))
         )
     )
 
 
-def normalise(base: Column, link: Column) -> Column:
-    """``link`` cut at its query and made absolute.
+def normalise(page: Column, link: Column) -> Column:
+    """``link`` cut at its query and made absolute; ``page`` is from :func:`page_parts`.
 
     An unparsable page address gives an empty string; an unparsable link stays as cut.
     """
     cut = F.when(F.instr(link, "?") > 1, F.substring_index(link, "?", 1)).otherwise(link)
-    return (
-        F.when(~is_parsable(base), F.lit(""))
-        .when(~is_parsable(cut), cut)
-        .otherwise(resolve(base, cut))
+    return F.when(~page["parsable"], F.lit("")).otherwise(
+        let(cut, lambda kept: F.when(is_parsable(kept), resolve(page, kept)).otherwise(kept))
     )

@@ -82,3 +82,12 @@ def drop_marker(pieces: DataFrame, marker: str, exact: bool, starts_record: Colu
         opens = (F.col("block") == 0) & F.col("piece").startswith(marker)
     stripped = F.when(opens & candidate, F.expr("substring(piece, 2)")).otherwise(F.col("piece"))
     return pieces.withColumn("piece", stripped)
+
+
+def small_per_split(per_split: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Broadcast a table of one row per file split, while the splits are few enough.
+
+    A task reads at most 32 files at the default settings, so 20,000 tasks bound the
+    table by 640,000 rows. Beyond that Spark joins it by shuffle.
+    """
+    return F.broadcast(per_split) if pieces.rdd.getNumPartitions() <= 20_000 else per_split

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill import schemas
-from strandmill.sources.lines import Paths, read_pieces, write_lines
+from strandmill.sources.lines import Paths, read_pieces, small_per_split, write_lines
 
 MARK = b"WARC/"
 SEPARATOR = "\nWARC/"
@@ -78,36 +78,51 @@ def _as_row(lines: list[bytes], content: bytes, truncated: bool) -> dict:
     }
 
 
+def _cut(data: bytes) -> Iterator[bytes]:
+    """``data`` cut at the separator, which is lost."""
+    at = 0
+    while (found := data.find(b"\n" + MARK, at)) >= 0:
+        yield data[at:found]
+        at = found + 1 + len(MARK)
+    yield data[at:]
+
+
 def split_records(pieces: Iterable[bytes]) -> Iterator[dict]:
     """Records of one file part, from its pieces in order.
 
     Bytes between a payload and the next mark are skipped. A record the bytes do not
     suffice for comes last, with ``truncated`` set.
     """
-    open_record = b""
+    parts: list[bytes] = []  # of the open record
+    have = wanted = 0
+    header = None
     for piece in pieces:
-        if open_record:
-            open_record += b"\n" + MARK + piece
+        if parts:
+            parts.append(b"\n" + MARK + piece)
         else:
-            open_record = piece if piece.startswith(MARK) else MARK + piece
-        while open_record:
-            header = _read_header(open_record)
+            parts = [piece if piece.startswith(MARK) else MARK + piece]
+            have, wanted, header = 0, 0, None
+        have += len(parts[-1])
+        while parts and have >= wanted:
+            data = b"".join(parts)
+            parts = [data]
+            header = header or _read_header(data)
             if header is None:
                 break
             lines, length, at = header
-            if len(open_record) < at + length:
+            wanted = at + length
+            if have < wanted:
                 break
-            yield _as_row(lines, open_record[at : at + length], False)
+            yield _as_row(lines, data[at:wanted], False)
             # another mark may follow the payload at once or on a later line
-            rest = open_record[at + length :]
-            if not rest.startswith(MARK):
-                next_mark = rest.find(b"\n" + MARK)
-                rest = rest[next_mark + 1 :] if next_mark >= 0 else b""
-            open_record = rest
-    if open_record:
-        header = _read_header(open_record)
-        lines, at = (header[0], header[2]) if header else ([], len(open_record))
-        yield _as_row(lines, open_record[at:], True)
+            start = wanted if data.startswith(MARK, wanted) else data.find(b"\n" + MARK, wanted) + 1
+            parts = [data[start:]] if start else []
+            have, wanted, header = len(data) - start, 0, None
+    if parts:
+        data = b"".join(parts)
+        header = header or _read_header(data)
+        lines, at = (header[0], header[2]) if header else ([], len(data))
+        yield _as_row(lines, data[at:], True)
 
 
 _ARROW = pa.schema(
@@ -143,10 +158,11 @@ def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             while row is not None and (row["source"], row["block"]) == part:
                 piece = row["piece"]
                 row = next(upcoming, None)
-                # before the first mark of a file nothing counts
-                if not opens_file or piece.startswith(MARK):
-                    yield piece
-                opens_file = False
+                for part_of_piece in _cut(piece):
+                    # before the first mark of a file nothing counts
+                    if not opens_file or part_of_piece.startswith(MARK):
+                        yield part_of_piece
+                    opens_file = False
 
         for number, record in enumerate(split_records(pieces())):
             if record["truncated"] and not ends_file:
@@ -164,11 +180,15 @@ def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
 
+def _pieces(spark: SparkSession, path: Paths) -> DataFrame:
+    pieces = read_pieces(spark, path, SEPARATOR)
+    return pieces.withColumn("piece", F.col("piece").cast("binary")).drop("seq")
+
+
 def _whole_files(spark: SparkSession, path: Paths) -> DataFrame:
-    """Unsplit files as one piece each; limited to what a binary value holds."""
+    """Plain files as one piece each, as far as a binary value goes (2 GB)."""
     return spark.read.format("binaryFile").load(path).select(
-        F.expr("CASE WHEN startswith(content, X'574152432F') THEN content ELSE concat(X'0A', content) END")
-        .alias("piece"),
+        F.col("content").alias("piece"),
         F.col("path").alias("source"),
         F.lit(0).cast("bigint").alias("block"),
         F.col("length").alias("block_end"),
@@ -193,31 +213,123 @@ def read_warc(
     The cut-off last record of a damaged file is dropped, or kept and marked by
     ``with_truncated``, which adds a ``truncated`` column.
     """
-    pieces = read_pieces(spark, path, SEPARATOR)
-    plain = [name for name in pieces.inputFiles() if not name.endswith("gz")]
-    columns = ("piece", "source", "block", "block_end", "source_size")
-    pieces = pieces.withColumn("piece", F.col("piece").cast("binary")).select(*columns)
+    pieces = _pieces(spark, path)
+    names = pieces.inputFiles()
+    plain = [name for name in names if not name.endswith("gz")]
     if plain and not splittable:
-        pieces = _unsplit(spark, pieces, plain)
+        pieces = _whole_files(spark, plain)
+        if len(plain) < len(names):
+            pieces = pieces.unionByName(_pieces(spark, [n for n in names if n.endswith("gz")]))
     records = pieces.mapInArrow(_records_of_partition, f"{schemas.WARC}, block BIGINT, truncated BOOLEAN")
     if plain and splittable and numbered:
-        records = _numbered(records)
+        records = _numbered(records, pieces)
     records = records.drop("block")
     return records if with_truncated else records.filter(~F.col("truncated")).drop("truncated")
 
 
-def _unsplit(spark: SparkSession, pieces: DataFrame, plain: list[str]) -> DataFrame:
-    raise NotImplementedError
-
-
-def _numbered(records: DataFrame) -> DataFrame:
+def _numbered(records: DataFrame, pieces: DataFrame) -> DataFrame:
     """Add the records of earlier splits to each split's own numbers."""
     counts = records.groupBy("file_path", "block").agg(F.count("*").alias("n_records"))
     earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
         "file_path", "block", F.coalesce(F.sum("n_records").over(earlier), F.lit(0)).alias("offset")
     )
-    numbered = records.join(offsets, ["file_path", "block"], "left")
+    numbered = records.join(small_per_split(offsets, pieces), ["file_path", "block"], "left")
     return numbered.withColumn("record_number", F.col("record_number") + F.col("offset")).select(
         *records.columns
     )
+
+
+def header_text(line_end: str = "\n", version: str = VERSION_LINE) -> Column:
+    """The header of a record as text: type and date first, id, content type, length last."""
+    metadata = F.array_join(
+        F.transform(
+            F.map_entries("metadata"),
+            lambda entry: F.concat(entry["key"], F.lit(": "), entry["value"], F.lit(line_end)),
+        ),
+        "",
+    )
+
+    def field(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{key}: "), value, F.lit(line_end))
+
+    return F.concat(
+        F.lit(version + line_end),
+        field("WARC-Type", F.col("record_type")),
+        field("WARC-Date", F.col("warc_date")),
+        metadata,
+        field("WARC-Record-ID", F.col("record_id")),
+        field("Content-Type", F.col("content_type")),
+        field(LENGTH_KEY, F.octet_length("content").cast("string")),
+    )
+
+
+def to_warc_text(line_end: str = "\n", version: str = VERSION_LINE) -> Column:
+    """A whole record: header, blank line, payload. The payload bytes are kept as they are."""
+    return F.concat(
+        header_text(line_end, version), F.lit(line_end), F.col("content").cast("string")
+    )
+
+
+def write_warc(
+    df: DataFrame,
+    path: str,
+    gzip: bool = False,
+    line_end: str = "\r\n",
+    version: str = VERSION_LINE,
+    mode: str = "errorifexists",
+) -> None:
+    """Records to archive files, two line ends after each payload."""
+    # the text writer adds the last line feed
+    gap = F.lit(line_end * 2).substr(F.lit(1), F.lit(2 * len(line_end) - 1))
+    write_lines(
+        df.select(F.concat(to_warc_text(line_end, version), gap).alias("line")), path, gzip, mode
+    )
+
+
+def metadata_item(key: str) -> Column:
+    """A header value by its key; the known keys are answered from their fields."""
+    if key in FIELD_KEYS:
+        return F.col(FIELD_KEYS[key])
+    if key == LENGTH_KEY:
+        return F.col("content_length").cast("string")
+    return F.try_element_at(F.col("metadata"), F.lit(key))
+
+
+def target_uri() -> Column:
+    return metadata_item("WARC-Target-URI")
+
+
+def trec_id() -> Column:
+    return metadata_item("WARC-TREC-ID")
+
+
+def put_metadata(key: Column, value: Column) -> Column:
+    """The metadata with one entry set; known keys are refused."""
+    others = F.map_filter("metadata", lambda name, _: name != key)
+    return F.when(key.isin(*KNOWN_KEYS), F.col("metadata")).otherwise(
+        F.map_concat(others, F.create_map(key, value))
+    )
+
+
+def clear_metadata() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
+def metadata_entries(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per metadata entry, as ``key`` and ``value``."""
+    return df.select(*keep, F.explode("metadata"))
+
+
+def total_record_length() -> Column:
+    """Characters of the header text plus bytes of the payload."""
+    return F.length(header_text()) + F.octet_length("content")
+
+
+def content_text() -> Column:
+    """The payload as UTF-8, with U+FFFD for what is not."""
+    return F.make_valid_utf8(F.col("content").cast("string"))
+
+
+def warc_responses(df: DataFrame) -> DataFrame:
+    return df.filter(F.lower("record_type") == "response")

@@ -1,0 +1,5 @@
+"""No operator here: every workflow runs over finite inputs.
+
+The filters, parsers and column expressions of this package keep no state, so they also
+apply to a streaming DataFrame as they are.
+"""
