@@ -12,10 +12,9 @@ from strandmill.operators.guards import fail_on
 def flatten_genes(annotations: DataFrame) -> DataFrame:
     """One row per predicted gene, with its contig's columns."""
     contig = [name for name in annotations.columns if name != "predicted_genes"]
-    genes = annotations.select(
+    return annotations.select(
         *(F.col(name).alias(f"contig_{name}") for name in contig), F.inline("predicted_genes")
     )
-    return genes
 
 
 def extract_genes(annotations: DataFrame, contigs: DataFrame, genomic: bool = False) -> DataFrame:

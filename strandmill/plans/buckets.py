@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.plans.workflow import SUCCESS, path_exists
+from strandmill.plans.workflow import path_exists
 
 DONE = "uid STRING, stage STRING, bucket INT, fingerprint BIGINT"
 
@@ -50,8 +50,8 @@ def resume_buckets(
     column and work on each row alone.
     """
     spark = df.sparkSession
-    target = f"{path}/{stage}"
     mark = fingerprint(stage, n_buckets, df, recipe)
+    target = f"{path}/{stage}-{mark:08x}"
     done = set(done_buckets(spark, path, uid, stage, mark))
     pending = [bucket for bucket in range(n_buckets) if bucket not in done]
     bucketed = with_bucket(df, n_buckets)
@@ -62,7 +62,7 @@ def resume_buckets(
         result = compute(bucketed.filter(F.col("bucket").isin(buckets)))
         (
             # adaptive execution splits large buckets and merges small ones
-            result.hint("rebalance", "bucket")
+            result.hint("rebalance", F.col("bucket"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
@@ -70,5 +70,6 @@ def resume_buckets(
         )
         rows = [(uid, stage, bucket, mark) for bucket in buckets]
         spark.createDataFrame(rows, DONE).coalesce(1).write.mode("append").parquet(f"{path}/done")
-    written = spark.read.parquet(target)
-    return written.select(*[name for name in written.columns if name != "bucket"], "bucket")
+    if not path_exists(spark, target):  # no bucket had a row
+        return compute(bucketed).limit(0)
+    return spark.read.schema(compute(bucketed).schema).parquet(target)
