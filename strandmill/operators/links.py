@@ -20,7 +20,7 @@ LINK_PATTERNS = (
     r"""[iI][fF][rR][aA][mM][eE].+?[sS][rR][cC]=['"](.*?)['"].*?""",
 )
 # Fixed value: everything up to and with the first blank line.
-HTTP_HEADER = r"(?s)\A(?:.*?(?:\r\n|\n|\r))??[\x00-\x20&&[^\r\n]]*(?:\r\n|\n|\r(?!\n))"
+HTTP_HEADER = r"(?s)\A(?:.*?(?>\r\n|\n|\r))??[\x00-\x20&&[^\r\n]]*(?>\r\n|\n|\r)"
 
 
 def html_tags(html: Column) -> Column:

@@ -77,9 +77,7 @@ def read_fastq_pairs(
     spark: SparkSession, left: Paths, right: Paths, on: str = "position", fast: bool = False
 ) -> DataFrame:
     """Paired FASTQ files, matched by ``position`` or by ``id``."""
-    reads = [read_fastq(spark, path, fast, with_place=True) for path in (left, right)]
-    if on == "position":
-        return pair_by_position(*reads)
-    if on == "id":
-        return pair_by_id(*reads)
-    raise ValueError(f"cannot pair on {on!r}")
+    pairings = {"position": pair_by_position, "id": pair_by_id}
+    if on not in pairings:
+        raise ValueError(f"cannot pair on {on!r}")
+    return pairings[on](*(read_fastq(spark, path, fast, with_place=True) for path in (left, right)))

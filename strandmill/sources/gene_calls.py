@@ -74,17 +74,18 @@ HEADERS = ("name", "composition", "self")
 
 def _headed(pieces: DataFrame) -> DataFrame:
     """Pieces as one header and its gene lines; ``stops`` marks a blank line after them."""
-    text = F.regexp_replace(F.regexp_replace("piece", "\r\n", "\n"), r"\A# ", "")
+    text = F.regexp_replace(F.regexp_replace("piece", r"\r(\n|\z)", "$1"), r"\A# ", "")
     lines = F.split(F.rtrim(F.substring_index("text", "\n\n", 1), F.lit("\n")), "\n")
     header = F.get("lines", F.lit(0))
     return (
-        pieces.select("source", "block", "seq", text.alias("text"))
+        pieces.select("source", "block", "seq", F.col("piece").startswith("# ").alias("marked"), text.alias("text"))
         .withColumn("lines", lines)
         .select(
             "source",
             "block",
             "seq",
-            (F.col("text").contains("\n\n") | F.col("text").endswith("\n")).alias("stops"),
+            (F.col("text").rlike(r"\n\n|\n\z") | (F.col("text") == "")).alias("stops"),
+            "marked",
             (F.size("lines") > 1).alias("has_genes"),
             F.expr("slice(lines, 2, size(lines))").alias("gene_lines"),
             header.alias("header"),
@@ -146,6 +147,7 @@ def parse_gene_calls(pieces: DataFrame, keep_empty: bool = False) -> DataFrame:
         "source",
         "block",
         "header",
+        "marked",
         "has_genes",
         "gene_lines",
         F.col("self").isNotNull().alias("ends_header"),
@@ -173,15 +175,18 @@ def parse_gene_calls(pieces: DataFrame, keep_empty: bool = False) -> DataFrame:
 
     place = F.struct(F.col("block"), F.col("place").cast("bigint"))
     survives = place <= F.col("end")
+    opens_file = (F.col("block") == 0) & (F.col("place") == 1)
+    blank_start = opens_file & (F.col("header") == "")
+    recognised = F.col("recognised") & (F.col("marked") | ~opens_file)
     emits = F.col("has_genes") | (place == F.col("end"))
     if keep_empty:
         emits = emits | F.col("ends_header")
     unknown = F.raise_error(F.concat(F.lit("unrecognised gene-call header: "), F.col("header")))
     return (
         carried.join(_split_states(headed), ["source", "block"])
-        .filter(survives & (F.col("header") != "") & (emits | ~F.col("recognised")))
+        .filter(survives & ~blank_start & (emits | ~recognised))
         .select(
-            F.when(F.col("recognised"), known("name")).otherwise(unknown.cast("string")).alias("name"),
+            F.when(recognised, known("name")).otherwise(unknown.cast("string")).alias("name"),
             known("composition", "gc", "float").alias("gc"),
             known("composition", "rbs", "float").alias("rbs"),
             known("self").alias("self"),
