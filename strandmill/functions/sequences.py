@@ -19,19 +19,24 @@ def complement(sequence: Column) -> Column:
     return F.translate(sequence, IUPAC_CODES, IUPAC_COMPLEMENTS)
 
 
-def cut(sequence: Column, start: Column, end: Column, genomic: bool = False) -> Column:
+def cut(
+    sequence: Column, start: Column, end: Column, genomic: bool = False, raw: Column | None = None
+) -> Column:
     """The part of a sequence a gene covers; a range outside the sequence raises.
 
     By default ``start`` is 0-based and ``end`` exclusive. ``genomic`` reads the same
-    pair as 1-based and inclusive.
+    pair as 1-based and inclusive. ``raw`` may give the bytes of a sequence of one-byte
+    characters, which are reached without counting characters; null where it is not one.
     """
     first = start if genomic else start + 1
     length = end - start + 1 if genomic else end - start
-    valid = (first >= 1) & (length >= 0) & (end <= F.length(sequence))
+    size = F.length(sequence) if raw is None else F.coalesce(F.octet_length(raw), F.length(sequence))
+    valid = (first >= 1) & (length >= 0) & (end <= size)
+    part = F.substring(sequence, first, length)
+    if raw is not None:
+        part = F.when(raw.isNotNull(), F.substring(raw, first, length).cast("string")).otherwise(part)
     problem = F.format_string("gene range %d..%d does not fit its contig", start, end)
-    return F.when(valid, F.substring(sequence, first, length)).otherwise(
-        F.raise_error(problem).cast("string")
-    )
+    return F.when(valid, part).otherwise(F.raise_error(problem).cast("string"))
 
 
 def orient(sequence: Column, strand: Column, complemented: bool = False) -> Column:

@@ -6,11 +6,11 @@ resolved inside one array transform, without a UDF and without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandmill.functions.binding import let
+
 # The parts of a URI reference.
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
@@ -84,11 +84,6 @@ def _normalised_path(path: Column) -> Column:
     return F.when(plain, path).otherwise(F.aggregate(segments, start, step, joined))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def page_parts(base: Column) -> Column:
     """What links are resolved against, taken apart once per page."""
     base_path = F.regexp_extract(base, PATH, 1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.functions.binding import let
 from strandmill.functions.sequences import cut, gene_header, orient
 from strandmill.operators.guards import fail_on
 
@@ -17,6 +18,27 @@ def flatten_genes(annotations: DataFrame) -> DataFrame:
     )
 
 
+def _cut_genes(genomic: bool) -> Column:
+    """The genes of one contig row as an array of FASTA records.
+
+    The sequence is turned into bytes once per contig, so that cutting a gene out of a
+    long contig costs the gene and not the way to it.
+    """
+
+    def records(raw: Column) -> Column:
+        def record(gene: Column) -> Column:
+            part = cut(F.col("sequence"), gene["start_pos"], gene["end_pos"], genomic, raw)
+            return F.struct(
+                gene_header(F.col("name"), gene["gene_id"]).alias("header"),
+                orient(part, gene["strand"], complemented=genomic).alias("sequence"),
+            )
+
+        return F.transform("predicted_genes", record)
+
+    one_byte_each = F.octet_length("sequence") == F.length("sequence")
+    return let(F.when(one_byte_each, F.col("sequence").cast("binary")), records)
+
+
 def extract_genes(annotations: DataFrame, contigs: DataFrame, genomic: bool = False) -> DataFrame:
     """The nucleotide sequence of every predicted gene, as FASTA records.
 
@@ -25,25 +47,20 @@ def extract_genes(annotations: DataFrame, contigs: DataFrame, genomic: bool = Fa
     strand is reversed; ``genomic`` reads 1-based inclusive coordinates and takes the
     reverse complement.
 
-    Contigs join as one row with all their genes, so a contig with very many genes is
-    still one row on either side.
+    A contig joins as one row with all its genes, which are cut before they become rows,
+    so neither its sequence nor its key is multiplied. The checks count names alone.
     """
     found = annotations.select("name", "predicted_genes").join(
-        contigs.select(F.col("header").alias("contig"), "sequence"),
-        F.col("name") == F.col("contig"),
-        "left",
+        contigs.select("header", "sequence"), F.col("name") == F.col("header")
     )
-    missing = F.raise_error(F.concat(F.lit("no contig has the header "), F.col("name")))
-    sequence = F.when(F.col("contig").isNotNull(), F.col("sequence")).otherwise(missing.cast("string"))
-    genes = found.select("name", sequence.alias("contig_sequence"), F.inline("predicted_genes"))
-    strand = F.col("strand")
-    gene = cut(F.col("contig_sequence"), F.col("start_pos"), F.col("end_pos"), genomic)
-    records = genes.select(
-        gene_header(F.col("name"), F.col("gene_id")).alias("header"),
-        orient(gene, strand, complemented=genomic).alias("sequence"),
+    records = found.select(F.inline(_cut_genes(genomic)))
+    names = annotations.select("name", F.lit(1).alias("wanted"), F.lit(0).alias("found")).unionByName(
+        contigs.select(F.col("header").alias("name"), F.lit(0).alias("wanted"), F.lit(1).alias("found"))
     )
-    repeated = contigs.groupBy("header").count().filter("count > 1")
-    return fail_on(records, repeated, F.concat(F.lit("two contigs have the header "), F.col("header")))
+    tallies = names.groupBy("name").agg(F.max("wanted").alias("wanted"), F.sum("found").alias("found"))
+    problem = F.when(F.col("found") > 1, "two contigs have the header ").otherwise("no contig has the header ")
+    broken = tallies.filter((F.col("found") > 1) | ((F.col("wanted") == 1) & (F.col("found") == 0)))
+    return fail_on(records, broken, F.concat(problem, F.col("name")))
 
 
 def filter_min_length(contigs: DataFrame, min_length: int = 300) -> DataFrame:

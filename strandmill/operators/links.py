@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.urls import is_http, let, normalise, page_parts
+from strandmill.functions.binding import let
+from strandmill.functions.urls import is_http, normalise, page_parts
 from strandmill.sources.warc import content_text, target_uri, warc_responses
 
 # A tag on one line, and the link patterns in the order they are tried.

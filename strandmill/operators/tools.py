@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 NOT_FOUND = 127
 CHUNK = 1 << 20
 ROWS_PER_BATCH = 10_000
+CHARACTERS_PER_BATCH = 8 << 20
 PIECES = "part_id INT, piece STRING, seq BIGINT"
 LOG = "part_id INT, host STRING, exit_code INT, n_rows BIGINT, seconds DOUBLE, stdout STRING, stderr STRING"
 
@@ -103,13 +104,14 @@ def _batches(part_id: int, rows: Iterator[str]) -> Iterator[pa.RecordBatch]:
         )
 
     ready: list[str] = []
-    start = 0
+    start = size = 0
     for row in rows:
         ready.append(row)
-        if len(ready) == ROWS_PER_BATCH:
+        size += len(row)
+        if len(ready) == ROWS_PER_BATCH or size >= CHARACTERS_PER_BATCH:
             yield batch(ready, start)
             start += len(ready)
-            ready = []
+            ready, size = [], 0
     if ready:
         yield batch(ready, start)
 

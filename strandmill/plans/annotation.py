@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from strandmill.operators.genes import extract_genes, total_residues
 from strandmill.operators.hits import best_hits
 from strandmill.operators.tools import ToolSpec, as_lines, as_pieces, run_tool, run_tool_over_splits
-from strandmill.plans.workflow import Workflow, repartition_by
+from strandmill.plans.workflow import Workflow
+from strandmill.session import ensure_partitions
 from strandmill.sources.domains import parse_domains
 from strandmill.sources.fasta import format_fasta
 from strandmill.sources.gene_calls import SEPARATOR, parse_gene_calls
@@ -49,12 +50,12 @@ def annotate(
     calls, the searcher tabular hits and the scanner domain lines; ``{split}`` and
     ``{database_size}`` in the searcher's command are filled in.
     """
-    assembled = workflow.keep(workflow.stage("contigs", lambda: repartition_by(contigs(), multiplier)))
+    assembled = workflow.keep(workflow.stage("contigs", lambda: ensure_partitions(contigs(), multiplier)))
     caller = replace(gene_caller, separator=SEPARATOR)
     calls = workflow.keep(
         workflow.stage(
             "gene_calls",
-            lambda: parse_gene_calls(as_pieces(run_tool(format_fasta(assembled), caller))),
+            lambda: parse_gene_calls(as_pieces(run_tool(format_fasta(assembled), caller)), split_sources=False),
         )
     )
     genes = workflow.keep(workflow.stage("genes", lambda: extract_genes(calls, assembled)))

@@ -19,8 +19,12 @@ def fingerprint(stage: str, n_buckets: int, df: DataFrame, recipe: str) -> int:
 
 
 def with_bucket(df: DataFrame, n_buckets: int) -> DataFrame:
-    """Spread rows over buckets by all their columns, so that no single key fills one."""
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(n_buckets)).cast("int"))
+    """Spread rows over buckets by all their columns, so that no single key fills one.
+
+    A table that has a ``bucket`` column keeps it, and if the column is a partition of
+    the table, each wave reads its own buckets only.
+    """
+    return df if "bucket" in df.columns else df.withColumn("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(n_buckets)).cast("int"))
 
 
 def done_buckets(spark: SparkSession, path: str, uid: str, stage: str, mark: int) -> list[int]:
@@ -46,8 +50,9 @@ def resume_buckets(
 
     The buckets that are not marked done run in ``n_waves`` jobs. A wave replaces the
     buckets it covers and marks them when it has been committed, so a run that is cut
-    off loses one wave at most and repeats no rows. ``compute`` must keep the ``bucket``
-    column and work on each row alone.
+    off loses one wave at most and repeats no rows. Every wave scans the input, so more
+    waves lose less and read more, unless the input is partitioned by ``bucket``.
+    ``compute`` must keep the ``bucket`` column and work on each row alone.
     """
     spark = df.sparkSession
     mark = fingerprint(stage, n_buckets, df, recipe)

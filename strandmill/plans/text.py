@@ -52,9 +52,10 @@ def in_memory(lines: DataFrame, query: str) -> DataFrame:
             words = frame["line"].map(lambda line: sum(1 for word in line.split(" ") if word))
             yield pd.DataFrame({"n_words": words.astype("int32")})
 
-    kept = map_partitions(lines, lambda frames: frames, "line STRING")
-    kept = map_partitions(kept, keep, "line STRING")
-    return _total(map_partitions(kept, count, "n_words INT"))
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return count(keep(frames))
+
+    return _total(map_partitions(passthrough(lines), steps, "n_words INT"))
 
 
 def through_stages(lines: DataFrame, query: str, workflow: Workflow) -> DataFrame:

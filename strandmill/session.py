@@ -52,7 +52,10 @@ def ensure_partitions(df: DataFrame, multiplier: float = 1.0) -> DataFrame:
     """At least ``defaultParallelism * multiplier`` partitions.
 
     A large scan has more splits than that already and is returned untouched; only
-    an input with too few splits (one row group, one ``.gz``) pays a shuffle.
+    an input with too few splits (one row group, one ``.gz``) pays a shuffle. A plan
+    that shuffles is left to adaptive execution, which sizes its partitions by bytes.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     wanted = max(1, int(df.sparkSession.sparkContext.defaultParallelism * multiplier))
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

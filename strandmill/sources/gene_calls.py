@@ -135,8 +135,14 @@ def _split_states(headed: DataFrame) -> DataFrame:
     )
 
 
-def parse_gene_calls(pieces: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """Pieces cut at ``\\n# `` as one row per contig; see :func:`read_gene_calls`."""
+def parse_gene_calls(
+    pieces: DataFrame, keep_empty: bool = False, split_sources: bool = True
+) -> DataFrame:
+    """Pieces cut at ``\\n# `` as one row per contig; see :func:`read_gene_calls`.
+
+    ``split_sources=False`` says that every source is one block, as the output of a
+    program is, and evaluates the pieces once.
+    """
     headed = _headed(pieces)
     in_split = W.partitionBy("source", "block").orderBy("seq")
     so_far = in_split.rowsBetween(W.unboundedPreceding, 0)
@@ -160,7 +166,21 @@ def parse_gene_calls(pieces: DataFrame, keep_empty: bool = False) -> DataFrame:
             for n in HEADERS
         ),
         F.coalesce(*(F.col(n).cast("string") for n in HEADERS)).isNotNull().alias("recognised"),
+        "stops",
     )
+    if split_sources:
+        placed = carried.join(_split_states(headed), ["source", "block"])
+    else:
+        whole = W.partitionBy("source", "block")
+        stop = F.min(F.when(F.col("stops"), F.col("place"))).over(whole)
+        end = F.coalesce(stop, F.max("place").over(whole)).cast("bigint")
+        nothing = F.lit(None).cast("struct<value: string>")
+        placed = carried.select(
+            "*",
+            F.struct(F.col("block"), end.alias("place")).alias("end"),
+            *(nothing.alias(f"earlier_{n}") for n in HEADERS if n != "composition"),
+            F.lit(None).cast("struct<value: struct<gc: string, rbs: string>>").alias("earlier_composition"),
+        )
 
     def known(name: str, part: str | None = None, data_type: str = "string") -> Column:
         own = F.col(name)
@@ -183,8 +203,7 @@ def parse_gene_calls(pieces: DataFrame, keep_empty: bool = False) -> DataFrame:
         emits = emits | F.col("ends_header")
     unknown = F.raise_error(F.concat(F.lit("unrecognised gene-call header: "), F.col("header")))
     return (
-        carried.join(_split_states(headed), ["source", "block"])
-        .filter(survives & ~blank_start & (emits | ~recognised))
+        placed.filter(survives & ~blank_start & (emits | ~recognised))
         .select(
             F.when(recognised, known("name")).otherwise(unknown.cast("string")).alias("name"),
             known("composition", "gc", "float").alias("gc"),

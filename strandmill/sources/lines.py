@@ -75,13 +75,18 @@ def drop_marker(pieces: DataFrame, marker: str, exact: bool, starts_record: Colu
     whose first line does not.
     """
     candidate = F.lit(True) if starts_record is None else starts_record
-    if exact:
-        pieces = pieces.join(first_pieces(pieces), "source", "left")
-        opens = F.col("seq") == F.col("first_seq")
-    else:
-        opens = (F.col("block") == 0) & F.col("piece").startswith(marker)
-    stripped = F.when(opens & candidate, F.expr("substring(piece, 2)")).otherwise(F.col("piece"))
-    return pieces.withColumn("piece", stripped)
+    without = F.expr("substring(piece, 2)")
+    if not exact:
+        opens = (F.col("block") == 0) & F.col("piece").startswith(marker) & candidate
+        return pieces.withColumn("piece", F.when(opens, without).otherwise(F.col("piece")))
+    # only the first split of a file takes part, so a huge file is no hot join key
+    opens = (F.col("seq") == F.col("first_seq")) & candidate
+    heads = (
+        pieces.filter("block = 0")
+        .join(small_per_split(first_pieces(pieces), pieces), "source")
+        .withColumn("piece", F.when(opens, without).otherwise(F.col("piece")))
+    )
+    return heads.select(*pieces.columns).unionByName(pieces.filter("block <> 0"))
 
 
 def small_per_split(per_split: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import fields, sequences, urls
+from strandmill.functions.binding import let
 from strandmill.functions.patterns import basic_to_java, java_pattern
 from strandmill.functions.words import count_words
 from strandmill.operators.lines import count_words_in_matching, grep, partition_words, total_words
@@ -162,7 +163,7 @@ def test_links_resolve_like_the_uri_class(spark):
     pairs |= {(random.choice(BASES), "".join(random.choices(PIECES, k=3))) for _ in range(200)}
     # an authority that ends in an empty port is printed with the colon by one and not the other
     pairs = sorted(pair for pair in pairs if not pair[1].startswith("//") or ":" not in pair[1])
-    resolved = urls.let(urls.page_parts(F.col("page")), lambda page: urls.normalise(page, F.col("link")))
+    resolved = let(urls.page_parts(F.col("page")), lambda page: urls.normalise(page, F.col("link")))
     df = spark.createDataFrame(pairs, "page STRING, link STRING").withColumn("found", resolved)
 
     def acceptable(link):

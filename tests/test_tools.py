@@ -104,7 +104,7 @@ def test_exit_code_127_means_missing(tmp_path):
 
 
 def test_attempt_folders_are_removed(lines):
-    row = run_tool(lines("a").coalesce(1), shell("pwd")).head()
+    row = run_tool(lines("a").coalesce(1), shell('pwd > "$2"')).head()
     assert not os.path.exists(row.piece)
 
 
