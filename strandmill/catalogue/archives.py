@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.catalogue import query, table
 from strandmill.operators.links import link_occurrences, outlink_sets, outlinks, warc_outlinks
-from strandmill.session import ensure_partitions, fresh_dir
+from strandmill.session import fresh_dir
 from strandmill.sources import warc
 
 SQL_LINKS = r"""(
@@ -22,7 +22,7 @@ SQL_OUTLINKS = f"SELECT DISTINCT page_id, link FROM {SQL_LINKS} WHERE link <> ur
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensure_partitions(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return table(spark, sf_dir, "pages", "page_id", "url", "html")
 
 
 @query("page_link_occurrences", f"SELECT page_id, link FROM {SQL_LINKS} WHERE link <> url")

@@ -10,7 +10,7 @@ from strandmill.functions.sequences import translated_id
 from strandmill.operators.genes import extract_genes, filter_min_length, flatten_genes, total_residues
 from strandmill.operators.pairs import read_fastq_pairs
 from strandmill.plans.workflow import Workflow
-from strandmill.session import ensure_partitions, fresh_dir
+from strandmill.session import fresh_dir
 from strandmill.sources.fasta import read_fasta, write_fasta
 from strandmill.sources.fastq import read_fastq, write_fastq
 from strandmill.sources.gene_calls import read_gene_calls
@@ -21,7 +21,7 @@ SQL_CONTIGS = "(SELECT doc_id, 'doc-' || doc_id AS header, replace(text, chr(10)
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as contigs."""
-    documents = ensure_partitions(table(spark, sf_dir, "documents", "doc_id", "text"))
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return documents.select(
         "doc_id",
         F.concat(F.lit("doc-"), "doc_id").alias("header"),

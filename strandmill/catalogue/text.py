@@ -10,7 +10,7 @@ from strandmill.operators import lines as ops
 from strandmill.operators.tools import ToolSpec, as_lines, map_partitions, pipe_tool, run_tool, run_tool_over_splits
 from strandmill.plans import text as plans
 from strandmill.plans.workflow import Workflow
-from strandmill.session import ensure_partitions, fresh_dir
+from strandmill.session import fresh_dir
 from strandmill.sources.lines import lines_of, read_lines, write_lines
 
 WORD = "the"
@@ -24,7 +24,7 @@ SQL_TABBED = f"(SELECT doc_id, replace(line, ', ', ',' || chr(9)) AS line FROM {
 
 def lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", *keep, "text")
-    return lines_of(ensure_partitions(documents), "text", *keep)
+    return lines_of(documents, "text", *keep)
 
 
 def tabbed(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandmill.operators.guards import fail_on
-from strandmill.sources.fastq import read_fastq
-from strandmill.sources.lines import Paths
+from strandmill.sources.fastq import SEPARATOR, parse_fastq, records_per_split
+from strandmill.sources.lines import Paths, read_pieces, small_per_split
 
 FIELDS = ("header", "sequence", "opt_header", "quality_scores")
 
@@ -22,32 +21,35 @@ def _side(reads: DataFrame, side: str, key: str) -> DataFrame:
     return reads.select(key, *(F.col(field).alias(f"{side}_{field}") for field in FIELDS))
 
 
-def with_position(reads: DataFrame) -> DataFrame:
-    """Number the reads from 0, file after file in path order.
+def positioned(pieces: DataFrame, fast: bool = False) -> DataFrame:
+    """FASTQ pieces as reads numbered from 0, file after file in path order.
 
-    ``reads`` carries the place columns of ``read_fastq(with_place=True)``. Reads are
-    ranked inside their file split; what earlier splits hold is added from a table of
-    one row per split.
+    What earlier splits hold is added from a table of one row per split. Inside a split
+    the fast path numbers its reads as they are scanned, without a shuffle; otherwise
+    they are ranked by a window over the split.
     """
-    in_split = W.partitionBy("source", "block").orderBy("seq")
-    counts = reads.groupBy("source", "block").agg(F.count("*").alias("n_reads"))
     # one row per split, as many as the driver lists to plan the scan
     before = W.orderBy("source", "block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        "source", "block", F.coalesce(F.sum("n_reads").over(before), F.lit(0)).alias("offset")
-    )
-    return (
-        reads.withColumn("rank", F.row_number().over(in_split))
-        .join(offsets, ["source", "block"])
-        .select(*FIELDS, (F.col("offset") + F.col("rank") - 1).alias("position"))
+    offsets = records_per_split(pieces).select(
+        "source",
+        "block",
+        "first_seq",
+        F.coalesce(F.sum("n_records").over(before), F.lit(0)).alias("offset"),
     )
+    reads = parse_fastq(pieces, fast, with_place=True)
+    if fast:
+        rank = F.col("seq") - F.col("first_seq")
+        reads = reads.join(small_per_split(offsets, pieces), ["source", "block"])
+    else:
+        rank = F.col("rank") - 1
+        in_split = W.partitionBy("source", "block").orderBy("seq")
+        reads = reads.withColumn("rank", F.row_number().over(in_split)).join(offsets, ["source", "block"])
+    return reads.select(*FIELDS, (F.col("offset") + rank).alias("position"))
 
 
 def pair_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The n-th left read with the n-th right read; both carry place columns."""
-    return _side(with_position(left), "left", "position").join(
-        _side(with_position(right), "right", "position"), "position"
-    )
+    """The n-th left read with the n-th right read; both carry a ``position``."""
+    return _side(left, "left", "position").join(_side(right, "right", "position"), "position")
 
 
 def pair_by_id(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,7 +79,9 @@ def read_fastq_pairs(
     spark: SparkSession, left: Paths, right: Paths, on: str = "position", fast: bool = False
 ) -> DataFrame:
     """Paired FASTQ files, matched by ``position`` or by ``id``."""
-    pairings = {"position": pair_by_position, "id": pair_by_id}
-    if on not in pairings:
+    if on not in ("position", "id"):
         raise ValueError(f"cannot pair on {on!r}")
-    return pairings[on](*(read_fastq(spark, path, fast, with_place=True) for path in (left, right)))
+    sides = [read_pieces(spark, path, SEPARATOR) for path in (left, right)]
+    if on == "position":
+        return pair_by_position(*(positioned(pieces, fast) for pieces in sides))
+    return pair_by_id(*(parse_fastq(pieces, fast) for pieces in sides))

@@ -84,6 +84,14 @@ def parse_fastq(
     return records if with_place else records.drop(*PLACE)
 
 
+def records_per_split(pieces: DataFrame) -> DataFrame:
+    """How many records begin in each file split, and its first ``seq``; one light scan."""
+    opens = F.when(_has_lines(3), 1)
+    return pieces.groupBy("source", "block").agg(
+        F.count(opens).alias("n_records"), F.min("seq").alias("first_seq")
+    )
+
+
 def read_fastq(
     spark: SparkSession,
     path: Paths,

@@ -139,7 +139,7 @@ def test_hits_are_typed(spark, lines, tmp_path):
 
 @pytest.mark.parametrize("line", [HIT.rsplit("\t", 1)[0], HIT.replace("\t100\t1\t", "\tmany\t1\t"), ""])
 def test_broken_hits_fail(lines, line):
-    with pytest.raises(Exception, match="is missing or not"):
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX|CAST_INVALID_INPUT"):
         parse_hits(lines(line)).collect()
 
 
@@ -161,7 +161,7 @@ def test_domains(spark, lines, tmp_path):
     ]
     assert (found[0].sequence_length, found[0].start_location, found[0].date) == (628, 22, "02-06-2015")
     for broken in (f"{head}\t-\tX\tday", f"{head}\t-\tT"):
-        with pytest.raises(Exception, match="neither T nor F|column 11"):
+        with pytest.raises(Exception, match="neither T nor F|INVALID_ARRAY_INDEX"):
             parse_domains(lines(broken)).collect()
 
 
@@ -223,7 +223,7 @@ def test_contigs_without_genes(spark, tmp_path, split_size, size, ending):
         (headers("c1") + gene(1) + "# c2\n# self: b\n" + gene(1), "without a composition header"),
         (headers("c1") + "# what: ever\n" + gene(1), "unrecognised gene-call header"),
         ("gene_1\t1\n", "unrecognised gene-call header"),
-        (headers("c1") + "gene_1\t1\t2\n", "is missing or not"),
+        (headers("c1") + "gene_1\t1\t2\n", "INVALID_ARRAY_INDEX"),
     ],
 )
 def test_broken_gene_calls_fail(spark, tmp_path, split_size, size, text, problem):

@@ -128,6 +128,22 @@ def test_mate_pairs(spark, tmp_path, split_size, size):
         read_fastq_pairs(spark, "x", "y", on="name")
 
 
+@pytest.mark.parametrize("size", ["128m", "50b"])
+def test_fast_pairs_by_position_are_not_ranked(spark, tmp_path, split_size, size):
+    for side in ("left", "right"):
+        (tmp_path / side).mkdir()
+        for part in range(3):
+            fastq(tmp_path / side / str(part), [(f"{side}{part}{n}", f"{part}{n}", "I") for n in range(7)])
+    split_size(size)
+    pairs = read_fastq_pairs(spark, str(tmp_path / "left"), str(tmp_path / "right"), fast=True)
+    rows = pairs.orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(21))
+    assert [r.left_sequence for r in rows] == [f"{part}{n}" for part in range(3) for n in range(7)]
+    assert all(r.left_sequence == r.right_sequence for r in rows)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_repeated_read_id_fails(spark, tmp_path):
     fastq(tmp_path / "left", [("a 1", "A", "I"), ("a 1", "C", "I")])
     fastq(tmp_path / "right", [("a 2", "A", "I")])
