@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.catalogue import query, table
+from strandmill.functions.binding import let
 from strandmill.functions.sequences import translated_id
 from strandmill.operators.genes import extract_genes, filter_min_length, flatten_genes, total_residues
 from strandmill.operators.pairs import read_fastq_pairs
@@ -25,7 +26,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(
         "doc_id",
         F.concat(F.lit("doc-"), "doc_id").alias("header"),
-        F.translate("text", "\n", "").alias("sequence"),
+        F.replace("text", F.lit("\n"), F.lit("")).alias("sequence"),
     )
 
 
@@ -76,7 +77,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return turns.select(
         F.concat("conv_id", F.lit(":"), "turn", F.lit(" "), "role").alias("header"),
-        F.translate("text", "\n", " ").alias("sequence"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("sequence"),
         F.lit("+").alias("opt_header"),
         F.concat(F.when(F.col("turn") % 2 == 1, "@").otherwise("I"), "role").alias("quality_scores"),
     )
@@ -106,7 +107,7 @@ def _mates(spark: SparkSession, sf_dir: str, role: str, fragment: Column) -> Dat
         "conv_id",
         "turn",
         F.concat("conv_id", F.lit(":"), fragment, F.lit(" "), "role").alias("header"),
-        F.translate("text", "\n", " ").alias("sequence"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("sequence"),
         F.lit("+").alias("opt_header"),
         F.concat(F.lit("@"), "turn").alias("quality_scores"),
     )
@@ -167,12 +168,12 @@ def gene_call_files(spark: SparkSession, sf_dir: str) -> str:
         .select("*", F.sequence(F.lit(1).cast("bigint"), 1 + F.col("doc_id") % 4).alias("ks"))
     )
 
-    def gene_line(i: Column) -> Column:
+    def gene_line(i: Column, n: Column) -> Column:
         return F.concat_ws(
             "\t",
             F.concat(F.lit("gene "), i.cast("string")),
             (i - 1).cast("string"),
-            F.greatest(i - 1, F.floor(F.col("n") / i)).cast("string"),
+            F.greatest(i - 1, F.floor(n / i)).cast("string"),
             F.when((F.col("doc_id") + i) % 2 == 0, "+").otherwise("-"),
             F.lit("0"),
             F.lit("11"),
@@ -188,7 +189,7 @@ def gene_call_files(spark: SparkSession, sf_dir: str) -> str:
         F.concat(F.lit("# "), "header"),
         F.concat(F.lit("# gc = 0."), (F.col("doc_id") % 10).cast("string"), F.lit(", rbs = -1")),
         F.lit("# self: b"),
-        F.transform("ks", gene_line),
+        let(F.col("n"), lambda n: F.transform("ks", lambda i: gene_line(i, n))),
     )
     path = fresh_dir(spark, "gene-calls")
     write_lines(genes.select(block.alias("line")), path)

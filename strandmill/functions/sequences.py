@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # IUPAC nucleotide codes and their complements, in both cases.
 IUPAC_CODES = "ACGTRYKMBDHVacgtrykmbdhv"
 IUPAC_COMPLEMENTS = "TGCAYRMKVHDBtgcayrmkvhdb"
+# Fixed value: what joins a contig and a gene in the id of a protein.
+PROTEIN_ID_JOINT = "?mga?"
 
 
 def wrap(sequence: Column, width: int) -> Column:
@@ -46,9 +48,9 @@ def orient(sequence: Column, strand: Column, complemented: bool = False) -> Colu
 
 
 def gene_header(contig: Column, gene_id: Column) -> Column:
-    return F.translate(F.concat_ws("_", contig, gene_id), " ", "_")
+    return F.replace(F.concat_ws("_", contig, gene_id), F.lit(" "), F.lit("_"))
 
 
 def translated_id(parent: Column, gene_id: Column) -> Column:
     """The id a protein gets from its contig and gene."""
-    return F.concat(parent, F.lit("?mga?"), gene_id)
+    return F.concat(parent, F.lit(PROTEIN_ID_JOINT), gene_id)

@@ -19,7 +19,7 @@ def parse_fasta(pieces: DataFrame, exact_first: bool = False) -> DataFrame:
     body = F.when(ends > 0, F.substring(F.col("piece"), ends + 1, F.length("piece"))).otherwise("")
     return pieces.select(
         F.rtrim(header, F.lit("\r")).alias("header"),
-        F.translate(body, "\r\n", "").alias("sequence"),
+        F.replace(F.replace(body, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit("")).alias("sequence"),
     )
 
 
