@@ -148,25 +148,23 @@ def mate_pairs_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("position", "left_sequence", "right_sequence")
 
 
-# every contig has one to four genes k, at [k - 1, k - 1 + length / k)
+# every contig has up to four genes k, from k - 1 to length / k
 SQL_GENES = f"""(
     SELECT doc_id, header, sequence, k,
            'gene ' || k AS gene_id,
            k - 1 AS start_pos,
            greatest(k - 1, length(sequence) // k) AS end_pos,
            CASE WHEN (doc_id + k) % 2 = 0 THEN '+' ELSE '-' END AS strand
-    FROM (SELECT *, unnest(range(1, 2 + doc_id % 4)) AS k FROM {SQL_CONTIGS})
-    WHERE length(sequence) >= 4)"""
+    FROM (SELECT *, unnest(range(1, 1 + least(1 + doc_id % 4, length(sequence)))) AS k
+          FROM {SQL_CONTIGS}))"""
 
 
 def gene_call_files(spark: SparkSession, sf_dir: str) -> str:
-    """Gene calls on the documents of at least four characters, as text files."""
-    genes = (
-        contigs(spark, sf_dir)
-        .select("doc_id", "header", F.length("sequence").cast("bigint").alias("n"))
-        .filter("n >= 4")
-        .select("*", F.sequence(F.lit(1).cast("bigint"), 1 + F.col("doc_id") % 4).alias("ks"))
-    )
+    """Gene calls on all documents, as text files."""
+    sized = contigs(spark, sf_dir).select("doc_id", "header", F.length("sequence").cast("bigint").alias("n"))
+    last = F.least(1 + F.col("doc_id") % 4, F.col("n"))
+    numbers = F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint")), lambda i: i <= last)
+    genes = sized.withColumn("ks", numbers)
 
     def gene_line(i: Column, n: Column) -> Column:
         return F.concat_ws(
