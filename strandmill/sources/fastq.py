@@ -71,16 +71,17 @@ def parse_fastq(
     pieces: DataFrame, fast: bool = False, exact_first: bool = False, with_place: bool = False
 ) -> DataFrame:
     """Pieces cut at ``\\n@`` as records; see :func:`read_fastq`."""
-    pieces = drop_marker(pieces, "@", exact_first, _has_lines(3)).select(*PLACE, "piece")
-    whole = _has_lines(4)
+    counted = pieces.select(*PLACE, "piece", _has_lines(3).alias("opens"), _has_lines(4).alias("whole"))
+    pieces = drop_marker(counted, "@", exact_first, F.col("opens"))
+    whole = F.col("whole")
     if fast:
         quality = F.when(whole, _line(3)).otherwise(
             F.raise_error(F.lit("a quality line begins with @; read without fast")).cast("string")
         )
         records = _records(pieces, quality, *PLACE)
     else:
-        halves = pieces.filter(~whole).withColumn("opens", _has_lines(3))
-        records = _records(pieces.filter(whole), _line(3), *PLACE).unionByName(_joined_halves(halves))
+        halves = _joined_halves(pieces.filter(~whole))
+        records = _records(pieces.filter(whole), _line(3), *PLACE).unionByName(halves)
     return records if with_place else records.drop(*PLACE)
 
 
