@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from strandmill.llm.common import table
 from strandmill.llm.decontaminate import contamination
 from strandmill.llm.exact_dedup import exact_duplicates
+from strandmill.llm.near_dedup import near_duplicates
+from strandmill.llm.packing import pack
 from strandmill.llm.url_markov import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,12 @@ URL_RULES = [
 ]
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -34,6 +42,34 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op4_near_dedup",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+        FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(len(ws) - 5, 0) + 1), lambda s: array_to_string(ws[s + 1 : s + least(5, len(ws))], ' '))) AS s
+        FROM words WHERE len(ws) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)),
+    reach AS (
+        SELECT doc_id AS node, doc_id AS other FROM documents
+        UNION
+        SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT node AS doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS component_id, node = min(other) AS kept
+    FROM reach LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node
+    """,
+)
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_exact_dedup",
     """
@@ -88,6 +124,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
