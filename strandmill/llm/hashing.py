@@ -74,3 +74,26 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         total = mix(total) + words[k : n - width + 1 + k] * np.uint64(2 * k + 3)
     return np.unique(mix(total))
+
+
+def word_hashes_of_all(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of many texts (lower-cased bytes) one after another, and each text's number of words."""
+    hashes, counts, begin = [np.zeros(0, np.uint64)], np.zeros(len(raws), np.int64), 0
+    while begin < len(raws):
+        end, size = begin, 0
+        while end < len(raws) and (end == begin or size + len(raws[end]) + 1 <= CHUNK):
+            size += len(raws[end]) + 1
+            end += 1
+        if end == begin + 1:
+            one = word_hashes(raws[begin])
+            hashes.append(one)
+            counts[begin] = len(one)
+        else:
+            data = np.frombuffer(b" ".join(raws[begin:end]), np.uint8)
+            hashes.append(_chunk_hashes(data))
+            # a word belongs to the text in which it starts
+            starts = np.flatnonzero(~SPACE[data] & np.concatenate(([True], SPACE[data[:-1]]))) if len(data) else np.zeros(0, np.int64)
+            edges = np.cumsum([0, *(len(raw) + 1 for raw in raws[begin:end])])
+            counts[begin:end] = np.diff(np.searchsorted(starts, edges))
+        begin = end
+    return np.concatenate(hashes), counts

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import table
+from strandmill.llm.common import held_out, table
 from strandmill.llm.decontaminate import contamination
 from strandmill.llm.exact_dedup import exact_duplicates
+from strandmill.llm.language_id import identify, learn_profiles
+from strandmill.llm.main_text import extract
 from strandmill.llm.near_dedup import near_duplicates
 from strandmill.llm.packing import pack
+from strandmill.llm.ppm import score_texts
 from strandmill.llm.url_markov import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +45,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(documents.where(~held_out(F.col("doc_id"), 4)))
+    found = identify(documents, profiles)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op4_near_dedup",
     r"""
@@ -83,6 +99,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "text")
+    return score_texts(documents, documents.where("not held_out"))
+
+
 @query(
     "op7_decontamination",
     r"""
