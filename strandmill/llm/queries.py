@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from strandmill.llm.common import held_out, table
 from strandmill.llm.decontaminate import contamination
 from strandmill.llm.exact_dedup import exact_duplicates
 from strandmill.llm.language_id import identify, learn_profiles
+from strandmill.llm.line_runs import remove_repeated_runs
 from strandmill.llm.main_text import extract
 from strandmill.llm.near_dedup import near_duplicates
 from strandmill.llm.packing import pack
 from strandmill.llm.ppm import score_texts
+from strandmill.llm.quotations import reply_ordered
 from strandmill.llm.url_markov import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +57,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_quotation_linking")
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 @query("op3_main_text")
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
@@ -151,6 +160,38 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query(
+    "op9_line_dedup",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS idx
+        FROM documents),
+    counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+    pairs AS (
+        SELECT a.doc_id AS first_doc, b.doc_id AS doc_id, a.idx - b.idx AS shift, b.idx AS idx, b.words AS words
+        FROM counted a JOIN counted b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.idx < b.idx)),
+    islands AS (SELECT *, idx - row_number() OVER (PARTITION BY first_doc, doc_id, shift ORDER BY idx) AS island FROM pairs),
+    runs AS (
+        SELECT doc_id, min(idx) AS low, max(idx) AS high FROM islands
+        GROUP BY first_doc, doc_id, shift, island HAVING sum(words) >= 50),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS idx FROM runs)
+    SELECT lines.doc_id, count(*) AS n_lines, count(gone.idx) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.idx) FILTER (WHERE gone.idx IS NULL), '')) AS text_sha256
+    FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.idx = gone.idx GROUP BY lines.doc_id
+    """,
+)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeated_runs(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
