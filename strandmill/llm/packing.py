@@ -5,8 +5,8 @@ the others are dealt into blocks of a bounded number of pieces, and each block i
 islands. A chromosome is a set of bins. Crossover injects well-filled bins of one parent
 whole into another, removes the bins that hold a piece twice, and best-fits the displaced
 pieces; mutation dissolves poorly filled bins. After an epoch the best packing of every
-island migrates to the next island of its block. In the last epoch the poorly filled bins of
-all blocks are dealt into new blocks, bins staying whole, so that a packing only gets better.
+island migrates to the next island of its block. Then the poorly filled bins of all blocks are dealt into new, fewer blocks, again and
+again until one block holds them; bins are dealt whole, so that a packing only gets better.
 
 Tasks hold the lengths of one block at a time; texts are only read by the tokeniser.
 """
@@ -17,6 +17,7 @@ import json
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ ISLANDS = 2
 POPULATION = 4
 GENERATIONS = 10
 WELL_FILLED = 0.99
+MAX_DEALS = 5
 MEMO_WORDS = 400_000
 
 
@@ -301,11 +303,19 @@ def pack(
     best = bins.groupBy("block").agg(F.min_by("island", F.struct("n", "island")).alias("island"))
     elite = materialise(second.join(best, ["block", "island"]).select(*packed, "load"), "pack-elite")
 
-    poor = elite.where(F.col("load") < WELL_FILLED * capacity)
-    again = dealt(poor, "bin", poor.count()).select("block", F.lit(0).alias("island"), F.lit(0).alias("given"), *packed)
-    final = elite.where(F.col("load") >= WELL_FILLED * capacity).select("uid", "length", "bin").unionAll(
-        materialise(_epoch(again, capacity, population, 2 * generations), "pack-last").select(*packed)
-    )
+    well_filled = F.col("load") >= WELL_FILLED * capacity
+    packings, poor = [elite.where(well_filled)], elite.where(~well_filled)
+    for _ in range(MAX_DEALS):
+        n = poor.count()
+        if not n:
+            break
+        again = dealt(poor, "bin", n).select("block", F.lit(0).alias("island"), F.lit(0).alias("given"), *packed)
+        after = materialise(_epoch(again, capacity, population, 2 * generations), "pack-again").select(*packed, "load")
+        packings.append(after.where(well_filled))
+        poor = after.where(~well_filled)
+        if n <= block_pieces:
+            break
+    final = reduce(DataFrame.unionAll, [*packings, poor])
     in_bin = "PARTITION BY bin ORDER BY uid"
     placed = final.select(
         "uid", F.col("bin").alias("sequence_id"), (F.expr(f"sum(length) OVER ({in_bin} ROWS UNBOUNDED PRECEDING)") - F.col("length")).alias("offset")
