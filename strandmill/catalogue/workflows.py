@@ -9,7 +9,7 @@ from strandmill.catalogue import query, table
 from strandmill.operators.tools import ToolSpec
 from strandmill.plans.annotation import annotate
 from strandmill.plans.buckets import resume_buckets
-from strandmill.plans.workflow import Workflow
+from strandmill.plans.workflow import Workflow, materialise, repartition_by
 from strandmill.session import fresh_dir
 
 
@@ -17,13 +17,36 @@ from strandmill.session import fresh_dir
 def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run of a finished job reads its stage instead of computing it."""
     root = fresh_dir(spark, "resume")
-    first = Workflow(spark, root, "orders", recover=True)
-    first.stage("orders", lambda: table(spark, sf_dir, "orders"))
+    for recovered in (False, True):
+        workflow = Workflow(spark, root, "orders", recover=True)
+        result = workflow.stage("orders", lambda: table(spark, sf_dir, "orders"))
+        if workflow.timings[-1][-1] is not recovered:
+            raise AssertionError("a stage is computed once and then recovered")
+    return result
 
-    def never() -> DataFrame:
-        raise AssertionError("the stage was computed again")
 
-    return Workflow(spark, root, "orders", recover=True).stage("orders", never)
+@query(
+    "stage_other_query",
+    "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice >= 100000 GROUP BY o_custkey",
+)
+def stage_other_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage of the same name and number that asks for something else is computed."""
+    root = fresh_dir(spark, "resume")
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice")
+
+    def customers(least: int) -> DataFrame:
+        stage = Workflow(spark, root, "orders", recover=True).stage
+        return stage("filter", lambda: orders.filter(F.col("o_totalprice") >= least)).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+    customers(1)
+    return customers(100_000)
+
+
+def _doubled(orders: DataFrame, root: str, **options) -> DataFrame:
+    def double(df: DataFrame) -> DataFrame:
+        return df.withColumn("doubled", F.col("o_totalprice") * 2)
+
+    return resume_buckets(orders, double, root, "user", "double", "twice the price", **options)
 
 
 @query(
@@ -34,15 +57,71 @@ def bucket_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second call finds every bucket done and only reads."""
     root = fresh_dir(spark, "buckets")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
-
-    def double(df: DataFrame) -> DataFrame:
-        return df.withColumn("doubled", F.col("o_totalprice") * 2)
-
     for _ in range(2):
-        result = resume_buckets(orders, double, root, "user", "double", n_buckets=16, n_waves=2)
+        result = _doubled(orders, root, n_buckets=16, n_waves=2)
     return result.select("o_orderkey", "o_custkey", "doubled")
 
 
+@query(
+    "bucket_resume_other_input",
+    "SELECT o_orderkey, CAST(o_totalprice * 2 AS DOUBLE) AS doubled FROM orders WHERE o_orderkey % 2 = 1",
+)
+def bucket_resume_other_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the same schema from another input are not taken for done."""
+    root = fresh_dir(spark, "buckets")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    _doubled(orders.filter("o_orderkey % 2 = 0"), root, n_buckets=4, n_waves=1)
+    return _doubled(orders.filter("o_orderkey % 2 = 1"), root, n_buckets=4, n_waves=1).select("o_orderkey", "doubled")
+
+
+@query(
+    "bucket_resume_own_bucket_column",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_orderkey % 7 - 2 END AS bucket, CAST(o_totalprice * 2 AS DOUBLE) AS doubled FROM orders",
+)
+def bucket_resume_own_bucket_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's column of that name is data; named as the partition column, all its values are buckets."""
+    root = fresh_dir(spark, "buckets")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").withColumn(
+        "bucket", F.when(F.col("o_orderkey") % 7 != 3, F.col("o_orderkey") % 7 - 2)
+    )
+    plain = _doubled(orders, f"{root}/plain", n_buckets=4, n_waves=2)
+    named = _doubled(orders, f"{root}/named", n_waves=3, partition_column="bucket")
+    # what only one of the two has comes on top and fails the comparison
+    apart = plain.exceptAll(named).unionByName(named.exceptAll(plain))
+    return plain.unionByName(apart).select("o_orderkey", "bucket", "doubled")
+
+
+@query(
+    "recover_on_and_off",
+    "SELECT 'on' AS recover, count(*) AS n FROM orders WHERE o_totalprice >= 50000 UNION ALL SELECT 'off', count(*) FROM orders WHERE o_totalprice >= 50000",
+)
+def recover_on_and_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages give the same rows written or fused; a cached stage is released after its action."""
+    parts = []
+    for recover in (True, False):
+        workflow = Workflow(spark, fresh_dir(spark, "recover"), "orders", recover=recover)
+        large = workflow.stage("large", lambda: table(spark, sf_dir, "orders").filter("o_totalprice >= 50000"))
+        kept = workflow.keep(repartition_by(large, 0.5))
+        n = materialise(kept)
+        workflow.release()
+        if n != large.count():
+            raise AssertionError("the cached stage has other rows")
+        parts.append(large.agg(F.count("*").alias("n")).select(F.lit("on" if recover else "off").alias("recover"), "n"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "stage_report",
+    "SELECT 'stage_1/orders' AS stage, count(*) AS n_rows, false AS recovered FROM orders UNION ALL SELECT 'stage_2/large', count(*), false FROM orders WHERE o_totalprice >= 50000",
+)
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a job: its stages with their rows."""
+    workflow = Workflow(spark, fresh_dir(spark, "report"), "orders", recover=True)
+    orders = workflow.stage("orders", lambda: table(spark, sf_dir, "orders"))
+    workflow.stage("large", lambda: orders.filter("o_totalprice >= 50000"))
+    return workflow.report().select("stage", "n_rows", "recovered")
+
+
 # Stand-ins for the sequence programs, as awk scripts: up to two genes per contig, one
 # hit per gene and database split, one domain per gene.
 READ_FASTA = 'BEGIN { RS = ">"; FS = "\\n" } NR > 1 { s = ""; for (i = 2; i <= NF; i++) s = s $i; n = length(s);'

@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.plans.workflow import path_exists
+from strandmill.plans.identity import mark_of
+from strandmill.plans.workflow import SUCCESS, path_exists
 
-DONE = "uid STRING, stage STRING, bucket INT, fingerprint BIGINT"
-
-
-def fingerprint(stage: str, n_buckets: int, df: DataFrame, recipe: str) -> int:
-    """Changes with the stage's input schema, its buckets and the recipe it follows."""
-    return zlib.crc32(f"{stage}|{n_buckets}|{df.schema.simpleString()}|{recipe}".encode())
+BUCKET = "__bucket"
+DONE = "uid STRING, stage STRING, mark STRING, bucket STRING"
 
 
 def with_bucket(df: DataFrame, n_buckets: int) -> DataFrame:
-    """Spread rows over buckets by all their columns, so that no single key fills one.
+    """Spread rows over buckets by all their columns, so that no single key fills one."""
+    if BUCKET in df.columns:
+        raise ValueError(f"the column {BUCKET} is reserved")
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*df.columns), F.lit(n_buckets)).cast("int"))
 
-    A table that has a ``bucket`` column keeps it, and if the column is a partition of
-    the table, each wave reads its own buckets only.
-    """
-    return df if "bucket" in df.columns else df.withColumn("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(n_buckets)).cast("int"))
 
-
-def done_buckets(spark: SparkSession, path: str, uid: str, stage: str, mark: int) -> list[int]:
-    """Buckets finished by this user for this stage and recipe; at most ``n_buckets``."""
+def done_buckets(spark: SparkSession, path: str, uid: str, stage: str, mark: str) -> set[str]:
+    """Buckets finished by this user for this stage and mark."""
     if not path_exists(spark, f"{path}/done"):
-        return []
+        return set()
     done = spark.read.schema(DONE).parquet(f"{path}/done")
-    wanted = (F.col("uid") == uid) & (F.col("stage") == stage) & (F.col("fingerprint") == mark)
-    return [row.bucket for row in done.filter(wanted).select("bucket").distinct().collect()]
+    wanted = (F.col("uid") == uid) & (F.col("stage") == stage) & (F.col("mark") == mark)
+    return {row.bucket for row in done.filter(wanted).select("bucket").distinct().collect()}
 
 
 def resume_buckets(
@@ -42,39 +36,56 @@ def resume_buckets(
     path: str,
     uid: str,
     stage: str,
+    recipe: str,
     n_buckets: int = 64,
     n_waves: int = 4,
-    recipe: str = "",
+    partition_column: str | None = None,
 ) -> DataFrame:
     """``compute`` over ``df``, bucket by bucket, kept under ``path``.
 
-    The buckets that are not marked done run in ``n_waves`` jobs. A wave replaces the
-    buckets it covers and marks them when it has been committed, so a run that is cut
-    off loses one wave at most and repeats no rows. Every wave scans the input, so more
-    waves lose less and read more, unless the input is partitioned by ``bucket``.
-    ``compute`` must keep the ``bucket`` column and work on each row alone.
+    The buckets that are not marked done run in ``n_waves`` jobs. A wave replaces the buckets it covers and
+    marks them when it has been committed, so a run that is cut off loses one wave at most and repeats no
+    rows. Work is known by the mark of the input (plan, files), the schema of the result and
+    ``recipe``, which names what ``compute`` does: another input or recipe starts anew.
+
+    The input is read once: several waves read it from a copy that is partitioned by bucket.
+    If the table is partitioned by a column already, ``partition_column`` names it; its values, null
+    among them, are then the buckets, and no copy is made. ``compute`` must work on each row alone and pass the
+    column ``__bucket`` on, which the result does not have.
     """
     spark = df.sparkSession
-    mark = fingerprint(stage, n_buckets, df, recipe)
-    target = f"{path}/{stage}-{mark:08x}"
-    done = set(done_buckets(spark, path, uid, stage, mark))
-    pending = [bucket for bucket in range(n_buckets) if bucket not in done]
-    bucketed = with_bucket(df, n_buckets)
+    bucketed = with_bucket(df, n_buckets) if partition_column is None else df.withColumn(BUCKET, F.col(partition_column).cast("string"))
+    schema = compute(bucketed).schema
+    mark = mark_of(df, stage, str(n_buckets), str(partition_column), recipe, schema.json())
+    target = f"{path}/{stage}-{mark}"
+    done = done_buckets(spark, path, uid, stage, mark)
+    if partition_column is None:
+        buckets = range(n_buckets)
+    else:
+        buckets = [row[0] for row in bucketed.select(BUCKET).distinct().orderBy(BUCKET).collect()]
+    pending = [bucket for bucket in buckets if str(bucket) not in done]
+    if pending and partition_column is None and n_waves > 1:
+        staged = f"{target}-input"
+        if not path_exists(spark, f"{staged}/{SUCCESS}"):
+            bucketed.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(staged)
+        bucketed = spark.read.schema(bucketed.schema).parquet(staged).select(*bucketed.columns)
     for wave in range(n_waves):
-        buckets = pending[wave::n_waves]
-        if not buckets:
+        chosen = pending[wave::n_waves]
+        if not chosen:
             continue
-        result = compute(bucketed.filter(F.col("bucket").isin(buckets)))
+        named = [bucket for bucket in chosen if bucket is not None]
+        wanted = F.col(BUCKET).isin(named) if named else F.lit(False)
+        result = compute(bucketed.filter(wanted | F.col(BUCKET).isNull() if None in chosen else wanted))
         (
             # adaptive execution splits large buckets and merges small ones
-            result.hint("rebalance", F.col("bucket"))
+            result.hint("rebalance", F.col(BUCKET))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
+            .partitionBy(BUCKET)
             .parquet(target)
         )
-        rows = [(uid, stage, bucket, mark) for bucket in buckets]
+        rows = [(uid, stage, mark, str(bucket)) for bucket in chosen]
         spark.createDataFrame(rows, DONE).coalesce(1).write.mode("append").parquet(f"{path}/done")
     if not path_exists(spark, target):  # no bucket had a row
-        return compute(bucketed).limit(0)
-    return spark.read.schema(compute(bucketed).schema).parquet(target)
+        return compute(bucketed).limit(0).drop(BUCKET)
+    return spark.read.schema(schema).parquet(target).drop(BUCKET)

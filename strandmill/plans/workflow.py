@@ -9,6 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.plans.identity import mark_of
+
 SUCCESS = "_SUCCESS"
 
 
@@ -23,48 +25,57 @@ class Workflow:
     """Numbered stages below ``root``.
 
     With ``recover`` every stage is written as a table and read back; one that finished
-    in an earlier run of the same job is only read. A stage without its ``_SUCCESS``
-    file is overwritten. Without ``recover`` stages stay lazy and run fused together.
+    in an earlier run of the same job is only read. A stage is known by its number, its tool and
+    the mark of what it computes (plan, input files, recipe), so a job that asks for something
+    else, or of another input, computes it. A stage without its ``_SUCCESS`` file is
+    overwritten. Without ``recover`` stages stay lazy and run fused together.
     """
 
     def __init__(self, spark: SparkSession, root: str, job_id: str, recover: bool = False):
         self.spark = spark
         self.path = f"{root.rstrip('/')}/{job_id}"
         self.recover = recover
-        self.timings: list[tuple[str, float, bool]] = []
+        self.timings: list[tuple[str, float, int | None, bool]] = []
         self._n_stages = 0
         self._kept: list[DataFrame] = []
 
-    def stage_path(self, tool: str) -> str:
+    def stage_path(self, tool: str, mark: str) -> str:
         """The folder of the next stage; every call counts one up."""
         self._n_stages += 1
-        return f"{self.path}/stage_{self._n_stages}/{tool}"
+        return f"{self.path}/stage_{self._n_stages}/{tool}-{mark}"
+
+    def stage(self, tool: str, compute: Callable[[], DataFrame], recipe: str = "") -> DataFrame:
+        """The result of a stage, computed or recovered.
 
-    def stage(self, tool: str, compute: Callable[[], DataFrame]) -> DataFrame:
-        """The result of a stage, computed or recovered."""
-        path = self.stage_path(tool)
+        ``compute`` gives the plan and is always called; its work is done only if it has to be. ``recipe``
+        names what the plan does not show: the version of a Python function, the arguments of a program.
+        """
         started = time.monotonic()
-        recovered = self.recover and path_exists(self.spark, f"{path}/{SUCCESS}")
+        result = compute()
         if not self.recover:
-            result = compute()
-        else:
-            if not recovered:
-                compute().write.mode("overwrite").parquet(path)
-            result = self.spark.read.parquet(path)
-        self.timings.append((path.removeprefix(f"{self.path}/"), time.monotonic() - started, recovered))
+            self._n_stages += 1
+            self.timings.append((f"stage_{self._n_stages}/{tool}", time.monotonic() - started, None, False))
+            return result
+        path = self.stage_path(tool, mark_of(result, recipe))
+        recovered = path_exists(self.spark, f"{path}/{SUCCESS}")
+        if not recovered:
+            result.write.mode("overwrite").parquet(path)
+        result = self.spark.read.schema(result.schema).parquet(path)
+        rows = result.count()  # from the footers of the written files
+        self.timings.append((f"stage_{self._n_stages}/{tool}", time.monotonic() - started, rows, recovered))
         return result
 
-    def scalar(self, name: str, compute: Callable[[], DataFrame]):
+    def scalar(self, name: str, compute: Callable[[], DataFrame], recipe: str = ""):
         """The one value of a one-row result, kept like a stage."""
-        path = f"{self.path}/scalars/{name}"
         started = time.monotonic()
+        result = compute()
+        path = f"{self.path}/scalars/{name}-{mark_of(result, recipe)}" if self.recover else ""
         recovered = self.recover and path_exists(self.spark, f"{path}/{SUCCESS}")
-        result = self.spark.read.parquet(path) if recovered else compute()
-        value = result.head()[0]
+        schema = result.schema
+        value = (self.spark.read.schema(schema).parquet(path) if recovered else result).head()[0]
         if self.recover and not recovered:
-            schema = result.schema
             self.spark.createDataFrame([(value,)], schema).coalesce(1).write.mode("overwrite").parquet(path)
-        self.timings.append((f"scalars/{name}", time.monotonic() - started, recovered))
+        self.timings.append((f"scalars/{name}", time.monotonic() - started, 1, recovered))
         return value
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -80,8 +91,8 @@ class Workflow:
             self._kept.pop().unpersist()
 
     def report(self) -> DataFrame:
-        """Stage, seconds and whether it was recovered; lazy stages only count planning."""
-        return self.spark.createDataFrame(self.timings, "stage STRING, seconds DOUBLE, recovered BOOLEAN")
+        """Stage, seconds, rows and whether it was recovered; a lazy stage only counts planning and has no rows."""
+        return self.spark.createDataFrame(self.timings, "stage STRING, seconds DOUBLE, n_rows BIGINT, recovered BOOLEAN")
 
 
 def repartition_by(df: DataFrame, multiplier: float) -> DataFrame:

@@ -4,17 +4,13 @@ from pyspark.sql import functions as F
 from strandmill.catalogue import load, workflows as catalogue
 from strandmill.plans import text
 from strandmill.plans.annotation import annotate
-from strandmill.plans.buckets import done_buckets, fingerprint, resume_buckets
+from strandmill.plans.buckets import done_buckets, resume_buckets
 from strandmill.plans.workflow import SUCCESS, Workflow, materialise, path_exists, take
 from strandmill.session import CHECKPOINT_KEY, fresh_dir, shared_root
 
 load()
 
 
-def no_work():
-    raise AssertionError("computed again")
-
-
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_root(spark) == spark.conf.get(CHECKPOINT_KEY)
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
@@ -25,20 +21,37 @@ def test_stages_are_numbered_and_resumed(spark, tmp_path):
     first = Workflow(spark, str(tmp_path), "job", recover=True)
     first.stage("a", lambda: df)
     first.stage("b", lambda: df.filter("id > 4"))
-    assert path_exists(spark, f"{tmp_path}/job/stage_2/b/{SUCCESS}")
+    assert path_exists(spark, f"{next((tmp_path / 'job' / 'stage_2').iterdir())}/{SUCCESS}")
     again = Workflow(spark, str(tmp_path), "job", recover=True)
-    assert again.stage("a", no_work).count() == 10 and again.stage("b", no_work).count() == 5
-    assert [(r.stage, r.recovered) for r in again.report().collect()] == [("stage_1/a", True), ("stage_2/b", True)]
+    assert again.stage("a", lambda: df).count() == 10 and again.stage("b", lambda: df.filter("id > 4")).count() == 5
+    assert [(r.stage, r.n_rows, r.recovered) for r in again.report().collect()] == [("stage_1/a", 10, True), ("stage_2/b", 5, True)]
+
+
+def test_a_stage_of_another_query_or_input_is_computed(spark, tmp_path):
+    def run(df, **recipe):
+        workflow = Workflow(spark, str(tmp_path), "job", recover=True)
+        return workflow.stage("a", lambda: df, **recipe).count(), workflow.timings[-1][-1]
+
+    spark.range(10).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert run(table.filter("id < 3")) == (3, False) and run(table.filter("id < 3")) == (3, True)
+    assert run(table.filter("id < 4")) == (4, False)
+    assert run(table.filter("id < 3"), recipe="v2") == (3, False)
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/t")
+    assert run(spark.read.parquet(f"{tmp_path}/t").filter("id < 3")) == (5, False)
+    made = [spark.createDataFrame([(i,)], "id INT") for i in (1, 2, 1)]
+    assert [run(df)[1] for df in made] == [False, False, True]
 
 
 def test_interrupted_stage_is_overwritten(spark, tmp_path):
     first = Workflow(spark, str(tmp_path), "job", recover=True)
     first.stage("a", lambda: spark.range(10))
     first.stage("b", lambda: spark.range(10))
-    (tmp_path / "job" / "stage_2" / "b" / SUCCESS).unlink()
+    (next((tmp_path / "job" / "stage_2").iterdir()) / SUCCESS).unlink()
     again = Workflow(spark, str(tmp_path), "job", recover=True)
-    again.stage("a", no_work)
-    assert again.stage("b", lambda: spark.range(3)).count() == 3
+    again.stage("a", lambda: spark.range(10))
+    assert again.stage("b", lambda: spark.range(10)).count() == 10
+    assert [recovered for *_, recovered in again.timings] == [True, False]
 
 
 def test_without_recovery_nothing_is_written(spark, tmp_path):
@@ -52,7 +65,10 @@ def test_without_recovery_nothing_is_written(spark, tmp_path):
 def test_scalar_is_kept(spark, tmp_path):
     one = Workflow(spark, str(tmp_path), "job", recover=True)
     assert one.scalar("size", lambda: spark.range(5).agg(F.sum("id").alias("n"))) == 10
-    assert Workflow(spark, str(tmp_path), "job", recover=True).scalar("size", no_work) == 10
+    again = Workflow(spark, str(tmp_path), "job", recover=True)
+    assert again.scalar("size", lambda: spark.range(5).agg(F.sum("id").alias("n"))) == 10
+    assert again.scalar("size", lambda: spark.range(6).agg(F.sum("id").alias("n"))) == 15
+    assert [recovered for *_, recovered in again.timings] == [True, False]
 
 
 def test_take(spark):
@@ -66,23 +82,35 @@ def test_buckets_resume_after_a_failure(spark, tmp_path):
 
     def compute(part):
         calls.append(1)
-        if len(calls) == 3:
+        if len(calls) == 4:  # the first call only asks for the schema
             raise RuntimeError("lost")
         return part.withColumn("twice", F.col("id") * 2)
 
+    def run(df=df, recipe="v1", **options):
+        return resume_buckets(df, compute, str(tmp_path), "me", "s", recipe, **({"n_buckets": 8, "n_waves": 4} | options))
+
     with pytest.raises(RuntimeError):
-        resume_buckets(df, compute, str(tmp_path), "me", "s", n_buckets=8, n_waves=4)
-    mark = fingerprint("s", 8, df, "")
-    assert len(done_buckets(spark, str(tmp_path), "me", "s", mark)) == 4
-    done = resume_buckets(df, compute, str(tmp_path), "me", "s", n_buckets=8, n_waves=4)
-    assert sorted(r.twice for r in done.collect()) == list(range(0, 400, 2))
+        run()
+    done = spark.read.parquet(f"{tmp_path}/done")
+    assert done.count() == 4 and done_buckets(spark, str(tmp_path), "me", "s", done.first().mark)
+    assert sorted(r.twice for r in run().collect()) == list(range(0, 400, 2))
     before = len(calls)
-    again = resume_buckets(df, compute, str(tmp_path), "me", "s", n_buckets=8, n_waves=4)
-    # only the schema is asked for
+    again = run()
     assert len(calls) == before + 1 and again.count() == 200
-    assert done_buckets(spark, str(tmp_path), "you", "s", mark) == []
-    changed = resume_buckets(df, compute, str(tmp_path), "me", "s", n_buckets=4, n_waves=1, recipe="v2")
-    assert changed.count() == 200
+    assert done_buckets(spark, str(tmp_path), "you", "s", done.first().mark) == set()
+    assert run(recipe="v2", n_buckets=4, n_waves=1).count() == 200
+    other = run(spark.range(1000, 1020).withColumn("hot", F.lit("same")))
+    assert sorted(r.id for r in other.collect()) == list(range(1000, 1020))
+
+
+def test_every_value_of_a_partition_column_is_a_bucket(spark, tmp_path):
+    df = spark.range(100).withColumn("bucket", F.when(F.col("id") % 11 != 0, F.col("id") % 10 - 3))
+    twice = lambda part: part.withColumn("twice", F.col("id") * 2)
+    for column in (None, "bucket"):
+        got = resume_buckets(df, twice, f"{tmp_path}/{column}", "me", "s", "v1", n_buckets=4, partition_column=column)
+        assert sorted(r.id for r in got.collect()) == list(range(100)) and got.columns == ["id", "bucket", "twice"]
+    nothing = resume_buckets(df.filter("id < 0"), twice, f"{tmp_path}/none", "me", "s", "v1")
+    assert nothing.count() == 0
 
 
 def test_text_variants_agree(spark, lines, tmp_path):
@@ -132,5 +160,5 @@ def test_annotation(spark, tmp_path, recover):
     workflow.release()
     if recover:
         again = Workflow(spark, str(tmp_path), "job", recover=True)
-        assert annotate(again, no_work, contigs, *tools, n_splits=2).hits.count() == 6
+        assert annotate(again, lambda: contigs, contigs, *tools, n_splits=2, multiplier=0.25).hits.count() == 6
         assert all(recovered for *_, recovered in again.timings)
