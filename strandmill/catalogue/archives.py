@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.catalogue import query, table
-from strandmill.operators.links import link_occurrences, outlink_sets, outlinks, warc_outlinks
+from strandmill.operators.links import html_tags, link_occurrences, outlink_sets, outlinks, warc_outlinks
 from strandmill.session import fresh_dir
 from strandmill.sources import warc
 
@@ -165,3 +165,25 @@ def warc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def warc_page_outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_outlinks(written_archive(spark, sf_dir, gzip=True), "record_id")
+
+
+@query(
+    "warc_metadata_entries",
+    f"SELECT record_id, 'X-Note' AS key, trec_id AS value FROM {SQL_RECORDS}",
+)
+def warc_metadata_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata is cleared, set and listed."""
+    records = written_archive(spark, sf_dir, gzip=True)
+    cleared = records.withColumn("note", warc.trec_id()).withColumn("metadata", warc.clear_metadata())
+    noted = cleared.withColumn("metadata", warc.put_metadata(F.lit("X-Note"), F.col("note")))
+    return warc.metadata_entries(noted, "record_id")
+
+
+@query(
+    "page_tags",
+    r"SELECT page_id, CAST(len(regexp_extract_all(html, '<([^>\n\r\x{85}\x{2028}\x{2029}]*)>')) AS INTEGER) AS n_tags, "
+    r"array_to_string(regexp_extract_all(html, '<([^>\n\r\x{85}\x{2028}\x{2029}]*)>', 1), ' ') AS tags FROM pages",
+)
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_tags(F.col("html"))
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.size(found).alias("n_tags"), F.array_join(found, " ").alias("tags"))

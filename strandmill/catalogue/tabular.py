@@ -11,8 +11,8 @@ from strandmill.operators import domains as domain_ops
 from strandmill.operators import hits as hit_ops
 from strandmill.plans.workflow import take
 from strandmill.session import fresh_dir
-from strandmill.sources.domains import parse_domains
-from strandmill.sources.hits import parse_hits, read_hits
+from strandmill.sources.domains import parse_domains, read_domains
+from strandmill.sources.hits import parse_hits
 from strandmill.sources.json_rows import from_json_rows, to_json_rows
 
 HIT_COLUMNS = (
@@ -74,8 +74,7 @@ def hits_union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each split's hits are files of their own, read back and put together."""
     path = fresh_dir(spark, "hits")
     hit_lines(spark, sf_dir).write.partitionBy("split_id").text(path)
-    splits = [read_hits(spark, f"{path}/split_id={n}") for n in range(1, 8)]
-    return hit_ops.union_hits(splits)
+    return hit_ops.read_split_hits(spark, path)
 
 
 @query("hits_evalue", f"SELECT {HIT_COLUMNS} FROM {SQL_HITS} WHERE e_value <= 1e-5")
@@ -232,3 +231,10 @@ def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand", "p_name")
     tags = F.concat("p_type", F.lit(",,"), "p_brand", F.lit(","), "p_name")
     return parts.select("p_partkey", F.explode(comma_list(tags)).alias("tag"))
+
+
+@query("domains_through_files", f"SELECT protein_accession, sequence_length, analysis, score, status FROM {SQL_DOMAINS}")
+def domains_through_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "domains")
+    domain_lines(spark, sf_dir).write.text(path)
+    return read_domains(spark, path).select("protein_accession", "sequence_length", "analysis", "score", "status")

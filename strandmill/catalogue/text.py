@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from strandmill.catalogue import query, table
 from strandmill.operators import lines as ops
-from strandmill.operators.tools import ToolSpec, as_lines, map_partitions, pipe_tool, run_tool, run_tool_over_splits
+from strandmill.operators.tools import (
+    ToolSpec,
+    as_lines,
+    check_tool,
+    map_partitions,
+    pipe_tool,
+    run_tool,
+    run_tool_over_splits,
+    tool_log,
+)
 from strandmill.plans import text as plans
-from strandmill.plans.workflow import Workflow
+from strandmill.plans.workflow import Workflow, materialise
 from strandmill.session import fresh_dir
-from strandmill.sources.lines import lines_of, read_lines, write_lines
+from strandmill.sources.lines import from_records, lines_of, read_lines, write_lines
 
 WORD = "the"
 SQL_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -149,10 +158,93 @@ def tool_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_lines(run_tool_over_splits(lines(spark, sf_dir), label, 3), "split_id")
 
 
-@query("partition_function", f"SELECT doc_id, upper(left(line, 1)) AS initial FROM {SQL_LINES}")
+@query("partition_function", f"SELECT doc_id, reverse(line) AS backwards, CAST(length(line) AS BIGINT) AS n FROM {SQL_LINES}")
 def partition_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def initials(frames):
+    def backwards(frames):
         for frame in frames:
-            yield frame.assign(initial=frame["line"].str[:1].str.upper())[["doc_id", "initial"]]
+            yield frame.assign(backwards=frame["line"].str[::-1], n=frame["line"].str.len())[["doc_id", "backwards", "n"]]
+
+    return map_partitions(lines(spark, sf_dir, "doc_id"), backwards, "doc_id BIGINT, backwards STRING, n BIGINT")
+
+
+@query("tool_availability", "SELECT program, n FROM (VALUES ('cat', true), ('grep', true), ('wc', true)) t(program, available), (SELECT count(*) AS n FROM documents)")
+def tool_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All programs are looked for first; the rows are counted only if none is missing."""
+    specs = (plans.CAT, plans.grep_tool(WORD), plans.WORD_COUNT)
+    for spec in specs:
+        check_tool(spark, spec)
+    names = F.array(*(F.lit(spec.command()[0]) for spec in specs))
+    counted = table(spark, sf_dir, "documents", "doc_id").agg(F.count("*").alias("n"))
+    return counted.select(F.explode(names).alias("program"), "n")
+
+
+@query("tool_output_policy", f"SELECT count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS characters FROM {SQL_LINES}")
+def tool_output_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program whose output names a failure fails; one that uses another word does not."""
+    checked = ToolSpec(["sed", "s/^/ok:/", "{input}"], fail_patterns=("no such failure in any text",))
+    found = as_lines(run_tool(lines(spark, sf_dir), checked))
+    return found.agg(F.count("*").alias("n"), F.sum(F.length("line") - 3).alias("characters"))
+
+
+@query(
+    "tool_capture",
+    f"SELECT count(*) AS n_rows, CAST(0 AS INTEGER) AS worst_code, 'counted' AS last_word FROM {SQL_LINES}",
+)
+def tool_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run reported: rows fed, exit code and the end of both streams."""
+    report = ToolSpec(["sh", "-c", 'wc -l < "$1"; echo counted >&2', "tool", "{input}"])
+    log = tool_log(lines(spark, sf_dir), report)
+    same = F.when(F.trim("stdout").cast("bigint") == F.col("n_rows"), F.col("n_rows"))
+    return log.agg(
+        F.sum(same).alias("n_rows"), F.max("exit_code").alias("worst_code"), F.max(F.trim(F.replace("stderr", F.lit("\n")))).alias("last_word")
+    )
+
+
+@query("tool_empty_partitions", f"SELECT line FROM {SQL_LINES} WHERE contains(line, '{WORD}')")
+def tool_empty_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that would fail on an empty input is not run for an empty partition."""
+    strict = ToolSpec(["sh", "-c", 'test -s "$1" && cat "$1"', "tool", "{input}"])
+    matching = lines(spark, sf_dir).filter(F.col("line").contains(WORD))
+    return as_lines(run_tool(matching.repartition(64, F.col("line").contains(WORD)), strict))
+
+
+@query("tool_host_argument", f"SELECT count(*) AS n, true AS named FROM {SQL_LINES}")
+def tool_host_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line may depend on the host that runs it."""
+    labelled = ToolSpec(lambda host: ["sed", f"s/^/{host}:/", "{input}"])
+    found = as_lines(run_tool(lines(spark, sf_dir), labelled))
+    named = F.col("line").rlike("^[A-Za-z0-9._-]+:")
+    return found.agg(F.count("*").alias("n"), F.min(named).alias("named"))
+
+
+@query("records_spread", "SELECT DISTINCT n_nationkey, n_name FROM nation")
+def records_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the driver holds become a table of several partitions."""
+    rows = table(spark, sf_dir, "nation", "n_nationkey", "n_name").collect()
+    return from_records(spark, rows, "n_nationkey BIGINT, n_name STRING")
+
+
+@query("row_count_action", f"SELECT count(*) AS n FROM {SQL_LINES}")
+def row_count_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action that runs a stage for its own sake, next to the same count as a table."""
+    n = materialise(lines(spark, sf_dir))
+    return lines(spark, sf_dir).agg(F.count("*").alias("n")).filter(F.col("n") == n)
+
+
+# some lines get a carriage return, which is a character like any other
+SQL_MARKED = "(SELECT doc_id, line || CASE WHEN length(line) % 2 = 0 THEN chr(13) ELSE '' END AS line FROM " + SQL_LINES + ")"
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = lines(spark, sf_dir, "doc_id")
+    return plain.withColumn("line", F.when(F.length("line") % 2 == 0, F.concat("line", F.lit("\r"))).otherwise(F.col("line")))
+
+
+@query("grep_crlf", f"SELECT doc_id, line FROM {SQL_MARKED} WHERE regexp_matches(line, '[.]$') AND NOT contains(line, chr(13))")
+def grep_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.grep(marked(spark, sf_dir), r"\.$")
+
 
-    return map_partitions(lines(spark, sf_dir, "doc_id"), initials, "doc_id BIGINT, initial STRING")
+@query("grep_stacked", f"SELECT doc_id, line FROM {SQL_MARKED} WHERE regexp_matches(line, 'on+ed') OR regexp_matches(line, '(th){{2}}e')")
+def grep_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.grep(marked(spark, sf_dir), r"on**n\+*ned\|on\+\+ed\|\(th\)\{2\}e")

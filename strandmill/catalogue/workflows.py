@@ -122,16 +122,17 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.report().select("stage", "n_rows", "recovered")
 
 
-# Stand-ins for the sequence programs, as awk scripts: up to two genes per contig, one
-# hit per gene and database split, one domain per gene.
+# Stand-ins for the sequence programs, as awk scripts: genes of up to GENE letters over the whole contig,
+# on alternating strands; one hit per gene and database split, one domain per gene.
+GENE = 300
 READ_FASTA = 'BEGIN { RS = ">"; FS = "\\n" } NR > 1 { s = ""; for (i = 2; i <= NF; i++) s = s $i; n = length(s);'
 GENE_CALLER = ToolSpec(
     [
         "awk",
         READ_FASTA
         + ' print "# " $1; print "# gc = 0.5, rbs = -1"; print "# self: -";'
-        + ' if (n >= 30) print "gene_1\\t0\\t30\\t+\\t0\\t11\\t1.5\\ts\\t-\\t-\\t-";'
-        + ' if (n >= 60) print "gene_2\\t30\\t60\\t-\\t0\\t11\\t2.5\\ts\\t61\\t66\\t0.5" }',
+        + f' for (k = 0; k * {GENE} < n; k++) {{ e = (k + 1) * {GENE}; if (e > n) e = n;'
+        + f' print "gene_" k + 1 "\\t" k * {GENE} "\\t" e "\\t" (k % 2 ? "-" : "+") "\\t0\\t11\\t1.5\\ts\\t-\\t-\\t-" }} }}',
         "{input}",
     ]
 )
@@ -153,42 +154,52 @@ SCANNER = ToolSpec(
     ]
 )
 N_SPLITS = 3
-SQL_LENGTHS = "(SELECT length(regexp_replace(text, '[^a-z]', '', 'g')) AS n FROM documents)"
-SQL_N_GENES = "CAST(sum(CASE WHEN n >= 60 THEN 2 WHEN n >= 30 THEN 1 ELSE 0 END) AS BIGINT)"
+# every letter stays; only what FASTA or the stand-ins' separators would read as structure goes
+NOT_SEQUENCE = r"[^a-zA-Z]"
+SQL_CONTIG_TEXTS = f"(SELECT doc_id, regexp_replace(text, '{NOT_SEQUENCE}', '', 'g') AS s FROM documents)"
+SQL_GENES = f"""(SELECT 'doc-' || doc_id || '_gene_' || (k + 1) AS gene, k % 2 = 1 AS minus, substr(s, CAST(k * {GENE} + 1 AS INTEGER), {GENE}) AS part
+    FROM (SELECT doc_id, s, unnest(range(0, (length(s) + {GENE - 1}) // {GENE})) AS k FROM {SQL_CONTIG_TEXTS}))"""
 
 
 @query(
     "annotation_workflow",
-    f"""SELECT 'contigs' AS kind, count(*) AS n FROM {SQL_LENGTHS}
-        UNION ALL SELECT 'genes', {SQL_N_GENES} FROM {SQL_LENGTHS}
-        UNION ALL SELECT 'gene residues', 30 * {SQL_N_GENES} FROM {SQL_LENGTHS}
-        UNION ALL SELECT 'hits', {N_SPLITS} * {SQL_N_GENES} FROM {SQL_LENGTHS}
-        UNION ALL SELECT 'best hits', {SQL_N_GENES} FROM {SQL_LENGTHS}
-        UNION ALL SELECT 'domains', {SQL_N_GENES} FROM {SQL_LENGTHS}
-        UNION ALL SELECT 'database size', CAST(sum(n) AS BIGINT) FROM {SQL_LENGTHS}""",
+    f"""SELECT 'contigs' AS kind, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS residues, NULL AS digest FROM {SQL_CONTIG_TEXTS}
+        UNION ALL SELECT 'genes', count(*), CAST(sum(length(part)) AS BIGINT),
+            CAST(sum(CAST('0x' || left(sha256(gene || ' ' || CASE WHEN minus THEN reverse(part) ELSE part END), 8) AS BIGINT)) AS VARCHAR) FROM {SQL_GENES}
+        UNION ALL SELECT 'hits', {N_SPLITS} * count(*), CAST({N_SPLITS} * sum(length(part)) AS BIGINT), NULL FROM {SQL_GENES}
+        UNION ALL SELECT 'best hits', count(*), CAST(sum(length(part)) AS BIGINT), 'S{N_SPLITS}' FROM {SQL_GENES}
+        UNION ALL SELECT 'domains', count(*), CAST(sum(length(part)) AS BIGINT), NULL FROM {SQL_GENES}
+        UNION ALL SELECT 'database size', 1, CAST(sum(length(s)) AS BIGINT), NULL FROM {SQL_CONTIG_TEXTS}""",
 )
 def annotation_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     workflow = Workflow(spark, fresh_dir(spark, "annotation"), "job", recover=True)
     contigs = table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.concat(F.lit("doc-"), "doc_id").alias("header"),
-        F.regexp_replace("text", "[^a-z]", "").alias("sequence"),
+        F.regexp_replace("text", NOT_SEQUENCE, "").alias("sequence"),
     )
     result = annotate(
         workflow, lambda: contigs, contigs, GENE_CALLER, SEARCHER, SCANNER, N_SPLITS, multiplier=1
     )
 
-    def tally(kind: str, df: DataFrame, n=None) -> DataFrame:
-        return df.agg((F.count("*") if n is None else n).alias("n")).select(F.lit(kind).alias("kind"), "n")
-
+    def tally(kind: str, df: DataFrame, residues, digest=None) -> DataFrame:
+        columns = (F.count("*").alias("n"), residues.cast("bigint").alias("residues"))
+        text = (F.lit(None) if digest is None else digest).cast("string").alias("digest")
+        return df.agg(*columns, F.max(text).alias("digest")).select(F.lit(kind).alias("kind"), "n", "residues", "digest")
+
+    # a sum of hashes says the same in any order, so no task needs all genes
+    gene = F.conv(F.substring(F.sha2(F.concat_ws(" ", "header", "sequence"), 256), 1, 8), 16, 10).cast("bigint")
+    genes = result.genes.agg(
+        F.count("*").alias("n"), F.sum(F.length("sequence")).cast("bigint").alias("residues"), F.sum(gene).cast("string").alias("digest")
+    ).select(F.lit("genes").alias("kind"), "n", "residues", "digest")
+    best = result.best_hits()
     parts = (
-        tally("genes", result.genes),
-        tally("gene residues", result.genes, F.sum(F.length("sequence"))),
-        tally("hits", result.hits),
-        tally("best hits", result.best_hits().filter("split_id = 3")),
-        tally("domains", result.domains),
-        tally("database size", result.hits, F.max("bit_score").cast("bigint")),
+        genes,
+        tally("hits", result.hits, F.sum("alignment_length")),
+        tally("best hits", best, F.sum("alignment_length"), F.col("subject_id")),
+        tally("domains", result.domains, F.sum("sequence_length")),
+        tally("database size", result.hits.limit(1), F.max("bit_score")),
     )
-    counts = tally("contigs", result.contigs)
+    counts = tally("contigs", result.contigs, F.sum(F.length("sequence")))
     for part in parts:
         counts = counts.unionByName(part)
     return counts

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandmill.sources.hits import parse_hits
+
 
 def union_hits(splits: list[DataFrame]) -> DataFrame:
     """All hits of several database splits, numbered from 1 in ``split_id``."""
@@ -15,6 +17,11 @@ def union_hits(splits: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, numbered)
 
 
+def read_split_hits(spark: SparkSession, path: str) -> DataFrame:
+    """The hits of all splits below ``path``, whichever there are, by folders ``split_id=<n>``."""
+    return parse_hits(spark.read.text(path).withColumnRenamed("value", "line"), "split_id")
+
+
 def filter_evalue(hits: DataFrame, cutoff: float = 1e-5) -> DataFrame:
     return hits.filter(F.col("e_value") <= cutoff)
 

@@ -19,7 +19,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ NOT_FOUND = 127
 CHUNK = 1 << 20
 ROWS_PER_BATCH = 10_000
 CHARACTERS_PER_BATCH = 8 << 20
+LOG_CHARACTERS = 1 << 20
 PIECES = "part_id INT, piece STRING, seq BIGINT"
 LOG = "part_id INT, host STRING, exit_code INT, n_rows BIGINT, seconds DOUBLE, stdout STRING, stderr STRING"
 
@@ -42,7 +45,8 @@ class ToolSpec:
 
     ``argv`` is a list, or a function from the host name to one. ``{input}``,
     ``{output}``, ``{part}`` and ``{split}`` in it are replaced. Without ``{output}``
-    the program's standard output is its result.
+    the program's standard output is its result. ``environment`` is put on top of the
+    host's; by default it pins the locale, so that hosts count and match alike.
     """
 
     argv: list[str] | Callable[[str], list[str]]
@@ -51,6 +55,7 @@ class ToolSpec:
     help_arg: str = "--help"
     separator: str = "\n"
     values: dict[str, str] = field(default_factory=dict)
+    environment: dict[str, str] = field(default_factory=lambda: {"LC_ALL": "C.UTF-8"})
 
     def command(self, **places: str) -> list[str]:
         argv = self.argv(socket.gethostname()) if callable(self.argv) else self.argv
@@ -62,8 +67,7 @@ class ToolSpec:
 
 @contextmanager
 def _attempt_folder() -> Iterator[str]:
-    parent = SparkFiles.getRootDirectory()
-    folder = tempfile.mkdtemp(prefix="tool-", dir=parent if os.path.isdir(parent) else None)
+    folder = tempfile.mkdtemp(prefix="tool-", dir=SparkFiles.getRootDirectory())
     try:
         yield folder
     finally:
@@ -71,21 +75,33 @@ def _attempt_folder() -> Iterator[str]:
 
 
 def _write_rows(batch: pa.RecordBatch, sink) -> int:
-    rows = batch.column(0).to_pylist()
-    if rows:
-        sink.write(("\n".join("" if row is None else row for row in rows) + "\n").encode())
-    return len(rows)
+    """The rows as lines; the text is joined in Arrow and written as it lies there."""
+    column = batch.column(0)
+    if column.null_count:
+        raise ToolError("a null row has no line; filter nulls or give them a text")
+    if len(column):
+        lines = pc.binary_join_element_wise(column.cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+        begin, end = lines.offset, lines.offset + len(lines)
+        offsets = np.frombuffer(lines.buffers()[1], np.int64)
+        sink.write(memoryview(lines.buffers()[2])[offsets[begin] : offsets[end]])
+    return len(column)
 
 
 def _cut_file(path: str, separator: str) -> Iterator[str]:
     """The rows of an output file, read in chunks; a final line end closes the last row."""
     mark = separator.encode()
-    rest = b""
+    held: list[bytes] = []  # chunks of a row that has not ended yet
     with open(path, "rb") as source:
         while chunk := source.read(CHUNK):
-            *whole, rest = (rest + chunk).split(mark)
+            tail = held[-1][1 - len(mark) :] if held and len(mark) > 1 else b""
+            if mark not in tail + chunk:
+                held.append(chunk)
+                continue
+            *whole, rest = b"".join([*held, chunk]).split(mark)
+            held = [rest]
             for row in whole:
                 yield row.decode("utf-8", "replace")
+    rest = b"".join(held)
     if separator == "\n":
         if rest:
             yield rest.decode("utf-8", "replace")
@@ -126,14 +142,16 @@ class _Run:
     stderr: str
 
 
-def _read_text(path: str) -> str:
-    with open(path, encoding="utf-8", errors="replace") as source:
-        return source.read()
+def _read_text(path: str, most: int = LOG_CHARACTERS) -> str:
+    """The end of a file, ``most`` bytes of it."""
+    with open(path, "rb") as source:
+        source.seek(max(0, os.path.getsize(path) - most))
+        return source.read().decode("utf-8", "replace")
 
 
 def _check_run(spec: ToolSpec, command: list[str], code: int, stdout: str, stderr: str) -> None:
     if code not in spec.ok_codes:
-        raise ToolError(f"{command} ended with exit code {code}: {_read_text(stderr)[-4000:]}")
+        raise ToolError(f"{command} ended with exit code {code}: {_read_text(stderr, 4000)}")
     patterns = [pattern.lower() for pattern in spec.fail_patterns]
     if patterns:
         with open(stdout, encoding="utf-8", errors="replace") as lines:
@@ -153,6 +171,7 @@ def _run(
     stdout, stderr = os.path.join(folder, "stdout"), os.path.join(folder, "stderr")
     command = spec.command(input=source, output=output, part=str(part_id))
     writes_file = any(output in word for word in command)
+    environment = os.environ | spec.environment
     started = time.monotonic()
 
     def feed(sink) -> int:
@@ -165,11 +184,11 @@ def _run(
                 with open(source, "wb", CHUNK) as sink:
                     n_rows = feed(sink)
                 code = subprocess.run(
-                    command, stdin=subprocess.DEVNULL, stdout=out, stderr=err, cwd=folder
+                    command, stdin=subprocess.DEVNULL, stdout=out, stderr=err, cwd=folder, env=environment
                 ).returncode
             else:
                 process = subprocess.Popen(
-                    command, stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=folder
+                    command, stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=folder, env=environment
                 )
                 try:
                     n_rows = feed(process.stdin)
@@ -212,7 +231,10 @@ def pipe_tool(df: DataFrame, spec: ToolSpec) -> DataFrame:
 
 
 def tool_log(df: DataFrame, spec: ToolSpec, through: str = "file") -> DataFrame:
-    """Run a program like :func:`run_tool` and return what each run reported instead."""
+    """Run a program like :func:`run_tool` and return what each run reported instead.
+
+    Of each stream the last ``LOG_CHARACTERS`` bytes are kept.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from strandmill.operators.genes import extract_genes, total_residues
 from strandmill.operators.hits import best_hits
-from strandmill.operators.tools import ToolSpec, as_lines, as_pieces, run_tool, run_tool_over_splits
+from strandmill.operators.tools import ToolSpec, as_lines, as_pieces, check_tool, run_tool, run_tool_over_splits
 from strandmill.plans.workflow import Workflow
 from strandmill.session import ensure_partitions
 from strandmill.sources.domains import parse_domains
@@ -48,8 +48,11 @@ def annotate(
     ``contigs`` gives the assembled contigs and ``database`` the sequences that the
     search database was built from, both as FASTA records. The gene caller prints gene
     calls, the searcher tabular hits and the scanner domain lines; ``{split}`` and
-    ``{database_size}`` in the searcher's command are filled in.
+    ``{database_size}`` in the searcher's command are filled in. All programs are looked
+    for, on the driver and the executors, before anything runs.
     """
+    for tool in (gene_caller, searcher, scanner):
+        check_tool(workflow.spark, tool)
     assembled = workflow.keep(workflow.stage("contigs", lambda: ensure_partitions(contigs(), multiplier)))
     caller = replace(gene_caller, separator=SEPARATOR)
     calls = workflow.keep(

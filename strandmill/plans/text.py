@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from strandmill.operators.lines import (
     passthrough,
     words_per_line,
 )
-from strandmill.operators.tools import ToolSpec, as_lines, map_partitions, run_tool
+from strandmill.operators.tools import ToolSpec, as_lines, check_tool, run_tool
 from strandmill.plans.workflow import Workflow
 
 CAT = ToolSpec(["cat", "{input}"])
@@ -43,18 +44,19 @@ def native(lines: DataFrame, query: str) -> DataFrame:
 def in_memory(lines: DataFrame, query: str) -> DataFrame:
     """The three steps as Python functions over partitions, without files."""
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[frame["line"].str.contains(query, regex=False)]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.match_substring(batch.column(0), query))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"n_words": frame["line"].str.count("[^ ]+").astype("int32")})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.count_substring_regex(batch.column(0), "[^ ]+")
+            yield pa.RecordBatch.from_arrays([words.cast(pa.int32())], ["n_words"])
 
-    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return count(keep(frames))
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count(keep(batches))
 
-    return _total(map_partitions(passthrough(lines), steps, "n_words INT"))
+    return _total(passthrough(lines).select("line").mapInArrow(steps, "n_words INT"))
 
 
 def through_stages(lines: DataFrame, query: str, workflow: Workflow) -> DataFrame:
@@ -67,9 +69,11 @@ def through_stages(lines: DataFrame, query: str, workflow: Workflow) -> DataFram
 
 def with_programs(lines: DataFrame, query: str, workflow: Workflow | None = None) -> DataFrame:
     """``cat``, ``grep`` and ``wc -w`` over the partitions."""
+    for tool in (CAT, grep_tool(query), WORD_COUNT):
+        check_tool(lines.sparkSession, tool)
     stage = workflow.stage if workflow else (lambda _tool, compute: compute())
     passed = stage("cat", lambda: as_lines(run_tool(lines, CAT)))
     kept = stage("grep", lambda: as_lines(run_tool(passed, grep_tool(query))))
     counted = stage("wc", lambda: as_lines(run_tool(kept, WORD_COUNT)))
     first = F.substring_index(F.ltrim("line"), " ", 1)
-    return _total(counted.select(first.cast("int").alias("n_words")))
+    return _total(counted.select(first.cast("bigint").alias("n_words")))

@@ -11,9 +11,9 @@ from strandmill.sources.lines import Paths, drop_marker, read_pieces, write_line
 SEPARATOR = "\n>"
 
 
-def parse_fasta(pieces: DataFrame, exact_first: bool = False) -> DataFrame:
+def parse_fasta(pieces: DataFrame) -> DataFrame:
     """Pieces cut at ``\\n>`` as ``header`` and one-line ``sequence``."""
-    pieces = drop_marker(pieces, ">", exact_first)
+    pieces = drop_marker(pieces)
     header = F.substring_index("piece", "\n", 1)
     ends = F.instr("piece", "\n")
     body = F.when(ends > 0, F.substring(F.col("piece"), ends + 1, F.length("piece"))).otherwise("")
@@ -23,9 +23,12 @@ def parse_fasta(pieces: DataFrame, exact_first: bool = False) -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, path: Paths, exact_first: bool = False) -> DataFrame:
-    """One row per record; a plain file is split over as many tasks as it has blocks."""
-    return parse_fasta(read_pieces(spark, path, SEPARATOR), exact_first)
+def read_fasta(spark: SparkSession, path: Paths) -> DataFrame:
+    """One row per record; a plain file is split over as many tasks as it has blocks.
+
+    The first character of every file is its marker, whatever it is, and is dropped.
+    """
+    return parse_fasta(read_pieces(spark, path, SEPARATOR))
 
 
 def fasta_text(header: Column, sequence: Column, width: int = 75) -> Column:

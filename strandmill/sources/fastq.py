@@ -68,11 +68,11 @@ def _joined_halves(halves: DataFrame) -> DataFrame:
 
 
 def parse_fastq(
-    pieces: DataFrame, fast: bool = False, exact_first: bool = False, with_place: bool = False
+    pieces: DataFrame, fast: bool = False, with_place: bool = False
 ) -> DataFrame:
     """Pieces cut at ``\\n@`` as records; see :func:`read_fastq`."""
     counted = pieces.select(*PLACE, "piece", _has_lines(3).alias("opens"), _has_lines(4).alias("whole"))
-    pieces = drop_marker(counted, "@", exact_first, F.col("opens"))
+    pieces = drop_marker(counted, F.col("opens"))
     whole = F.col("whole")
     if fast:
         quality = F.when(whole, _line(3)).otherwise(
@@ -97,7 +97,6 @@ def read_fastq(
     spark: SparkSession,
     path: Paths,
     fast: bool = False,
-    exact_first: bool = False,
     with_place: bool = False,
 ) -> DataFrame:
     """One row per four-line record; lines beyond the fourth are ignored.
@@ -106,7 +105,7 @@ def read_fastq(
     quality line begins with ``@``; if one does, the query fails. ``with_place`` keeps
     the ``source``, ``block`` and ``seq`` columns that order the records.
     """
-    return parse_fastq(read_pieces(spark, path, SEPARATOR), fast, exact_first, with_place)
+    return parse_fastq(read_pieces(spark, path, SEPARATOR), fast, with_place)
 
 
 def format_fastq(df: DataFrame) -> DataFrame:

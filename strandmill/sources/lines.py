@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandmill.session import ensure_partitions
 
 Paths = str | list[str]
+BROADCAST_FILES = 2_000_000
 
 
 def read_lines(spark: SparkSession, path: Paths, multiplier: float | None = None) -> DataFrame:
@@ -58,7 +59,7 @@ def read_pieces(spark: SparkSession, path: Paths, separator: str) -> DataFrame:
 
 
 def first_pieces(pieces: DataFrame) -> DataFrame:
-    """``source`` and the ``seq`` of each file's first piece."""
+    """``source`` and the ``seq`` of each file's first piece; a light scan of first splits."""
     return (
         pieces.filter(F.col("block") == 0)
         .groupBy("source")
@@ -66,27 +67,21 @@ def first_pieces(pieces: DataFrame) -> DataFrame:
     )
 
 
-def drop_marker(pieces: DataFrame, marker: str, exact: bool, starts_record: Column | None = None) -> DataFrame:
-    """Remove the marker that opens a file; the separator has eaten every other one.
+def drop_marker(pieces: DataFrame, starts_record: Column | None = None) -> DataFrame:
+    """Remove the one character that opens a file; the separator has eaten every other marker.
 
-    A piece of a file's first split that begins with the marker is taken to be the
-    first of the file. ``exact`` looks the first piece up instead, with a second scan,
-    and so is right for headers that begin with the marker themselves and for files
-    whose first line does not.
+    The first piece is the first of its file's first split, whatever its text and however the file is
+    split. It is found by its number in one table of a number per file, which is broadcast while
+    the files are at most ``BROADCAST_FILES``.
     """
-    candidate = F.lit(True) if starts_record is None else starts_record
-    without = F.expr("substring(piece, 2)")
-    if not exact:
-        opens = (F.col("block") == 0) & F.col("piece").startswith(marker) & candidate
-        return pieces.withColumn("piece", F.when(opens, without).otherwise(F.col("piece")))
-    # only the first split of a file takes part, so a huge file is no hot join key
-    opens = (F.col("seq") == F.col("first_seq")) & candidate
-    heads = (
-        pieces.filter("block = 0")
-        .join(small_per_split(first_pieces(pieces), pieces), "source")
-        .withColumn("piece", F.when(opens, without).otherwise(F.col("piece")))
-    )
-    return heads.select(*pieces.columns).unionByName(pieces.filter("block <> 0"))
+    firsts = first_pieces(pieces).select("first_seq")
+    if len(pieces.inputFiles()) <= BROADCAST_FILES:
+        firsts = F.broadcast(firsts)
+    opens = F.col("first_seq").isNotNull()
+    if starts_record is not None:
+        opens = opens & starts_record
+    marked = pieces.join(firsts, F.col("seq") == F.col("first_seq"), "left")
+    return marked.withColumn("piece", F.when(opens, F.expr("substring(piece, 2)")).otherwise(F.col("piece"))).select(*pieces.columns)
 
 
 def small_per_split(per_split: DataFrame, pieces: DataFrame) -> DataFrame:

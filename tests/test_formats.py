@@ -54,17 +54,16 @@ def test_fasta_reads_wrapped_records(spark, tmp_path, split_size, size):
     text = ">one first > still header\nACGT\nAC\n\n>two\n>three\nTT\r\nGG\r\n>\nA"
     path = written(tmp_path / "x.fas", text)
     split_size(size)
-    for exact in (False, True):
-        found = sorted(map(tuple, read_fasta(spark, path, exact).collect()))
-        assert found == [("", "A"), ("one first > still header", "ACGTAC"), ("three", "TTGG"), ("two", "")]
+    found = sorted(map(tuple, read_fasta(spark, path).collect()))
+    assert found == [("", "A"), ("one first > still header", "ACGTAC"), ("three", "TTGG"), ("two", "")]
 
 
 @pytest.mark.parametrize("size", SPLITS)
-def test_exact_fasta_keeps_odd_headers(spark, tmp_path, split_size, size):
+def test_fasta_keeps_odd_headers(spark, tmp_path, split_size, size):
     written(tmp_path / "1.fas", "xno marker\nAC\n>>double\nGT\n>>again\nGG\n")
     written(tmp_path / "2.fas", ">>double first\nAC\n>b\nA\n")
     split_size(size)
-    found = sorted(map(tuple, read_fasta(spark, str(tmp_path), exact_first=True).collect()))
+    found = sorted(map(tuple, read_fasta(spark, str(tmp_path)).collect()))
     assert found == [
         (">again", "GG"), (">double", "GT"), (">double first", "AC"), ("b", "A"), ("no marker", "AC"),
     ]

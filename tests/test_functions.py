@@ -175,3 +175,17 @@ def test_links_resolve_like_the_uri_class(spark):
         if acceptable(row.found) != acceptable(expected := jvm_normalised(spark._jvm, row.page, row.link))
     ]
     assert wrong == []
+
+
+PATTERNS = [
+    "foo$", "^f.o$", "a*", "a**", r"a*\+a", r"a\+*", r"a\{2\}", r"a\{2,\}b", r"a\{,2\}$", r"\(ab\)*c", r"\(ab\)\{2\}", r"\(a\|b\)c", "*a", r"\(*a\)", "^*a",
+    "a^b", "a$b", r"\$", r"a\.b", "[]a]", "[^]a]b", "[[:digit:]]\\+", "[a-c]x", r"\(a\)\1", r"a\?b", "{", "a+b", "a?b", "(a)", "a|b", r"\<a", r"b\>", r"\w\+-", r"a.c", "\r",
+]
+TEXTS = ["foo", "foo\r", "f\ro", "f.o", "aaa", "a", "", "ab", "abab", "ababc", "abc", "bc", "*a", "^a", "a^b", "a$b", "a.b", "axb", "]a", "xb", "12", "ax", "aa", "b", "{", "a+b", "a?b", "(a)", "a|b", "cab a", "x-y", "a\rc", "a\u2028c", "aab", "aaab"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_basic_expressions_find_what_grep_finds(spark, lines, pattern):
+    run = subprocess.run(["grep", "-a", "--", pattern], input="\n".join(TEXTS).encode() + b"\n", capture_output=True, env={"LC_ALL": "C.UTF-8"})
+    expected = sorted(run.stdout.decode().split("\n")[:-1])
+    assert sorted(r.line for r in grep(lines(*TEXTS), pattern).collect()) == expected

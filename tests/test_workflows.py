@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.catalogue import load, workflows as catalogue
+from strandmill.operators.tools import ToolError, ToolSpec
 from strandmill.plans import text
 from strandmill.plans.annotation import annotate
 from strandmill.plans.buckets import done_buckets, resume_buckets
@@ -138,27 +139,36 @@ def test_native_variant_stays_in_the_jvm(spark, tmp_path):
 @pytest.mark.parametrize("recover", [False, True])
 def test_annotation(spark, tmp_path, recover):
     contigs = spark.createDataFrame(
-        [("c1", "ACGTTGCAAC" * 7), ("c2", "G" * 30), ("short", "ACGT")], "header STRING, sequence STRING"
+        [("c1", "ACGTTGCAAC" * 35), ("c2", "G" * 30), ("short", "ACGT")], "header STRING, sequence STRING"
     )
     workflow = Workflow(spark, str(tmp_path), "job", recover=recover)
     tools = (catalogue.GENE_CALLER, catalogue.SEARCHER, catalogue.SCANNER)
     result = annotate(workflow, lambda: contigs, contigs, *tools, n_splits=2, multiplier=0.25)
     genes = {r.header: r.sequence for r in result.genes.collect()}
     assert genes == {
-        "c1_gene_1": "ACGTTGCAAC" * 3, "c1_gene_2": ("ACGTTGCAAC" * 3)[::-1], "c2_gene_1": "G" * 30,
+        "c1_gene_1": "ACGTTGCAAC" * 30, "c1_gene_2": ("ACGTTGCAAC" * 5)[::-1], "c2_gene_1": "G" * 30,
+        "short_gene_1": "ACGT",
     }
-    assert result.database_size == 104
+    assert result.database_size == 384
     hits = result.hits.collect()
-    assert len(hits) == 6 and {(h.split_id, h.subject_id, h.e_value) for h in hits} == {
+    assert len(hits) == 8 and {(h.split_id, h.subject_id, h.e_value) for h in hits} == {
         (1, "S1", 1e-11), (2, "S2", 1e-12),
     }
-    assert all(h.bit_score == 104.0 for h in hits)
+    assert all(h.bit_score == 384.0 for h in hits)
     assert {h.subject_id for h in result.best_hits().collect()} == {"S2"}
     assert sorted((d.protein_accession, d.analysis) for d in result.domains.collect()) == [
-        ("c1_gene_1", "Gene3D"), ("c1_gene_2", "Coils"), ("c2_gene_1", "Gene3D"),
+        ("c1_gene_1", "Gene3D"), ("c1_gene_2", "Coils"), ("c2_gene_1", "Gene3D"), ("short_gene_1", "Gene3D"),
     ]
     workflow.release()
     if recover:
         again = Workflow(spark, str(tmp_path), "job", recover=True)
-        assert annotate(again, lambda: contigs, contigs, *tools, n_splits=2, multiplier=0.25).hits.count() == 6
+        assert annotate(again, lambda: contigs, contigs, *tools, n_splits=2, multiplier=0.25).hits.count() == 8
         assert all(recovered for *_, recovered in again.timings)
+
+
+def test_a_missing_program_is_found_before_any_work(spark, tmp_path):
+    contigs = spark.createDataFrame([("c", "ACGT")], "header STRING, sequence STRING")
+    workflow = Workflow(spark, str(tmp_path), "job", recover=True)
+    with pytest.raises(ToolError, match="no-such-scanner"):
+        annotate(workflow, lambda: contigs, contigs, catalogue.GENE_CALLER, catalogue.SEARCHER, ToolSpec(["no-such-scanner"]))
+    assert workflow.timings == []
