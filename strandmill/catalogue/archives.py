@@ -187,3 +187,34 @@ def warc_metadata_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_tags(F.col("html"))
     return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.size(found).alias("n_tags"), F.array_join(found, " ").alias("tags"))
+
+
+# every form of a link, in a page made of the columns of ``pages``
+SQL_FORMS = """(
+    SELECT page_id, 'http://h' || page_id || '.example/a/b/c.html' AS base, CAST(page_id AS VARCHAR) AS id FROM pages)"""
+
+
+@query(
+    "page_links_resolved",
+    f"""SELECT page_id, unnest([
+            'http://h' || id || '.example/a/up/' || id,
+            'http://other.example/' || id || '/x',
+            'http://h' || id || '.example/a/b/?only=' || id,
+            'https://abs.example/' || id || '#part',
+            'http://h' || id || '.example/area/' || id,
+            'http://h' || id || '.example/a/b/frames/' || id || '.html',
+            'http://h' || id || '.example/a/b/i/' || id]) AS link
+        FROM {SQL_FORMS}""",
+)
+def page_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative, rooted, host-relative and absolute links, queries, and links of other tags."""
+    text = lambda *parts: F.concat(*(F.lit(part) if isinstance(part, str) else part for part in parts))
+    number = F.col("page_id").cast("string")
+    html = text(
+        '<p><a class=x href="../up/', number, '?x=1">up</a> <a href="//other.example/', number, '/x">host</a>',
+        "<a href='?only=", number, "'>query</a> <a href=\"https://abs.example/", number, '#part">absolute</a>',
+        '<area shape=rect href="/area/', number, '"> <frame name=f src="frames/', number, '.html"> <iframe src="./i/', number, '"></iframe>',
+        '<a href="mailto:x@example.com">mail</a> <a href="http://h', number, '.example/a/b/c.html">itself</a>',
+    )
+    made = table(spark, sf_dir, "pages", "page_id").select("page_id", text("http://h", number, ".example/a/b/c.html").alias("url"), html.alias("html"))
+    return link_occurrences(made, "page_id")

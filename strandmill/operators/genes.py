@@ -48,19 +48,17 @@ def extract_genes(annotations: DataFrame, contigs: DataFrame, genomic: bool = Fa
     reverse complement.
 
     A contig joins as one row with all its genes, which are cut before they become rows,
-    so neither its sequence nor its key is multiplied. The checks count names alone.
+    so neither its sequence nor its key is multiplied. A missing contig fails in its row; the check for
+    repeated headers reads the headers of the contigs and nothing else, so annotations are evaluated once.
     """
     found = annotations.select("name", "predicted_genes").join(
-        contigs.select("header", "sequence"), F.col("name") == F.col("header")
+        contigs.select("header", "sequence"), F.col("name") == F.col("header"), "left"
     )
-    records = found.select(F.inline(_cut_genes(genomic)))
-    names = annotations.select("name", F.lit(1).alias("wanted"), F.lit(0).alias("found")).unionByName(
-        contigs.select(F.col("header").alias("name"), F.lit(0).alias("wanted"), F.lit(1).alias("found"))
-    )
-    tallies = names.groupBy("name").agg(F.max("wanted").alias("wanted"), F.sum("found").alias("found"))
-    problem = F.when(F.col("found") > 1, "two contigs have the header ").otherwise("no contig has the header ")
-    broken = tallies.filter((F.col("found") > 1) | ((F.col("wanted") == 1) & (F.col("found") == 0)))
-    return fail_on(records, broken, F.concat(problem, F.col("name")))
+    missing = F.raise_error(F.concat(F.lit("no contig has the header "), F.coalesce("name", F.lit("null"))))
+    genes = F.when(F.col("header").isNotNull(), F.col("predicted_genes")).otherwise(missing.cast(annotations.schema["predicted_genes"].dataType))
+    records = found.withColumn("predicted_genes", genes).select(F.inline(_cut_genes(genomic)))
+    repeated = contigs.groupBy("header").agg(F.count("*").alias("n")).filter("n > 1")
+    return fail_on(records, repeated, F.concat(F.lit("two contigs have the header "), F.coalesce("header", F.lit("null"))))
 
 
 def filter_min_length(contigs: DataFrame, min_length: int = 300) -> DataFrame:
