@@ -30,8 +30,8 @@ from strandmill.llm.common import materialise
 from strandmill.llm.hashing import word_hashes_of_all
 
 ORDER = 5
-MAX_NODES = 800_000
-MAX_WORDS = 200_000
+MAX_NODES = 500_000
+MAX_WORDS = 150_000
 END_WORD = 1  # the key of the end token
 BYTE, WORD = 0, 1
 BATCH_BYTES = 1 << 21
@@ -124,6 +124,12 @@ def _most_frequent(counts: DataFrame, most: int) -> Column:
     return F.col("n") >= least
 
 
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size, on the driver."""
+    table = df.toArrow()
+    return [table.column(c).to_numpy() for c in df.columns]
+
+
 class Trie:
     """The context trie as sorted arrays, one set for each order."""
 
@@ -206,14 +212,15 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
     nodes = materialise(nodes, "lm-nodes")
     context = F.shiftright("key", 8).alias("context")
     contexts = nodes.groupBy("level", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    kept = nodes.where(_most_frequent(nodes, max_nodes)).withColumn("context", context).join(contexts, ["level", "context"]).drop("context").toPandas()
-    by_level = [kept[kept["level"] == j] for j in range(ORDER + 1)]
-    trie = spark.sparkContext.broadcast([tuple(one[c].to_numpy() for c in ("key", "n", "total", "kinds")) for one in by_level])
+    kept = nodes.where(_most_frequent(nodes, max_nodes)).withColumn("context", context).join(contexts, ["level", "context"]).select("level", "key", "n", "total", "kinds")
+    level, *columns = _columns(kept)  # at most max_nodes rows
+    trie = spark.sparkContext.broadcast([tuple(c[level == j] for c in columns) for j in range(ORDER + 1)])
+    del level, columns
     frequent = _most_frequent(words, max_words)
-    common = words.where(frequent).orderBy(F.col("key")).toPandas()
-    common_words = common["key"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(common_words)
-    lexicon = spark.sparkContext.broadcast((common_words[order], common["n"].to_numpy()[order]))
+    common, common_n = _columns(words.where(frequent).select("key", "n"))  # at most max_words rows
+    common = common.view(np.uint64)
+    order = np.argsort(common)
+    lexicon = spark.sparkContext.broadcast((common[order], common_n[order]))
 
     others = [c for c in documents.columns if c != "text"]
 
