@@ -121,13 +121,19 @@ def _mates(spark: SparkSession, sf_dir: str, role: str, fragment: Column) -> Dat
     )
 
 
-def _pair_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Questions and answers as left and right files, in the order of their turns."""
+def _pair_files(spark: SparkSession, sf_dir: str, complete: bool = False, gzip: bool = False) -> tuple[str, str]:
+    """Questions and answers as left and right files, in the order of their turns.
+
+    ``complete`` leaves out questions without an answer and answers without a question.
+    """
     left, right = fresh_dir(spark, "left"), fresh_dir(spark, "right")
     questions = _mates(spark, sf_dir, "user", F.col("turn").cast("string"))
     answers = _mates(spark, sf_dir, "assistant", (F.col("turn") - 1).cast("string"))
-    write_fastq(questions.orderBy("conv_id", "turn"), left)
-    write_fastq(answers.orderBy("conv_id", "turn"), right)
+    if complete:
+        asked, answered = (side.select("conv_id", (F.col("turn") + step).alias("turn")) for side, step in ((questions, 1), (answers, -1)))
+        questions, answers = questions.join(answered, ["conv_id", "turn"], "left_semi"), answers.join(asked, ["conv_id", "turn"], "left_semi")
+    write_fastq(questions.orderBy("conv_id", "turn"), left, gzip)
+    write_fastq(answers.orderBy("conv_id", "turn"), right, gzip)
     return left, right
 
 
@@ -137,21 +143,32 @@ SQL_MATES = """
                conv_id || ':' || (CASE WHEN role = 'user' THEN turn ELSE turn - 1 END) AS read_id,
                replace(text, chr(10), ' ') AS sequence,
                row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS position
-        FROM conversations)
+        FROM conversations c WHERE {which})
     SELECT l.{key} AS {key}, l.sequence AS left_sequence, r.sequence AS right_sequence
     FROM mates l JOIN mates r ON l.{key} = r.{key} AND l.role = 'user' AND r.role = 'assistant'"""
 
 
-@query("mate_pairs_id", SQL_MATES.format(key="read_id"))
+@query("mate_pairs_id", SQL_MATES.format(key="read_id", which="true"))
 def mate_pairs_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _pair_files(spark, sf_dir)
     pairs = read_fastq_pairs(spark, left, right, on="id")
     return pairs.select("read_id", "left_sequence", "right_sequence")
 
 
-@query("mate_pairs_position", SQL_MATES.format(key="position"))
+SQL_COMPLETE = """EXISTS (
+            SELECT 1 FROM conversations m WHERE m.conv_id = c.conv_id
+            AND (c.role = 'user' AND m.role = 'assistant' AND m.turn = c.turn + 1 OR c.role = 'assistant' AND m.role = 'user' AND m.turn = c.turn - 1))"""
+
+
+@query("mate_pairs_position_gzip", SQL_MATES.format(key="position", which=SQL_COMPLETE))
+def mate_pairs_position_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _pair_files(spark, sf_dir, complete=True, gzip=True)
+    return read_fastq_pairs(spark, left, right, on="position").select("position", "left_sequence", "right_sequence")
+
+
+@query("mate_pairs_position", SQL_MATES.format(key="position", which=SQL_COMPLETE))
 def mate_pairs_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = _pair_files(spark, sf_dir)
+    left, right = _pair_files(spark, sf_dir, complete=True)
     pairs = read_fastq_pairs(spark, left, right, on="position")
     return pairs.select("position", "left_sequence", "right_sequence")
 

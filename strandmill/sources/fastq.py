@@ -3,7 +3,7 @@
 Files are cut at a line end followed by ``@``. A quality line may begin with ``@`` too,
 and then cuts its record in two: a piece of three lines and a piece with the rest of
 the quality line. Whole records never leave their task; only such halves are shuffled,
-by split, and at most two of them per split by file.
+by stretches of a split, and at most two of them per stretch by file.
 """
 
 from __future__ import annotations
@@ -16,6 +16,12 @@ from strandmill.sources.lines import Paths, drop_marker, read_pieces, write_line
 
 SEPARATOR = "\n@"
 PLACE = ("source", "block", "seq")
+SUB_BLOCK_BITS = 16
+
+
+def sub_block() -> Column:
+    """The stretch of 65,536 pieces of its split that a piece is in, so that no window is a whole file."""
+    return F.shiftright("seq", SUB_BLOCK_BITS)
 
 
 def _line(index: int) -> Column:
@@ -39,7 +45,7 @@ def _records(pieces: DataFrame, quality: Column, *extra: str) -> DataFrame:
 
 def _joined_halves(halves: DataFrame) -> DataFrame:
     """Records from pieces of fewer than four lines; a half without its mate raises."""
-    in_split = W.partitionBy("source", "block").orderBy("seq")
+    in_split = W.partitionBy("source", "block", sub_block()).orderBy("seq")
     next_is_tail = (F.lead("seq").over(in_split) == F.col("seq") + 1) & ~F.lead("opens").over(in_split)
     after_opener = (F.lag("seq").over(in_split) == F.col("seq") - 1) & F.lag("opens").over(in_split)
     marked = halves.select(
@@ -50,7 +56,7 @@ def _joined_halves(halves: DataFrame) -> DataFrame:
         (~F.col("opens") & F.coalesce(after_opener, F.lit(False))).alias("taken"),
     ).filter(~F.col("taken"))
 
-    # what has no mate yet lies at the ends of splits: at most one piece at either end
+    # what has no mate yet lies at the ends of stretches: at most one piece at either end
     in_file = W.partitionBy("source").orderBy("block", "seq")
     loose = (
         marked.filter(F.col("tail").isNull())
@@ -85,10 +91,10 @@ def parse_fastq(
     return records if with_place else records.drop(*PLACE)
 
 
-def records_per_split(pieces: DataFrame) -> DataFrame:
-    """How many records begin in each file split, and its first ``seq``; one light scan."""
+def records_per_stretch(pieces: DataFrame) -> DataFrame:
+    """How many records begin in each stretch of a split (``sub``), and its first ``seq``; one light scan."""
     opens = F.when(_has_lines(3), 1)
-    return pieces.groupBy("source", "block").agg(
+    return pieces.groupBy("source", "block", sub_block().alias("sub")).agg(
         F.count(opens).alias("n_records"), F.min("seq").alias("first_seq")
     )
 

@@ -84,10 +84,10 @@ def drop_marker(pieces: DataFrame, starts_record: Column | None = None) -> DataF
     return marked.withColumn("piece", F.when(opens, F.expr("substring(piece, 2)")).otherwise(F.col("piece"))).select(*pieces.columns)
 
 
-def small_per_split(per_split: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Broadcast a table of one row per file split, while the splits are few enough.
+def small_per_split(per_split: DataFrame) -> DataFrame:
+    """Broadcast a table of one row per file split.
 
-    A task reads at most 32 files at the default settings, so 20,000 tasks bound the
-    table by 640,000 rows. Beyond that Spark joins it by shuffle.
+    A row is a few numbers (paths are joined by their hash): the 800,000 splits of 100 TB are about
+    40 MB. The driver lists every split to plan the scan, so there are no more than it can hold.
     """
-    return F.broadcast(per_split) if pieces.rdd.getNumPartitions() <= 20_000 else per_split
+    return F.broadcast(per_split)

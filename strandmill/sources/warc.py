@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -214,27 +215,30 @@ def read_warc(
     ``with_truncated``, which adds a ``truncated`` column.
     """
     pieces = _pieces(spark, path)
-    names = pieces.inputFiles()
-    plain = [name for name in names if not name.endswith("gz")]
+    # listed names are encoded as URIs; paths are not
+    names = [unquote(name) for name in pieces.inputFiles()]
+    plain = [name for name in names if not name.endswith((".gz", ".bz2", ".zst"))]
     if plain and not splittable:
         pieces = _whole_files(spark, plain)
         if len(plain) < len(names):
-            pieces = pieces.unionByName(_pieces(spark, [n for n in names if n.endswith("gz")]))
+            pieces = pieces.unionByName(_pieces(spark, [n for n in names if n not in set(plain)]))
     records = pieces.mapInArrow(_records_of_partition, f"{schemas.WARC}, block BIGINT, truncated BOOLEAN")
     if plain and splittable and numbered:
-        records = _numbered(records, pieces)
+        records = _numbered(records)
     records = records.drop("block")
     return records if with_truncated else records.filter(~F.col("truncated")).drop("truncated")
 
 
-def _numbered(records: DataFrame, pieces: DataFrame) -> DataFrame:
+def _numbered(records: DataFrame) -> DataFrame:
     """Add the records of earlier splits to each split's own numbers."""
     counts = records.groupBy("file_path", "block").agg(F.count("*").alias("n_records"))
     earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
         "file_path", "block", F.coalesce(F.sum("n_records").over(earlier), F.lit(0)).alias("offset")
     )
-    numbered = records.join(small_per_split(offsets, pieces), ["file_path", "block"], "left")
+    key = F.xxhash64("file_path").alias("file_key")
+    offsets = small_per_split(offsets.select(key, "block", "offset"))
+    numbered = records.select("*", key).join(offsets, ["file_key", "block"], "left")
     return numbered.withColumn("record_number", F.col("record_number") + F.col("offset")).select(
         *records.columns
     )

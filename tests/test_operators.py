@@ -8,6 +8,8 @@ from strandmill.operators.domains import distinct_analyses, explode_terms, recor
 from strandmill.operators.genes import extract_genes, filter_min_length, total_residues
 from strandmill.operators.hits import best_hits, filter_evalue, top_hits, union_hits
 from strandmill.operators.pairs import read_fastq_pairs
+from strandmill.sources.domains import parse_domains
+from strandmill.sources.hits import parse_hits
 
 FASTA = schemas.FASTA
 
@@ -117,12 +119,12 @@ def test_mate_pairs(spark, tmp_path, split_size, size):
     fastq(tmp_path / "left" / "1", [(f"{a} 1", b, c) for a, b, c in reads[:20]])
     fastq(tmp_path / "left" / "2", [(f"{a} 1", b, c) for a, b, c in reads[20:]])
     fastq(tmp_path / "right" / "1", [(f"{a} 2", b, c) for a, b, c in reads[:5]])
-    fastq(tmp_path / "right" / "2", [(f"{a} 2", b, c) for a, b, c in reads[5:28]])
+    fastq(tmp_path / "right" / "2", [(f"{a} 2", b, c) for a, b, c in reads[5:]])
     split_size(size)
     for on in ("position", "id"):
         pairs = read_fastq_pairs(spark, str(tmp_path / "left"), str(tmp_path / "right"), on=on)
         rows = pairs.collect()
-        assert sorted(int(r.left_sequence) for r in rows) == list(range(28))
+        assert sorted(int(r.left_sequence) for r in rows) == list(range(30))
         assert all(r.left_sequence == r.right_sequence and r.right_header.endswith(" 2") for r in rows)
     with pytest.raises(ValueError):
         read_fastq_pairs(spark, "x", "y", on="name")
@@ -156,3 +158,29 @@ def test_extraction_has_no_cartesian_product(spark):
     contigs = spark.createDataFrame([("c1", "A")], FASTA)
     plan = extract_genes(annotations(spark, ("c1", [])), contigs)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_unequal_sides_fail(spark, tmp_path):
+    record = "@r{0} x\nAC\n+\n@I\n"
+    for side, n in (("left", 5), ("right", 3)):
+        (tmp_path / f"{side}.fq").write_text("".join(record.format(i) for i in range(n)))
+    with pytest.raises(Exception, match="no read at position"):
+        read_fastq_pairs(spark, str(tmp_path / "left.fq"), str(tmp_path / "right.fq")).collect()
+
+
+def test_stretches_number_reads_of_long_files(spark, tmp_path, monkeypatch):
+    from strandmill.sources import fastq
+
+    monkeypatch.setattr(fastq, "SUB_BLOCK_BITS", 2)
+    for side in ("left", "right"):
+        (tmp_path / f"{side}.fq").write_text("".join(f"@r{i} {side}\nAC\n+\n{'@' if i % 3 else 'I'}{i}\n" for i in range(200)))
+    rows = read_fastq_pairs(spark, str(tmp_path / "left.fq"), str(tmp_path / "right.fq")).collect()
+    assert sorted((r.position, r.left_header, r.right_quality_scores) for r in rows) == [
+        (i, f"r{i} left", f"{'@' if i % 3 else 'I'}{i}") for i in range(200)
+    ]
+
+
+def test_a_malformed_record_fails_the_count(spark, lines):
+    for parse in (parse_hits, parse_domains):
+        with pytest.raises(Exception):
+            record_count(parse(lines("bad", "worse"))).collect()
