@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.session import fresh_dir
 
+BROADCAST_ROWS = 300_000  # rows of a few numbers
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -36,6 +37,11 @@ def forget(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` <= BROADCAST_ROWS rows; else Spark chooses."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def held_out(row_id: Column, modulus: int, remainder: int = 2) -> Column:
     """Whether crc32 of ``row_id`` as text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

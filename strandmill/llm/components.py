@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import forget, materialise_at
+from strandmill.llm.common import forget, materialise_at, small
 
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation over edges (a, b) with a > b.
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One star operation over at most ``rows`` edges (a, b) with a > b.
 
     Large: every node links its larger neighbours to the smallest node it sees. Small: every
     node links its smaller neighbours and itself to the smallest of them. Both keep the components.
+    An edge may come out more than once.
     """
+    near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
-        near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = near.join(least, "u")
+        near = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+    least = near.groupBy("u").agg(F.min("v").alias("m"))
+    joined = near.join(small(least, 2 * rows), "u")
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+        return joined.where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
+    # the edge to the smallest itself carries the node's own link
+    return joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -38,15 +37,15 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     spark = edges.sparkSession
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     now, path = materialise_at(ordered, f"{label}-edges")
-    seen = None
+    seen, rows = None, now.count()
     for _ in range(MAX_ROUNDS):
-        after, after_path = materialise_at(_star(_star(now, True), False), f"{label}-stars")
+        after, after_path = materialise_at(_star(_star(now, True, rows), False, rows).distinct(), f"{label}-stars")
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         forget(spark, path)
         now, path = after, after_path
         if state == seen:
             break
-        seen = state
+        seen, rows = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import forget, materialise, materialise_at
+from strandmill.llm.common import forget, materialise, materialise_at, small
 
 MIN_WORDS = 50
 _ODD_SPACE = r"^ | $|  |[\t\x0b\f\r]"
@@ -78,53 +78,54 @@ def _starts(lines: DataFrame) -> DataFrame:
     return _named(placed, ["l1", "l2"], ["doc", "h", "idx", "words", "upto"])
 
 
-def _named(rows: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
-    """``rows`` whose key occurs more than once, named by the key's first place: g and its stretch g_seg."""
+def _named(rows: DataFrame, key: list[str], keep: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """``rows`` whose key occurs more than once, named by the key's first place: g and its stretch g_seg.
+
+    ``most`` bounds the number of rows, if it is known.
+    """
     names = rows.groupBy(*key).agg(F.min(F.struct("pos", "seg")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    names = names if most is None else small(names, most)
     return rows.join(names, key).select("pos", "seg", *(keep or []), F.col("first.pos").alias("g"), F.col("first.seg").alias("g_seg"))
 
 
 def longest_runs(starts: DataFrame) -> DataFrame:
     """(pos, len) of every start that shares a run with an earlier one, ``len`` lines being its longest."""
     spark = starts.sparkSession
-    levels, paths = [starts.select("pos", "seg", "g", "g_seg")], []
-    while True:
+    levels, sizes, paths = [starts.select("pos", "seg", "g", "g_seg")], [starts.count()], []
+    while sizes[-1]:
         half = 1 << (len(levels) - 1)
-        here = levels[-1]
+        here, rows = levels[-1], sizes[-1]
         after = here.select((F.col("pos") - half).alias("pos"), "seg", F.col("g").alias("g2"))
-        pairs = here.select("pos", "seg", "g").join(after, ["pos", "seg"])
-        named, path = materialise_at(_named(pairs, ["g", "g2"]), "run-names")
-        if named.isEmpty():
-            forget(spark, path)
-            break
+        pairs = here.select("pos", "seg", "g").join(small(after, rows), ["pos", "seg"])
+        named, path = materialise_at(_named(pairs, ["g", "g2"], most=rows), "run-names")
         levels.append(named)
+        sizes.append(named.count())
         paths.append(path)
 
-    runs, runs_path = None, None
+    runs, runs_path, n_runs = None, None, 0
     for k in range(len(levels) - 1, -1, -1):
         size, names = 1 << k, levels[k]
         later = names.where("pos > g")
-        fresh = later.select("pos", "seg", F.lit(size).alias("len"), F.col("g").alias("first"), F.col("g_seg").alias("first_seg"))
-        if runs is None:
-            grown = fresh
-        else:
+        grown = later.select("pos", "seg", F.lit(size).alias("len"), F.col("g").alias("first"), F.col("g_seg").alias("first_seg"))
+        if n_runs:
             sharers = runs.select("pos", "seg", "len", "first", F.lit(True).alias("own"))
-            standing = runs.select(F.col("first").alias("pos"), F.col("first_seg").alias("seg"), "len", "first", F.lit(False).alias("own")).distinct()
+            standing = runs.select(F.col("first").alias("pos"), F.col("first_seg").alias("seg"), "len", "first", F.lit(False).alias("own"))
             nexts = sharers.unionAll(standing).withColumn("at", F.col("pos") + F.col("len"))
-            nexts = nexts.join(names.select(F.col("pos").alias("at"), "seg", F.col("g").alias("next")), ["at", "seg"])
-            parts = nexts.groupBy("len", "first", "next").agg(F.min(F.struct("pos", "seg")).alias("least"), F.count("*").alias("n")).where("n > 1")
-            longer = nexts.where("own").join(parts, ["len", "first", "next"]).where(F.col("pos") > F.col("least.pos"))
+            nexts = nexts.join(small(names.select(F.col("pos").alias("at"), "seg", F.col("g").alias("next")), sizes[k]), ["at", "seg"])
+            parts = nexts.groupBy("len", "first", "next").agg(F.min(F.struct("pos", "seg")).alias("least"))
+            longer = nexts.where("own").join(small(parts, 2 * n_runs), ["len", "first", "next"]).where(F.col("pos") > F.col("least.pos"))
             longer = longer.select("pos", F.col("least.pos").alias("first_"), F.col("least.seg").alias("first_seg_"))
-            kept = runs.join(longer, "pos", "left").select(
+            kept = runs.join(small(longer, n_runs), "pos", "left").select(
                 "pos",
                 "seg",
                 F.when(F.col("first_").isNull(), F.col("len")).otherwise(F.col("len") + size).alias("len"),
                 F.coalesce("first_", "first").alias("first"),
                 F.coalesce("first_seg_", "first_seg").alias("first_seg"),
             )
-            grown = kept.unionAll(fresh.join(runs.select("pos"), "pos", "left_anti"))
+            grown = kept.unionAll(grown.join(small(runs.select("pos"), n_runs), "pos", "left_anti"))
         before = runs_path
         runs, runs_path = materialise_at(grown, "run-lengths")
+        n_runs = runs.count()
         if before:
             forget(spark, before)
     forget(spark, *paths)
@@ -175,7 +176,7 @@ def remove_repeated_runs(documents: DataFrame, *, id_col: str = "doc_id", text_c
     only as part of a longer run.
     """
     decided = materialise(repeated_spans(documents, id_col=id_col, text_col=text_col, min_words=min_words), "run-spans")
-    decided = decided.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
+    decided = small(decided, decided.count()).select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
     text = F.col(text_col).cast("string")
     joined = documents.join(decided, F.col(id_col).eqNullSafe(F.col("__doc")) & (_text_hash(text) == F.col("__h")), "left")
     lines = F.split(text, "\n")
