@@ -57,16 +57,18 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 SIBLING_SHARE = 0.2
+MAX_DEPTH = 512  # deeper elements count as their ancestor at this depth, as in browsers
 SEMANTIC_POINTS = 25.0
 
 
 class Element:
     """An element, its place in the tree, and what was found of its text."""
 
-    __slots__ = ("tag", "parent", "left_out", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "left_out", "in_article", "points", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Element | None, left_out: bool):
         self.tag, self.parent, self.left_out = tag, parent, left_out
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.points = 0.0
         self.chars = self.link_chars = 0
 
@@ -163,15 +165,14 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
         parent = stack[-1]
         left_out = parent.left_out
         if not left_out:
-            in_article = any(e.tag in ("article", "main") for e in stack)
-            left_out = _is_furniture(tag, _attributes(token[3]), in_article)
+            left_out = _is_furniture(tag, _attributes(token[3]), parent.in_article)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = len(html) if end is None else end.start()
             if end is not None:
                 at = html.find(">", end.end()) + 1 or len(html)
             continue
-        if tag not in VOID:
+        if tag not in VOID and (len(stack) < MAX_DEPTH or left_out and not parent.left_out):
             stack.append(Element(tag, parent, left_out))
     flush()
     return blocks

@@ -178,6 +178,8 @@ def test_main_text_without_article_element():
     assert main_text.main_text(page).split("\n") == ["A sentence, with commas, and so on, long enough."] * 4 + ["ok"]
     assert main_text.main_text("<p>" + "word, " * 200_000 + "</p>").count("word") == 200_000
     assert main_text.main_text("plain &amp; simple") == "plain & simple"
+    deep = "<div>" * 20_000 + "<p>A sentence, with commas, in there.</p><nav>menu</nav>" + "</div>" * 20_000 + "</b>" * 20_000
+    assert main_text.main_text(deep) == "A sentence, with commas, in there."
 
 
 # --- near dedup ------------------------------------------------------------
