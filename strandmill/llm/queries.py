@@ -187,9 +187,44 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_url_filter")
+def _url_filter_sql(order: int = 4) -> str:
+    """The two Markov models and the threshold in SQL, one level of contexts after another."""
+    parts = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')"
+    ordered = sorted(URL_RULES, key=lambda rule: -len(rule[0]))
+    chosen = [
+        "CASE " + " ".join(f"WHEN {fits.format(*rule[0].split('/', 1))} THEN '{rule[k]}'" for rule in ordered) + " END" for k in (0, 1)
+    ]
+    levels = []
+    for j in range(order + 1):
+        low = ("1.0 / 256", "1.0 / 256") if j == 0 else ("q.pa", "q.pb")
+        shorter = "" if j == 0 else f"JOIN p{j - 1} q ON q.ctx = right(l.ctx, {j - 1}) AND q.ch = l.ch"
+        p = ", ".join(f"CASE WHEN t{x} > 0 THEN ({x} + k{x} * CAST({y} AS DOUBLE)) / (t{x} + k{x}) ELSE CAST({y} AS DOUBLE) END AS p{x}" for x, y in zip("ab", low))
+        levels.append(f"""
+    l{j} AS (SELECT right(ctx, {j}) AS ctx, ch, sum(a) AS a, sum(b) AS b FROM counted GROUP BY ALL),
+    s{j} AS (SELECT ctx, sum(a) AS ta, sum(b) AS tb, count(*) FILTER (a > 0) AS ka, count(*) FILTER (b > 0) AS kb FROM l{j} GROUP BY ctx),
+    p{j} AS (SELECT l.ctx, l.ch, {p} FROM l{j} l JOIN s{j} s ON s.ctx = l.ctx {shorter}),""")
+    return f"""
+    WITH split AS (
+        SELECT page_id, translate({parts.format(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {parts.format(2)} AS path FROM pages),
+    parsed AS (SELECT *, {chosen[0]} AS rule, {chosen[1]} AS by_rule FROM split),
+    urls AS (
+        SELECT host, path, count(*) FILTER (by_rule = 'allow') AS n_allow, count(*) FILTER (by_rule = 'block') AS n_block
+        FROM parsed GROUP BY host, path),
+    padded AS (SELECT *, repeat(chr(2), {order}) || host || path || chr(3) AS p, unnest(range(1, length(host || path) + 2)) AS i FROM urls),
+    grams AS (SELECT host, path, n_allow, n_block, substr(p, i, {order}) AS ctx, substr(p, i + {order}, 1) AS ch FROM padded),
+    counted AS (SELECT ctx, ch, sum(n_allow) AS a, sum(n_block) AS b FROM grams GROUP BY ALL),{"".join(levels)}
+    ratios AS (SELECT ctx, ch, CAST(round((log10(pa) - log10(pb)) * 1000000) AS BIGINT) AS ratio FROM p{order}),
+    scored AS (SELECT host, path, n_allow, n_block, sum(ratio) / count(*) AS score FROM grams JOIN ratios USING (ctx, ch) GROUP BY ALL),
+    threshold AS (SELECT round(0.5 * (sum(score * n_allow) / sum(n_allow) + sum(score * n_block) / sum(n_block)), 3) AS t FROM scored)
+    SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN round(score, 3) < t THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parsed JOIN scored USING (host, path), threshold
+    """
+
+
+@query("op10_url_filter", _url_filter_sql())
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("score")
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
