@@ -35,6 +35,7 @@ SKETCH = 64
 MISS = 1e-9  # the chance that a sketch hides a link of exactly the threshold
 BLOCK_CLASSES = 512
 BROADCAST_ROWS = 1_000_000
+BIT_BUDGET = 1 << 30  # bits of shared shingles that a task holds at most; beyond, sets are intersected pair by pair
 
 
 def needed_overlap(k: int, threshold: tuple[int, int], miss: float = MISS) -> int:
@@ -113,78 +114,70 @@ def candidate_groups(classes: DataFrame, k: int, threshold: tuple[int, int]) ->
     return components(lists.join(roots, "value").select(F.col("class").alias("a"), F.col("root").alias("b")), "groups")
 
 
-class Links:
-    """Union-find over the classes of one task; keeps the links that joined two trees."""
+def held_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set: which of the values that two or more sets hold it holds."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = holders > 1
+    kept = shared[column]
+    rows, column = rows[kept], (np.cumsum(shared) - 1)[column[kept]]
+    words = max(1, -(-int(shared.sum()) // 64))
+    bits = np.zeros((len(sets), words), np.uint64)
+    np.bitwise_or.at(bits, (rows, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return bits
 
-    def __init__(self, labels: list):
-        self.parent = list(range(len(labels)))
-        self.found: list[tuple[int, int]] = []
-        first: dict = {}
-        for i, label in enumerate(labels):
-            self.parent[i] = first.setdefault(label, i)
 
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+def in_both(bits: np.ndarray, i: int, others: np.ndarray | slice) -> np.ndarray:
+    """Numbers of values that set ``i`` shares with each of ``others``."""
+    return np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
 
-    def join(self, i: int, j: int) -> None:
-        self.parent[self.root(i)] = self.root(j)
-        self.found.append((i, j))
 
-
-def sketch_overlap(sets: list[np.ndarray], k: int) -> np.ndarray:
-    """Matrix of the numbers of values that two sketches share."""
-    sizes = [min(k, len(s)) for s in sets]
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    _, column, holders = np.unique(np.concatenate([s[:k] for s in sets]), return_inverse=True, return_counts=True)
-    kept = holders[column] > 1
-    number = np.cumsum(holders > 1) - 1
-    rows, column = rows[kept], number[column[kept]]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    for begin in range(0, int((holders > 1).sum()), 4096):
-        inside = (column >= begin) & (column < begin + 4096)
-        held = np.zeros((len(sets), 4096), np.float32)
-        held[rows[inside], column[inside] - begin] = 1
-        overlap += held @ held.T
-    return overlap
-
-
-def union_share(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
-    """(numbers in both, numbers taken) among the k smallest of the union of two sets."""
-    union = np.union1d(a[:k], b[:k])[:k]
-    return int((np.isin(union, a[:k], assume_unique=True) & np.isin(union, b[:k], assume_unique=True)).sum()), len(union)
+def union_sketch_hits(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of the k smallest values of the union of two full sketches of k both hold, for each row of ``others``."""
+    at = np.searchsorted(mine, others)
+    common = mine[np.minimum(at, len(mine) - 1)] == others
+    place = np.arange(others.shape[1]) + at - (np.cumsum(common, axis=1) - common)
+    return (common & (place < len(mine))).sum(axis=1)
 
 
 def compare(sets: list[np.ndarray], labels: list, sides: list[int], k: int, threshold: tuple[int, int]) -> list[tuple[int, int]]:
     """Links between classes of different labels, enough to connect all that are linked.
 
-    With classes of two sides only pairs across the sides are compared. Pairs of the largest
-    sketch overlap come first, as they connect most.
+    With classes of two sides only pairs across the sides are compared. Each class is held against all
+    others it is not connected with at once, those with the most possible partners first, as they connect most.
     """
-    share = needed_overlap(k, threshold)
+    n, share = len(sets), needed_overlap(k, threshold)
     bounds = np.array(overlap_bounds(k, threshold))
     sizes = np.array([len(s) for s in sets])
     least = bounds[np.minimum(sizes, k)]
-    overlap = sketch_overlap(sets, k)
-    possible = (overlap >= np.maximum(least[:, None], least[None, :])) & (threshold[1] * np.minimum(sizes[:, None], sizes) >= threshold[0] * np.maximum(sizes[:, None], sizes))
+    sketched = held_bits([s[:k] for s in sets])
+    overlap = np.stack([in_both(sketched, i, slice(None)) for i in range(n)])
+    possible = (overlap >= np.maximum(least[:, None], least)) & (threshold[1] * np.minimum(sizes[:, None], sizes) >= threshold[0] * np.maximum(sizes[:, None], sizes))
     side = np.array(sides)
     if side.min() != side.max():
-        possible &= side[:, None] != side[None, :]
-    left, right = np.nonzero(np.triu(possible, 1))
-    links = Links(labels)
-    order = np.argsort(-overlap[left, right], kind="stable")
-    for i, j in zip(left[order].tolist(), right[order].tolist()):
-        if links.root(i) == links.root(j):
-            continue
-        both, taken = union_share(sets[i], sets[j], k)
-        if taken == k and both < share:
+        possible &= side[:, None] != side
+    np.fill_diagonal(possible, False)
+    if not possible.any():
+        return []
+    full_sketch = sizes >= k
+    sketches = np.stack([s[:k] if len(s) >= k else np.zeros(k, np.uint64) for s in sets])
+    bits = held_bits(sets) if n * sizes.sum() <= BIT_BUDGET else None
+    tree = np.unique(np.array(labels), return_inverse=True)[1]
+    found = []
+    for i in np.argsort(-possible.sum(axis=1), kind="stable"):
+        near = np.flatnonzero(possible[i] & (tree != tree[i]))
+        possible[:, i] = False  # every pair is looked at once
+        if full_sketch[i] and len(near):
+            hits = union_sketch_hits(sketches[i], sketches[near])
+            near = near[~full_sketch[near] | (hits >= share)]
+        if not len(near):
             continue
-        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if threshold[1] * common >= threshold[0] * (sizes[i] + sizes[j] - common):
-            links.join(i, j)
-    return links.found
+        common = in_both(bits, i, near) if bits is not None else np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in near])
+        for j in near[threshold[1] * common >= threshold[0] * (sizes[i] + sizes[near] - common)].tolist():
+            if tree[i] != tree[j]:
+                tree[tree == tree[j]] = tree[i]
+                found.append((int(i), j))
+    return found
 
 
 def _full_sets(documents: DataFrame, members: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -201,16 +194,35 @@ def _full_sets(documents: DataFrame, members: DataFrame, shingle: int, id_col: s
     return chosen.mapInArrow(sets, "root long, blocks int, block int, class long, shingles binary")
 
 
-def _links(rows: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links (a, b) found in each (root, task) of rows: root, task, side, class, label, shingles."""
+def stars(names: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(name, smallest name of its tree) for the names that ``links`` join, but for the smallest ones."""
+    tree = {i: [i] for pair in links for i in pair}
+    for i, j in links:
+        if tree[i] is not tree[j]:
+            small, large = sorted((tree[i], tree[j]), key=len)
+            large += small
+            for x in small:
+                tree[x] = large
+    least = {id(members): min(names[x] for x in members) for members in tree.values()}
+    return [(names[i], least[id(members)]) for i, members in tree.items() if names[i] != least[id(members)]]
+
+
+def _links(rows: DataFrame, k: int, threshold: tuple[int, int], across: bool) -> DataFrame:
+    """Links (a, b) found in each (root, task) of rows: root, task, side, class, label, shingles.
+
+    Within a block each class comes with the smallest class that it is connected with there; across
+    two blocks labels come in pairs.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
 
         def done() -> pa.RecordBatch:
             names = list(held)
-            found = compare([held[c][0] for c in names], [held[c][1] for c in names], [held[c][2] for c in names], k, threshold) if len(names) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([names[p[x]] for p in found], pa.int64()) for x in (0, 1)], ["a", "b"])
+            sets, labels, sides = ([held[c][x] for c in names] for x in range(3))
+            found = compare(sets, labels, sides, k, threshold)
+            pairs = [(labels[i], labels[j]) for i, j in found] if across else stars(names, found)
+            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for root, task, side, name, label, shingles in zip(*(batch.column(c).to_pylist() for c in ("root", "task", "side", "class", "label", "shingles"))):
@@ -256,16 +268,18 @@ def near_duplicates(
     members = materialise(members, "members")
     sets = materialise(_full_sets(documents, members, shingle, id_col, text_col), "shingle-sets")
     inside = sets.select("root", F.col("block").cast("string").alias("task"), F.lit(0).alias("side"), "class", F.col("class").alias("label"), "shingles")
-    links = materialise(_links(inside, sketch, threshold), "links")
+    linked = materialise(_links(inside, sketch, threshold, across=False), "links").select(F.col("a").alias("class"), F.col("b").alias("root"))
     if not members.where("blocks > 1").isEmpty():
-        labels = components(links, "inside").select(F.col("node").alias("class"), F.col("root").alias("label"))
+        labels = linked.withColumnRenamed("root", "label")
         wide = sets.where("blocks > 1").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))
         across = wide.select("root", "block", "class", "label", "shingles", F.explode(others).alias("other")).select(
             "root", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "label", "shingles"
         )
-        links = links.unionAll(materialise(_links(across, sketch, threshold), "links-across"))
-    linked = components(links, "links").select(F.col("node").alias("class"), "root")
+        roots = components(_links(across, sketch, threshold, across=True), "links").withColumnRenamed("root", "top")
+        joined = labels.join(roots, F.col("label") == F.col("node"), "left").select("class", F.coalesce("top", "label").alias("root"))
+        linked = joined.unionAll(roots.where("node <> top").select("node", "top"))
+    linked = linked.unionAll(linked.select("root", "root").distinct())
     named = linked.join(classes.select("class", "least_id"), "class")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = classes.select("class", "f1", "f2", "n", "least_id").join(named.join(names, "root").select("class", "component_id"), "class", "left").select(
