@@ -17,7 +17,7 @@ import json
 import random
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -116,6 +116,12 @@ class ByteBpeEncoder:
         return self._encode(text)
 
 
+@cache
+def encoder(path: str) -> ByteBpeEncoder:
+    """The encoder of a Python worker, whose memo serves all the tasks that the worker runs."""
+    return ByteBpeEncoder(path)
+
+
 def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces: full ones, after a shorter first one if that is needed."""
     first = n_tokens % capacity or min(n_tokens, capacity)
@@ -128,7 +134,7 @@ def tokenised_pieces(documents: DataFrame, tokenizer_path: str, id_col: str, tex
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteBpeEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
