@@ -34,25 +34,25 @@ MAX_NODES = 500_000
 MAX_WORDS = 150_000
 END_WORD = 1  # the key of the end token
 BYTE, WORD = 0, 1
-BATCH_BYTES = 1 << 21
-HELD_ENTRIES = 3_000_000
+BATCH_BYTES = 1 << 20
+HELD_ENTRIES = 1_500_000
 
 
-def _lowered(batch: pa.RecordBatch) -> list[bytes]:
-    """The texts of a batch as bytes with A-Z lower-cased; empty for null."""
-    return [(text.as_py() or "").encode().lower() for text in batch.column("text")]
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch as bytes with A-Z lower-cased, empty for null, about ``BATCH_BYTES`` at a time.
 
-
-def _portions(raws: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``BATCH_BYTES`` together."""
-    begin, size = 0, 0
-    for i, raw in enumerate(raws):
-        if i > begin and size + len(raw) > BATCH_BYTES:
-            yield begin, i
-            begin, size = i, 0
+    With each portion goes the row of its first text.
+    """
+    begin, size, raws = 0, 0, []
+    for i, text in enumerate(batch.column("text")):
+        raw = (text.as_py() or "").encode().lower()
+        if raws and size + len(raw) > BATCH_BYTES:
+            yield begin, raws
+            begin, size, raws = i, 0, []
+        raws.append(raw)
         size += len(raw)
-    if begin < len(raws):
-        yield begin, len(raws)
+    if raws:
+        yield begin, raws
 
 
 def contexts_and_bytes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +90,7 @@ def corpus_counts(training: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
         for batch in batches:
-            raws = _lowered(batch)
-            for begin, end in _portions(raws):
-                portion = raws[begin:end]
+            for _, portion in _portions(batch):
                 words, _ = word_hashes_of_all(portion)
                 words = np.concatenate((words, np.full(len(portion), END_WORD, np.uint64)))
                 for kind, keys in ((BYTE, contexts_and_bytes(portion)[0]), (WORD, words)):
@@ -228,9 +226,7 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
         model = Trie(trie.value)
         known, known_n = lexicon.value
         for batch in batches:
-            raws = _lowered(batch)
-            for begin, end in _portions(raws):
-                portion = raws[begin:end]
+            for begin, portion in _portions(batch):
                 numbers, sizes = contexts_and_bytes(portion)
                 distinct, inverse = np.unique(numbers, return_inverse=True)
                 scores = np.add.reduceat(model.log10(distinct)[inverse], np.cumsum(np.concatenate(([0], sizes[:-1]))))
@@ -252,7 +248,7 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
                 repeats = np.diff(np.concatenate((first, [len(by)])))
                 offsets = pa.array(np.searchsorted(rest_owner[first], np.arange(len(portion) + 1)), pa.int32())
                 rare = [pa.ListArray.from_arrays(offsets, values) for values in (pa.array(rest_key[first].astype(np.int64)), pa.array(repeats.astype(np.int64)))]
-                part = batch.slice(begin, end - begin)
+                part = batch.slice(begin, len(portion))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in others), pa.array(n_words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), *rare],
                     [*others, "n_tokens", "n_common", "base_common", "score", "rare", "rare_n"],
