@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +52,24 @@ def held_out(row_id: Column, modulus: int, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function whose task gives its memory back when it ends.
+
+    Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

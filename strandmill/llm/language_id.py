@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandmill.llm.common import tidy
+
 PROFILE = 300
 SAMPLE_ROWS = 2_000
 MAX_LANGUAGES = 1_000
@@ -130,7 +132,7 @@ def learn_profiles(
                 counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))
     profiles: dict[str, list[int]] = {}
     for row in counted.withColumn("place", place).where(F.col("place") <= length).orderBy("lang", "place").collect():
@@ -155,4 +157,4 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], *, id_col: st
             )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(tidy(judge), schema)

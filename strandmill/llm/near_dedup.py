@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.llm.common import materialise
+from strandmill.llm.common import materialise, tidy
 from strandmill.llm.components import components
 from strandmill.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -35,6 +35,7 @@ SKETCH = 64
 MISS = 1e-9  # the chance that a sketch hides a link of exactly the threshold
 BLOCK_CLASSES = 512
 BROADCAST_ROWS = 1_000_000
+PORTION = 1_000  # rows that a task turns into arrays at a time
 BIT_BUDGET = 1 << 30  # bits of shared shingles that a task holds at most; beyond, sets are intersected pair by pair
 
 
@@ -64,7 +65,7 @@ def shingle_table(documents: DataFrame, k: int, shingle: int, id_col: str, text_
     docs = _keyed(documents, id_col, text_col)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PORTION) for whole in batches for at in range(0, whole.num_rows, PORTION)):
             n, f1, f2, kept = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_hashes(word_hashes(text.as_py() or ""), shingle)
@@ -86,7 +87,7 @@ def shingle_table(documents: DataFrame, k: int, shingle: int, id_col: str, text_
     schema = T.StructType(
         [docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("row_key", "n", "f1", "f2")), T.StructField("sketch", T.ArrayType(T.LongType()))]
     )
-    return docs.mapInArrow(sketches, schema)
+    return docs.mapInArrow(tidy(sketches), schema)
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,11 +188,11 @@ def _full_sets(documents: DataFrame, members: DataFrame, shingle: int, id_col: s
     chosen = _keyed(documents, id_col, text_col).join(members, F.col("row_key") == F.col("class")).select("root", "blocks", "block", "class", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PORTION) for whole in batches for at in range(0, whole.num_rows, PORTION)):
             full = [shingle_hashes(word_hashes(text.as_py() or ""), shingle).tobytes() for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "blocks", "block", "class")), pa.array(full, pa.binary())], ["root", "blocks", "block", "class", "shingles"])
 
-    return chosen.mapInArrow(sets, "root long, blocks int, block int, class long, shingles binary")
+    return chosen.mapInArrow(tidy(sets), "root long, blocks int, block int, class long, shingles binary")
 
 
 def stars(names: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,17 +226,18 @@ def _links(rows: DataFrame, k: int, threshold: tuple[int, int], across: bool) ->
             return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for root, task, side, name, label, shingles in zip(*(batch.column(c).to_pylist() for c in ("root", "task", "side", "class", "label", "shingles"))):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("root", "task", "side", "class", "label")), batch.column("shingles"))
+            for root, task, side, name, label, shingles in rows:
                 if (root, task) != key:
                     if len(held) > 1:
                         yield done()
                     key, held = (root, task), {}
-                held[name] = (np.frombuffer(shingles, np.uint64), label, side)  # a repeated row says the same again
+                held[name] = (np.frombuffer(shingles.as_py(), np.uint64), label, side)  # a repeated row says the same again
         if len(held) > 1:
             yield done()
 
     dealt = rows.repartition("root", "task").sortWithinPartitions("root", "task", "class")
-    return dealt.select("root", "task", "side", "class", "label", "shingles").mapInArrow(stream, "a long, b long")
+    return dealt.select("root", "task", "side", "class", "label", "shingles").mapInArrow(tidy(stream), "a long, b long")
 
 
 def near_duplicates(

@@ -17,7 +17,7 @@ import json
 import random
 import zlib
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache, cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.llm.common import materialise
+from strandmill.llm.common import materialise, tidy
 
 CAPACITY = 2048
 BLOCK_PIECES = 1024
@@ -35,7 +35,7 @@ POPULATION = 4
 GENERATIONS = 10
 WELL_FILLED = 0.99
 MAX_DEALS = 5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 class ByteBpeEncoder:
@@ -48,9 +48,7 @@ class ByteBpeEncoder:
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [token["content"] for token in spec.get("added_tokens") or []]
@@ -63,8 +61,18 @@ class ByteBpeEncoder:
             and steps.get("use_regex", True)
         )
         self.memo_words, self.heads, self.tails = memo_words, {}, {}
-        self.line_feed = self._encode("\n") if self.by_word else b""
         self._ordinary = self._ranked(spec["model"]["vocab"]) if self.by_word else None
+        self.line_feed = self._word("\n") if self.by_word else b""
+
+    @cached_property
+    def whole(self):
+        """The library's tokeniser, loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _word(self, text: str) -> bytes:
+        return np.array(self._ordinary(text), "<u4").tobytes()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,7 +99,7 @@ class ByteBpeEncoder:
                 for word in words:
                     if word not in memo:
                         plain = word and not word[0].isspace() and not word[-1].isspace()
-                        memo[word] = np.array(self._ordinary(blank + word), "<u4").tobytes() if plain else None
+                        memo[word] = self._word(blank + word) if plain else None
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -153,7 +161,7 @@ def tokenised_pieces(documents: DataFrame, tokenizer_path: str, id_col: str, tex
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))]
     )
-    return docs.mapInArrow(pieces, schema)
+    return docs.mapInArrow(tidy(pieces), schema)
 
 
 class Packer:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.llm.common import materialise
+from strandmill.llm.common import materialise, tidy
 from strandmill.llm.hashing import word_hashes_of_all
 
 ORDER = 5
@@ -103,7 +103,7 @@ def corpus_counts(training: DataFrame) -> DataFrame:
             if held[kind]:
                 yield rows(kind)
 
-    return training.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(tidy(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> Column:
@@ -259,7 +259,7 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
         + [T.StructField(c, kind) for c, kind in (("n_tokens", T.LongType()), ("n_common", T.LongType()), ("base_common", T.DoubleType()), ("score", T.DoubleType()))]
         + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "rare_n")]
     )
-    scored = documents.select(*others, "text").mapInArrow(score, schema)
+    scored = documents.select(*others, "text").mapInArrow(tidy(score), schema)
     scored = materialise(scored.withColumn("row_number_", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row_number_", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row_number_", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("times"))
     looked_up = (
