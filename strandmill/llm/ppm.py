@@ -8,9 +8,12 @@ has are excluded; below the empty context every byte left is equally likely. A t
 the sum over its bytes and an end byte.
 
 Counts cover all training texts. Shorter contexts are sums over longer ones, so one table of
-(context, byte) counts is shuffled. The trie that is broadcast keeps the nodes of at least a least count,
-chosen so that there are at most ``max_nodes``; what is not kept adds its count to its context's
-escape, so the probabilities still sum to one.
+(context, byte) counts is shuffled. The model is that table, whole: one row per context. What is broadcast is a cache of
+bounded size: the probabilities of the most frequent bytes with their full contexts, at most ``cache_nodes``, and the
+lowest orders. The documents' other bytes with their contexts are made distinct, joined to the table one order after the other and
+joined back, so every probability is that of the whole model. Only if ``max_nodes`` is given is the model pruned: it then keeps
+the nodes of at least a least count, chosen so that there are at most that many; what is not kept adds its
+count to its context's escape, so the probabilities still sum to one.
 
 The base score is a unigram model of words. Counts of the frequent words, at most
 ``max_words``, are broadcast; a document's other words are joined to the count table.
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +34,14 @@ from strandmill.llm.common import materialise, tidy
 from strandmill.llm.hashing import word_hashes_of_all
 
 ORDER = 5
-MAX_NODES = 500_000
+CACHE_NODES = 500_000
+LOW_NODES = 100_000  # orders 0 and 1 have at most 65,792
 MAX_WORDS = 150_000
 END_WORD = 1  # the key of the end token
 BYTE, WORD = 0, 1
 BATCH_BYTES = 1 << 20
 HELD_ENTRIES = 1_500_000
+LISTS = ("unseen", "unseen_n", "rare", "rare_n")
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -160,11 +166,16 @@ class Trie:
         at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
         return at, sorted_keys[at] == keys
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each number after the bytes before it."""
+    def log10(self, grams: np.ndarray, gone_total: np.ndarray | None = None, gone_distinct: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the probability of the last byte of each number after the bytes before it.
+
+        A number that escaped from a context longer than the trie's comes with the count, in the context one byte shorter,
+        of the bytes found there, and with how many these are.
+        """
         result = np.zeros(len(grams))
         open_ = np.ones(len(grams), bool)  # the byte has not been found yet
-        gone_total, gone_distinct = np.zeros(len(grams)), np.zeros(len(grams))
+        gone_total = np.zeros(len(grams)) if gone_total is None else gone_total
+        gone_distinct = np.zeros(len(grams)) if gone_distinct is None else gone_distinct
         for j in range(len(self.grams) - 1, -1, -1):
             keys, counts = self.grams[j]
             context, kept, distinct, escape, excluded = self.contexts[j]
@@ -188,12 +199,87 @@ class Trie:
         return result
 
 
-def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
+def _levels(grams: DataFrame) -> DataFrame:
+    """(level, key, n, above) of every node: its count and that of the same byte in the context one byte shorter."""
+    nodes, level = None, grams.select("key", "n")
+    for j in range(ORDER, -1, -1):
+        short = F.col("key").bitwiseAND((1 << 8 * j) - 1)
+        above = F.sum("n").over(W.partitionBy(short)) if j else F.lit(0).cast("long")
+        mine = level.select(F.lit(j).alias("level"), "key", "n", above.alias("above"))
+        nodes = mine if nodes is None else nodes.unionAll(mine)
+        level = level.groupBy(short.alias("key")).agg(F.sum("n").alias("n"))
+    return nodes
+
+
+def _contexts(nodes: DataFrame, kept: Column) -> DataFrame:
+    """One row per context with a kept node: the sums ``Trie`` has, and the counts of its kept bytes, at most 256."""
+    byte = F.when(kept, F.struct(F.col("key").bitwiseAND(255).alias("byte"), "n"))
+    return (
+        nodes.groupBy("level", F.shiftright("key", 8).alias("context"))
+        .agg(
+            F.sum("n").alias("total"),
+            F.count("*").alias("kinds"),
+            F.sum(F.when(kept, F.col("n"))).alias("held"),
+            F.count(byte).alias("distinct"),
+            F.sum(F.when(kept, F.col("above"))).alias("excluded"),
+            F.map_from_entries(F.collect_list(byte)).alias("bytes"),
+        )
+        .where("distinct > 0")
+        .withColumn("escape", F.col("kinds") + F.col("total") - F.col("held"))
+    )
+
+
+def _exact(asked: DataFrame, contexts: DataFrame, low: list[tuple[np.ndarray, ...]]) -> DataFrame:
+    """(key, log) of the distinct ``asked`` keys by the whole model; ``low`` has the nodes of the lowest orders."""
+    nothing = F.lit(0.0)
+    open_ = asked.select("key", nothing.alias("log"), F.lit(False).alias("found"), nothing.alias("gone_total"), nothing.alias("gone_distinct"))
+    for j in range(ORDER, len(low) - 1, -1):
+        here = contexts.where(F.col("level") == j).select("context", "held", "distinct", "escape", "excluded", "bytes")
+        joined = open_.join(here, F.shiftright(F.col("key").bitwiseAND((1 << 8 * (j + 1)) - 1), 8) == F.col("context"), "left")
+        n = F.try_element_at("bytes", F.col("key").bitwiseAND(255))
+        new = F.col("escape") - F.col("gone_distinct")
+        room = F.col("held") - F.col("gone_total") + new
+        known, hit = ~F.col("found") & F.col("context").isNotNull(), n.isNotNull()
+        step = F.when(known & hit, F.log10(n / room)).when(known & (new > 0), F.log10(new / room)).otherwise(nothing)
+        open_ = joined.select(
+            "key",
+            (F.col("log") + step).alias("log"),
+            (F.col("found") | known & hit).alias("found"),
+            F.when(known, F.col("excluded").cast("double")).otherwise(nothing).alias("gone_total"),
+            F.when(known, F.col("distinct").cast("double")).otherwise(nothing).alias("gone_distinct"),
+        )
+    shared = asked.sparkSession.sparkContext.broadcast(low)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(shared.value)
+        for batch in batches:
+            key, log, found, gone_total, gone_distinct = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            log = log.copy()
+            log[~found] += trie.log10(key[~found].astype(np.uint64), gone_total[~found], gone_distinct[~found])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(log)], ["key", "log"])
+
+    return open_.mapInArrow(tidy(finish), "key long, log double")
+
+
+def _lists(owner: np.ndarray, keys: np.ndarray, rows: int) -> list[pa.ListArray]:
+    """Of each of ``rows`` owners its different keys, and how often it has each."""
+    by = np.lexsort((keys, owner))
+    owner, keys = owner[by], keys[by]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))) if len(by) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    repeats = np.diff(np.concatenate((first, [len(by)])))
+    offsets = pa.array(np.searchsorted(owner[first], np.arange(rows + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, values) for values in (pa.array(keys[first].astype(np.int64)), pa.array(repeats.astype(np.int64)))]
+
+
+def score_texts(
+    documents: DataFrame, training: DataFrame, *, max_nodes: int | None = None, max_words: int = MAX_WORDS, cache_nodes: int = CACHE_NODES
+) -> DataFrame:
     """``documents`` (row columns and ``text``), with n_tokens, n_known, train_tokens, base_score, score in place of the text.
 
     ``training`` has the training ``text``s. A null text is empty and is scored as its end
     token. Without training texts every byte is equally likely, no token is known, and the base score is that of N = V = 0, log10(1) = 0. Repeated rows
-    are scored one by one.
+    are scored one by one. ``cache_nodes`` changes no score; ``max_nodes`` prunes the model, by default not at all.
     """
     spark = documents.sparkSession
     counts = materialise(corpus_counts(training.select("text")), "lm-counts")
@@ -201,19 +287,21 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     train_tokens, unit = totals["n"] or 0, float((totals["n"] or 0) + (totals["v"] or 0) + 1)
 
-    levels = [grams.select(F.lit(ORDER).alias("level"), "key", "n")]
-    for j in range(ORDER - 1, -1, -1):
-        levels.insert(0, levels[0].groupBy(F.lit(j).alias("level"), F.col("key").bitwiseAND((1 << 8 * (j + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")))
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionAll(level)
-    nodes = materialise(nodes, "lm-nodes")
-    context = F.shiftright("key", 8).alias("context")
-    contexts = nodes.groupBy("level", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    kept = nodes.where(_most_frequent(nodes, max_nodes)).withColumn("context", context).join(contexts, ["level", "context"]).select("level", "key", "n", "total", "kinds")
-    level, *columns = _columns(kept)  # at most max_nodes rows
-    trie = spark.sparkContext.broadcast([tuple(c[level == j] for c in columns) for j in range(ORDER + 1)])
-    del level, columns
+    nodes = materialise(_levels(grams), "lm-nodes")
+    contexts = materialise(_contexts(nodes, F.lit(True) if max_nodes is None else _most_frequent(nodes, max_nodes)), "lm-contexts")
+    sizes = {r["level"]: r["nodes"] for r in contexts.groupBy("level").agg(F.sum("distinct").alias("nodes")).collect()}
+    orders = 2
+    while orders <= ORDER and sum(sizes.get(j, 0) for j in range(orders + 1)) <= LOW_NODES:
+        orders += 1
+    entry = F.explode("bytes").alias("byte", "n")
+    key = (F.shiftleft("context", 8) + F.col("byte")).alias("key")
+    level, *columns = _columns(contexts.where(F.col("level") < orders).select("level", "context", "total", "kinds", entry).select("level", key, "n", "total", "kinds"))
+    low = [tuple(c[level == j] for c in columns) for j in range(orders)]  # at most LOW_NODES rows
+    full = contexts.where(F.col("level") == ORDER).select("context", (F.col("held") + F.col("escape")).alias("room"), entry).select(key, "n", "room")
+    top, top_n, top_room = _columns(full.where(_most_frequent(full, cache_nodes)))  # at most cache_nodes rows
+    order = np.argsort(top)
+    cache = spark.sparkContext.broadcast((top[order].astype(np.uint64), np.log10(top_n[order] / top_room[order])))
+    del level, columns, top, top_n, top_room
     frequent = _most_frequent(words, max_words)
     common, common_n = _columns(words.where(frequent).select("key", "n"))  # at most max_words rows
     common = common.view(np.uint64)
@@ -223,13 +311,18 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
     others = [c for c in documents.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Trie(trie.value)
+        cached, cached_log = cache.value
         known, known_n = lexicon.value
         for batch in batches:
             for begin, portion in _portions(batch):
                 numbers, sizes = contexts_and_bytes(portion)
                 distinct, inverse = np.unique(numbers, return_inverse=True)
-                scores = np.add.reduceat(model.log10(distinct)[inverse], np.cumsum(np.concatenate(([0], sizes[:-1]))))
+                at, found = Trie._find(cached, distinct)
+                logs = np.zeros(len(distinct))
+                logs[found] = cached_log[at[found]]
+                scores = np.add.reduceat(logs[inverse], np.cumsum(np.concatenate(([0], sizes[:-1]))))
+                unseen = ~found[inverse]
+                lists = _lists(np.repeat(np.arange(len(portion)), sizes)[unseen], numbers[unseen], len(portion))
                 words_, n_words = word_hashes_of_all(portion)
                 owner = np.repeat(np.arange(len(portion)), n_words + 1)
                 keys = np.full(len(owner), END_WORD, np.uint64)
@@ -240,38 +333,39 @@ def score_texts(documents: DataFrame, training: DataFrame, *, max_nodes: int = M
                 at, found = Trie._find(known, keys)
                 base = np.bincount(owner[found], np.log10(known_n[at[found]] + 1.0), len(portion)) if found.any() else np.zeros(len(portion))
                 n_known = np.bincount(owner[found], minlength=len(portion))
-                rest_owner, rest_key = owner[~found], keys[~found]
-                by = np.lexsort((rest_key, rest_owner))
-                rest_owner, rest_key = rest_owner[by], rest_key[by]
-                new = np.concatenate(([True], (rest_owner[1:] != rest_owner[:-1]) | (rest_key[1:] != rest_key[:-1]))) if len(by) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                repeats = np.diff(np.concatenate((first, [len(by)])))
-                offsets = pa.array(np.searchsorted(rest_owner[first], np.arange(len(portion) + 1)), pa.int32())
-                rare = [pa.ListArray.from_arrays(offsets, values) for values in (pa.array(rest_key[first].astype(np.int64)), pa.array(repeats.astype(np.int64)))]
+                lists += _lists(owner[~found], keys[~found], len(portion))
                 part = batch.slice(begin, len(portion))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in others), pa.array(n_words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), *rare],
-                    [*others, "n_tokens", "n_common", "base_common", "score", "rare", "rare_n"],
+                    [*(part.column(c) for c in others), pa.array(n_words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), *lists],
+                    [*others, "n_tokens", "n_common", "base_common", "score_cached", *LISTS],
                 )
 
     schema = T.StructType(
         [documents.schema[c] for c in others]
-        + [T.StructField(c, kind) for c, kind in (("n_tokens", T.LongType()), ("n_common", T.LongType()), ("base_common", T.DoubleType()), ("score", T.DoubleType()))]
-        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "rare_n")]
+        + [T.StructField(c, kind) for c, kind in (("n_tokens", T.LongType()), ("n_common", T.LongType()), ("base_common", T.DoubleType()), ("score_cached", T.DoubleType()))]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in LISTS]
     )
     scored = documents.select(*others, "text").mapInArrow(tidy(score), schema)
     scored = materialise(scored.withColumn("row_number_", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("row_number_", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row_number_", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("times"))
-    looked_up = (
-        rare.join(words.where(~frequent), "key")
-        .groupBy("row_number_")
-        .agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base_rare"))
+
+    def rest(keys: str, times: str) -> DataFrame:
+        return scored.select("row_number_", F.explode(F.arrays_zip(keys, times)).alias("w")).select(
+            "row_number_", F.col(f"w.{keys}").alias("key"), F.col(f"w.{times}").alias("times")
+        )
+
+    rare, unseen = rest("rare", "rare_n"), rest("unseen", "unseen_n")
+    of_words = rare.join(words.where(~frequent), "key").select(
+        "row_number_", F.col("times").alias("n_rare"), (F.col("times") * F.log10(F.col("n") + 1)).alias("base_rare"), F.lit(0.0).alias("score_rest")
+    )
+    of_bytes = unseen.join(materialise(_exact(unseen.select("key").distinct(), contexts, low), "lm-looked-up"), "key").select(
+        "row_number_", F.lit(0).cast("long").alias("n_rare"), F.lit(0.0).alias("base_rare"), (F.col("times") * F.col("log")).alias("score_rest")
     )
+    looked_up = of_words.unionAll(of_bytes).groupBy("row_number_").agg(*(F.sum(c).alias(c) for c in ("n_rare", "base_rare", "score_rest")))
     return scored.join(looked_up, "row_number_", "left").select(
         *others,
         "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base_common") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(unit)))).alias("base_score"),
-        "score",
+        (F.col("score_cached") + F.coalesce("score_rest", F.lit(0.0))).alias("score"),
     )

@@ -360,6 +360,21 @@ def test_probabilities_of_a_pruned_trie_sum_to_one(spark):
         assert (10 ** trie.log10(np.array([start | s for s in range(256)], np.uint64))).sum() == pytest.approx(1)
 
 
+def test_scores_are_those_of_the_whole_model_at_any_size(spark):
+    rng = random.Random(16)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(i, say(25_000)) for i in range(12)]
+    new = [(20, say(300)), (21, rows[0][1][:200]), (22, ""), (23, "\u00e9\u00e9 zzz")]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame(new, "doc_id long, text string")
+    raws = [t.encode() for _, t in rows]
+    assert sum(len({r[i : i + k] for r in raws for i in range(len(r) - k + 1)}) for k in range(1, 7)) > 500_000
+    expected = {d: brute_ppm(raws, t.encode(), ppm.ORDER) for d, t in new}
+    got = {r["doc_id"]: r["score"] for r in ppm.score_texts(asked, training).collect()}
+    assert got == {d: pytest.approx(x, rel=1e-9) for d, x in expected.items()}
+    assert {r["doc_id"]: r["score"] for r in ppm.score_texts(asked, training, cache_nodes=0).collect()} == {d: pytest.approx(x, rel=1e-9) for d, x in expected.items()}
+
+
 def test_scores_edges(spark):
     table = spark.createDataFrame(AWKWARD, "doc_id long, text string")
     assert ppm.score_texts(table, table).count() == len(AWKWARD)
