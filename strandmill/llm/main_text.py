@@ -3,7 +3,8 @@
 Every paragraph gives points for its length and its commas to the elements that hold it: all to
 the parent, half to the grandparent, less and less further up. An element's points are discounted by the
 share of its text that lies in links. The best element is the container of the article, together with its
-siblings that score nearly as well. What is never part of an article (menus, footers,
+siblings that score nearly as well. Without an <article> or <main>, siblings that are prose by their length and their share of
+links belong to it too, however few points they have, and so do headings before what is kept. What is never part of an article (menus, footers,
 forms, scripts, adverts, reader comments and the like) is left out, by tag, role or name.
 
 A page is one row's work; the functions here parse one page at a time inside Arrow batches.
@@ -12,6 +13,7 @@ A page is one row's work; the functions here parse one page at a time inside Arr
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -50,27 +52,33 @@ CLOSED_BY = {
     "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl table tbody thead tfoot select".split())
+BARRIERS = LISTS | frozenset("div article section main body #page".split())
+STOPS = BARRIERS | frozenset("p li dt dd tr td th option".split())  # what an opening block looks at
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_SENTENCE_END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]]*(?:\s|\Z)")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 SIBLING_SHARE = 0.2
-MAX_DEPTH = 512  # deeper elements count as their ancestor at this depth, as in browsers
+MAX_DEPTH = 512  # deeper elements count as their ancestor at this depth, as in browsers; their end tags close them only
 SEMANTIC_POINTS = 25.0
+PROSE_CHARS = 80  # from this length on text is prose without the end of a sentence too
+PROSE_LINKS = 0.25
 
 
 class Element:
     """An element, its place in the tree, and what was found of its text."""
 
-    __slots__ = ("tag", "parent", "left_out", "in_article", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "left_out", "in_article", "points", "chars", "link_chars", "in_paragraphs", "sentences")
 
     def __init__(self, tag: str, parent: Element | None, left_out: bool):
         self.tag, self.parent, self.left_out = tag, parent, left_out
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.points = 0.0
-        self.chars = self.link_chars = 0
+        self.chars = self.link_chars = self.in_paragraphs = self.sentences = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -97,7 +105,10 @@ def _is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> boo
 def parse(html: str) -> list[tuple[Element, str, int]]:
     """The page's blocks of text outside of furniture, in order: element, text, characters in links."""
     root = Element("#page", None, False)
-    stack, blocks = [root], []
+    # tag, the element its text goes to, and the place of the nearest entry of STOPS at or below it; beyond MAX_DEPTH
+    # the element is an ancestor's, but the entry is there for its end tag
+    stack, blocks = [("#page", root, 0)], []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked: list[str] = []
     holder = root
@@ -113,8 +124,8 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
 
     def add(text: str) -> None:
         nonlocal holder
-        if text and not stack[-1].left_out:
-            block = stack[-1]
+        if text and not stack[-1][1].left_out:
+            block = stack[-1][1]
             in_link = False
             while block.tag in INLINE and block.parent is not None:
                 in_link |= block.tag == "a"
@@ -127,10 +138,12 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
             if in_link:
                 linked.append(text)
 
-    def close(until: Element) -> None:
-        if any(e.tag not in INLINE for e in stack[stack.index(until) :]):
+    def close(at: int) -> None:
+        tags = [tag for tag, _, _ in stack[at:]]
+        if any(tag not in INLINE for tag in tags):
             flush()
-        del stack[stack.index(until) :]
+        opened.subtract(tags)
+        del stack[at:]
 
     at = 0
     while at < len(html):
@@ -146,23 +159,22 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
         if not token[4] and not token[1]:
             break  # the page ends inside a tag
         if token[1]:
-            match = next((e for e in reversed(stack) if e.tag == tag), None)
-            if match is not None:
-                close(match)
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag == "br":
             add(" ")
             continue
         if tag not in INLINE:
             # what an opening block ends by itself: a paragraph, or an item of the same list or table row
-            for open_ in reversed(stack):
-                if open_.tag == "p" or (open_.tag in CLOSED_BY.get(tag, ())):
-                    close(open_)
-                    break
-                if open_.tag in LISTS or open_.tag in ("div", "article", "section", "main", "body", "#page"):
-                    break
+            open_ = stack[-1][2]
+            ended = CLOSED_BY.get(tag, ())
+            while (name := stack[open_][0]) not in BARRIERS and name != "p" and name not in ended:
+                open_ = stack[open_ - 1][2]
+            if name == "p" or name in ended:
+                close(open_)
             flush()
-        parent = stack[-1]
+        parent = stack[-1][1]
         left_out = parent.left_out
         if not left_out:
             left_out = _is_furniture(tag, _attributes(token[3]), parent.in_article)
@@ -172,8 +184,10 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
             if end is not None:
                 at = html.find(">", end.end()) + 1 or len(html)
             continue
-        if tag not in VOID and (len(stack) < MAX_DEPTH or left_out and not parent.left_out):
-            stack.append(Element(tag, parent, left_out))
+        if tag not in VOID:
+            deep = len(stack) >= MAX_DEPTH and (parent.left_out or not left_out)
+            opened[tag] += 1
+            stack.append((tag, parent if deep else Element(tag, parent, left_out), len(stack) if tag in STOPS else stack[-1][2]))
     flush()
     return blocks
 
@@ -187,11 +201,16 @@ def _ancestors(element: Element) -> Iterator[Element]:
 def container(blocks: list[tuple[Element, str, int]]) -> set[int]:
     """Ids of the elements whose text is the article's: the best container and good siblings."""
     scored: dict[int, Element] = {}
+    holding: dict[int, Element] = {}  # all elements with text, paragraphs too, in order
     for holder, text, link_chars in blocks:
         points = 1.0 + text.count(",") + text.count("、") + min(len(text) // 100, 3)
+        ended = _SENTENCE_END.search(text) is not None
         for depth, element in enumerate(_ancestors(holder)):
             element.chars += len(text)
             element.link_chars += link_chars
+            element.in_paragraphs += len(text) if holder.tag in PARAGRAPHS else 0
+            element.sentences += ended
+            holding[id(element)] = element
             level = depth - (holder.tag in PARAGRAPHS)
             if level < 0:
                 continue  # a paragraph passes its points on
@@ -210,8 +229,33 @@ def container(blocks: list[tuple[Element, str, int]]) -> set[int]:
         if element.tag in ("article", "main"):
             best = element
             break
+    if best.parent is None:
+        return {id(best)}
     least = max(10.0, SIBLING_SHARE * score(best))
-    return {id(best)} | {id(e) for e in scored.values() if e.parent is best.parent and best.parent is not None and score(e) >= least}
+
+    def is_prose(element: Element) -> bool:
+        """Whether a sibling is a paragraph of the article, or a part of it like the best one."""
+        if element.tag not in PARAGRAPHS and (element.tag != best.tag or 2 * element.in_paragraphs < element.chars):
+            return False
+        if element.link_chars > PROSE_LINKS * element.chars:
+            return False
+        return element.chars > PROSE_CHARS or not element.link_chars and element.sentences > 0
+
+    kept = {id(best)}
+    follows = False  # whether what comes next is kept
+    marked = best.tag in ("article", "main")
+    # where an element begins is where its first text is
+    for element in reversed([e for e in holding.values() if e.parent is best.parent]):
+        if element is not best:
+            good = id(element) in scored and score(element) >= least
+            if not marked and element.tag in HEADINGS:
+                good |= follows and element.link_chars <= PROSE_LINKS * element.chars
+            elif not marked:
+                good |= is_prose(element)
+            if good:
+                kept.add(id(element))
+        follows = id(element) in kept
+    return kept
 
 
 def main_text(html: str | None) -> str:

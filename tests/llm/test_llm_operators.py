@@ -182,6 +182,31 @@ def test_main_text_without_article_element():
     assert main_text.main_text(deep) == "A sentence, with commas, in there."
 
 
+def test_main_text_keeps_paragraphs_beside_the_best_container():
+    lead = "word, " * 20 + "and more words " * 192
+    rest = "<p>" + "a, b, c, d, e, f, " * 10 + "</p>"
+    page = f"<body><h1>Title</h1><p>{lead}</p><div>{rest * 20}</div><h3>More</h3><p><a href=1>A link of more than eighty characters, {'x' * 80}.</a></p><p>Last one.</p></body>"
+    found = main_text.main_text(page).split("\n")
+    assert found[:2] == ["Title", lead.strip()] and found[-1] == "Last one." and len(found) == 23
+
+
+def test_main_text_keeps_short_parts_of_a_split_article():
+    long = "<section><h2>One</h2>" + "<p>Much, much, more, text, is, here, than, there.</p>" * 10 + "</section>"
+    links = "<section><h2>See</h2><p><a href=1>Another story.</a></p></section>"
+    page = f"<body><div>{long}<section><h2>Two</h2><p>It ended well.</p></section>{links}</div></body>"
+    assert main_text.main_text(page).split("\n")[-2:] == ["Two", "It ended well."]
+
+
+def test_end_tags_beyond_the_greatest_depth_close_nothing_else():
+    deep = "<div>" * 600 + "<p>Deep down.</p><nav>menu</nav>" + "</div>" * 600
+    page = f"<body><div id=x><p>Before, and, so, on, here.</p>{deep}<ul><li>one</li></ul></div></body>"
+    before, down, one = main_text.parse(page)
+    assert [x[1] for x in (before, down, one)] == ["Before, and, so, on, here.", "Deep down.", "one"]
+    assert one[0].parent.parent is before[0].parent and before[0].parent.tag == "div"
+    assert main_text.parse("<div>" * 100_000 + "</b>" * 100_000 + "x")[0][1] == "x"
+    assert main_text.parse("<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000 + "x")[0][1] == "x"
+
+
 # --- near dedup ------------------------------------------------------------
 
 
