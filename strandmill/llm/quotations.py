@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with ``>`` quote, one level for each mark. A quoted passage (lines of one level in
-a row) and each of its lines are normalised and hashed, and so are every message's own lines and its own text as a
-whole. A quoted hash is linked to the latest earlier message of the conversation whose own text has it. A message
+a row), its paragraphs and each of its lines are normalised and hashed, and so are every message's own lines and paragraphs
+and its own text as a whole; a paragraph ends at a blank line or where the level changes, however its lines are wrapped. A quoted hash is linked to the latest earlier message of the conversation whose own text has it. A message
 replies to the message that most of the words of its first-level quotes are linked to. Conversations are ordered by
 replies: a message stands after the message it replies to and after that one's earlier replies; one that quotes nothing
 known starts a thread, in turn order. Texts are returned without quotes.
@@ -22,6 +22,7 @@ from strandmill.llm.common import forget, materialise, materialise_at
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 # How mail programs in four languages introduce a quotation.
 ATTRIBUTION = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
+BEGIN, END = "\x01", "\x02"  # around the level of a paragraph
 MAX_ROUNDS = 40
 
 
@@ -52,6 +53,29 @@ def _passages(lines: Column) -> Column:
     return F.aggregate(lines, empty, step)
 
 
+def _marked(lines: Column) -> Column:
+    """The lines with level -1 for those that end a paragraph and are part of none."""
+
+    def mark(line: Column, i: Column) -> Column:
+        introduces = line["body"].rlike(ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > line["level"])
+        level = F.when(~line["body"].rlike(r"\S") | introduces, F.lit(-1)).otherwise(line["level"])
+        return F.struct(level.alias("level"), F.translate(line["body"], BEGIN + END, "  ").alias("body"))
+
+    return F.transform(lines, mark)
+
+
+def _paragraphs(marked: Column) -> Column:
+    """The paragraphs of marked lines, their lines joined by blanks, as (level, body)."""
+
+    def spell(line: Column, i: Column) -> Column:
+        same = F.get(marked, i - 1)["level"] == line["level"]
+        return F.concat(F.when(same, F.lit(" ")).otherwise(F.concat(F.lit(BEGIN), line["level"].cast("string"), F.lit(END))), line["body"])
+
+    pieces = F.split(F.array_join(F.transform(marked, spell), ""), BEGIN)
+    parsed = lambda x: F.struct(F.substring_index(x, END, 1).try_cast("int").alias("level"), F.substring_index(x, END, -1).alias("body"))
+    return F.filter(F.transform(pieces, parsed), lambda x: x["level"] >= 0)
+
+
 def _own_text(lines: Column) -> Column:
     """The lines of level 0, without those that only introduce a quotation."""
     kept = F.filter(
@@ -63,9 +87,11 @@ def _own_text(lines: Column) -> Column:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, words, source) of every quoted passage and line of messages (conv, turn, lines, own)."""
-    quoted = F.filter(F.concat("lines", _passages(F.col("lines"))), lambda line: line["level"] > 0)
-    mine = F.concat(F.split("own", "\n"), F.array("own"))
+    """(conv, turn, level, words, source) of every quoted passage, paragraph and line of messages (conv, turn, lines, own)."""
+    messages = messages.withColumn("marked", _marked(F.col("lines"))).withColumn("paragraphs", _paragraphs(F.col("marked")))
+    quoted = F.filter(F.concat("lines", _passages(F.col("lines")), "paragraphs"), lambda line: line["level"] > 0)
+    own_paragraphs = F.transform(F.filter("paragraphs", lambda x: x["level"] == 0), lambda x: x["body"])
+    mine = F.concat(F.split("own", "\n"), F.array("own"), own_paragraphs)
     unit = lambda level, body: F.struct(level.alias("level"), normalised(body).alias("body"))
     units = F.concat(F.transform(quoted, lambda q: unit(q["level"], q["body"])), F.transform(mine, lambda body: unit(F.lit(0), body)))
     rows = messages.select("conv", "turn", F.explode(F.array_distinct(units)).alias("u")).where(F.col("u.body") != "")

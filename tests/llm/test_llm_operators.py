@@ -153,6 +153,20 @@ def test_common_line_links_to_the_latest_earlier_message(spark):
     assert all(got[t] == t - 1 for t in range(1, 200, 2)) and all(got[t] is None for t in range(0, 200, 2))
 
 
+def test_a_part_of_a_message_is_linked_however_it_is_wrapped(spark):
+    rows = [
+        (1, 0, "user", "First of all, hello.\n\nThe second paragraph goes over\ntwo lines of text.\n\nThe third one is a bit\nlonger than others.\n\nBye."),
+        (1, 1, "assistant", "Something else."),
+        (1, 2, "user", "Ann wrote:\n> The second paragraph\n> goes over two\n> lines of text.\n>\n> The third one is a bit longer\n> than others.\nMy answer has\ntwo lines.\n> Bye now.\nMore."),
+        (1, 3, "assistant", "> My answer has two\n> lines.\nNo."),
+        (1, 4, "user", "> > The second paragraph goes\n> > over two lines of text.\n> No.\nHm."),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quotations.reply_ordered(table).collect()}
+    assert [got[t]["reply_to"] for t in range(5)] == [None, None, 0, 2, 3]
+    assert [got[t]["position"] for t in range(5)] == [0, 4, 1, 2, 3] and got[4]["thread"] == 0
+
+
 # --- main text -------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
