@@ -161,6 +161,12 @@ SQL_GENES = f"""(SELECT 'doc-' || doc_id || '_gene_' || (k + 1) AS gene, k % 2 =
     FROM (SELECT doc_id, s, unnest(range(0, (length(s) + {GENE - 1}) // {GENE})) AS k FROM {SQL_CONTIG_TEXTS}))"""
 
 
+def database_sizes(hits: DataFrame) -> DataFrame:
+    """The least and the greatest database size of all hits: one row only if every hit has the same."""
+    ends = hits.agg(F.min("bit_score").alias("least"), F.max("bit_score").alias("greatest"))
+    return ends.select(F.explode(F.array_distinct(F.array("least", "greatest"))).alias("bit_score"))
+
+
 @query(
     "annotation_workflow",
     f"""SELECT 'contigs' AS kind, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS residues, NULL AS digest FROM {SQL_CONTIG_TEXTS}
@@ -197,7 +203,7 @@ def annotation_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
         tally("hits", result.hits, F.sum("alignment_length")),
         tally("best hits", best, F.sum("alignment_length"), F.col("subject_id")),
         tally("domains", result.domains, F.sum("sequence_length")),
-        tally("database size", result.hits.limit(1), F.max("bit_score")),
+        tally("database size", database_sizes(result.hits), F.max("bit_score")),
     )
     counts = tally("contigs", result.contigs, F.sum(F.length("sequence")))
     for part in parts:

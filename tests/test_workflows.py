@@ -172,3 +172,8 @@ def test_a_missing_program_is_found_before_any_work(spark, tmp_path):
     with pytest.raises(ToolError, match="no-such-scanner"):
         annotate(workflow, lambda: contigs, contigs, catalogue.GENE_CALLER, catalogue.SEARCHER, ToolSpec(["no-such-scanner"]))
     assert workflow.timings == []
+
+
+def test_one_hit_with_another_database_size_is_seen(spark):
+    sizes = lambda *values: sorted(r[0] for r in catalogue.database_sizes(spark.createDataFrame([(v,) for v in values], "bit_score double")).collect())
+    assert sizes(7.0, 7.0, 7.0) == [7.0] and sizes(7.0, 7.0, 3.0, 9.0, 7.0) == [3.0, 9.0]
