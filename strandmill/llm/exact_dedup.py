@@ -1,7 +1,7 @@
 """Exact duplicates by an extendible-hash index on shared files.
 
-The index holds one entry per distinct text: its hash key, its place in the key's collision
-chain, and what its group of equal texts needs. Texts are grouped by key and bytes, with
+The index holds one entry per distinct text: its hash key, whether other texts have the
+same key, and what its group of equal texts needs. Texts are grouped by key and bytes, with
 partial aggregates, so equal texts meet as one row however many there are. A directory of
 ``2**depth`` cells over the key's leading bits is doubled while a bucket is overfull; entries
 are written by bucket, each owner task writing the key range of its buckets. Every document then
@@ -48,8 +48,8 @@ def directory(cells: dict[int, int], bits: int, capacity: int) -> list[tuple[int
 def build_index(docs: DataFrame, key_bits: int = 63, capacity: int | None = None) -> DataFrame:
     """The written index of ``docs`` (doc_id, text): one entry per distinct text.
 
-    Columns: bucket, key, chain (place among the texts of the key), chained (the key has more
-    than one), keep_id, group_size, and text where it is needed to tell a chain apart.
+    Columns: bucket, key, chained (the key has more than one text), digest, keep_id, group_size. The buckets
+    only lay the written entries out; equality and chains are decided by grouping on key and text.
     """
     cell_bits = min(CELL_BITS, key_bits)
     # grouping by the text compares bytes; the key only says where the group lives
