@@ -5,8 +5,8 @@ the others are dealt into blocks of a bounded number of pieces, and each block i
 islands. A chromosome is a set of bins. Crossover injects well-filled bins of one parent
 whole into another, removes the bins that hold a piece twice, and best-fits the displaced
 pieces; mutation dissolves poorly filled bins. After an epoch the best packing of every
-island migrates to the next island of its block. Then the poorly filled bins of all blocks are dealt into new, fewer blocks, again and
-again until one block holds them; bins are dealt whole, so that a packing only gets better.
+island migrates to the next island of its block. Then the poorly filled bins of all blocks are dealt into new, fewer blocks, at most
+``MAX_DEALS`` times or until one block holds them; bins are dealt whole, so that a packing only gets better.
 
 Tasks hold the lengths of one block at a time; texts are only read by the tokeniser.
 """
