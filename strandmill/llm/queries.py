@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from strandmill.llm.byte_bpe import decode, encode
 from strandmill.llm.common import held_out, table
 from strandmill.llm.decontaminate import contamination
 from strandmill.llm.exact_dedup import exact_duplicates
@@ -19,6 +20,7 @@ from strandmill.llm.near_dedup import near_duplicates
 from strandmill.llm.packing import pack
 from strandmill.llm.ppm import score_texts
 from strandmill.llm.quotations import reply_ordered
+from strandmill.llm.source_audit import source_divergence
 from strandmill.llm.url_markov import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,6 +229,52 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("score")
 
 
+@query("op11_bpe_coding")
+def op11_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    decoded = decode(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+        FROM documents),
+    words AS (SELECT d, lang, source, unnest(regexp_extract_all(body, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM docs),
+    kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+    sources AS (SELECT DISTINCT lang, source FROM docs),
+    counted AS (SELECT lang, source, term, count(*) AS c FROM words GROUP BY lang, source, term),
+    used AS (
+        SELECT lang, source, term, coalesce(c, 0) AS c
+        FROM sources JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+    shares AS (
+        SELECT lang, source, term, c, 1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER w + 2 * count(*) OVER w) AS p
+        FROM used WINDOW w AS (PARTITION BY lang, source)),
+    of_langs AS (SELECT lang, term, sum(c) AS c FROM used GROUP BY lang, term),
+    lang_shares AS (
+        SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER w + 2 * count(*) OVER w) AS q
+        FROM of_langs WINDOW w AS (PARTITION BY lang)),
+    pairs AS (
+        SELECT a.lang AS lang, a.source AS source, b.source AS item, (a.p - b.p) * (a.p - b.p) // (a.p + b.p) AS f
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source),
+    valued AS (
+        SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value
+        FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT lang, source, item, sum(f) AS v FROM pairs GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares JOIN lang_shares USING (lang, term) WHERE c > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM valued)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+    FROM ranked WHERE part = 'pair' OR r <= 10
+    """,
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
