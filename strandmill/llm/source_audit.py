@@ -31,6 +31,7 @@ TOP_TERMS = 10
 FLUSH_TERMS = 200_000
 BLOCK_SOURCES = 256
 CHUNK_PAIRS = 1 << 18
+BORDER_DEPTH = 4
 _BREAKS = bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 #: bytes of a text to bytes of its terms: A-Z lower-cased, what no term holds as blanks
 _TERM_BYTES = bytes.maketrans(_BREAKS + bytes(range(0x41, 0x5B)), b" " * len(_BREAKS) + bytes(range(0x61, 0x7B)))
@@ -238,7 +239,9 @@ def source_divergence(
     # term rows by their numbers, equal ones once; a row of one source has no pair
     paths = uses.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("number", "p", "zero"))).alias("path"))
     paths = paths.where(F.size("path") > 1).groupBy("lang", "path").agg(F.count("*").alias("terms"))
-    paths = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # borders are drawn by the beginning of a path and split equal beginnings by hash, so that the sample for them stays small
+    border = [F.col("lang"), F.slice("path", 1, BORDER_DEPTH), F.xxhash64("path")]
+    paths = paths.repartitionByRange(*border).sortWithinPartitions("lang", "path")
     both = paths.select("lang", F.col("path.number").alias("source"), F.col("path.p").alias("p"), F.col("path.zero").alias("zero"), "terms")
     both = both.mapInArrow(tidy(_tree_corrections), _PAIRS)
 

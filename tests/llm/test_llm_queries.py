@@ -22,7 +22,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test ta
 
 def test_one_query_for_each_operator():
     numbered = [int(m[1]) for name in QUERIES if (m := re.match(r"op(\d+)_", name))]
-    assert sorted(numbered) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(numbered) == list(range(1, 14)) and "pipeline" in QUERIES
     assert QUERIES.items() <= driver.queries().items() and ORACLES.items() <= driver.oracle_sql().items()
 
 
