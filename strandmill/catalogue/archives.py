@@ -102,6 +102,35 @@ def warc_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_records(written_archive(spark, sf_dir, gzip=True))
 
 
+SQL_HEADER = """'WARC/0.18' || chr(10) || 'WARC-Type: ' || record_type || chr(10) || 'WARC-Date: ' || warc_date || chr(10)
+        || 'WARC-Target-URI: ' || url || chr(10) || 'WARC-TREC-ID: ' || trec_id || chr(10) || 'WARC-Record-ID: ' || record_id || chr(10)
+        || 'Content-Type: application/http' || chr(10) || 'Content-Length: ' || strlen(text) || chr(10) || chr(10) || text"""
+
+
+@query(
+    "warc_nested_records",
+    f"""SELECT '<urn:outer:' || record_id || '>' AS record_id, 'capture of' || chr(10) || {SQL_HEADER} || chr(10) || chr(10) || {SQL_HEADER} AS text
+        FROM {SQL_RECORDS}""",
+)
+def warc_nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of archives: every payload holds two whole records, and the splits are so small that most records reach over an end."""
+    inner = warc.to_warc_text()
+    body = F.concat(F.lit("capture of\n"), inner, F.lit("\n\n"), inner)
+    outer = page_records(spark, sf_dir).select(
+        "record_type", "warc_date", F.concat(F.lit("<urn:outer:"), "record_id", F.lit(">")).alias("record_id"), "content_type",
+        warc.clear_metadata().alias("metadata"), body.cast("binary").alias("content"),
+    )
+    path, key = fresh_dir(spark, "warc"), "spark.sql.files.maxPartitionBytes"
+    warc.write_warc(outer, path, line_end="\n")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        records = warc.read_warc(spark, path)
+    finally:
+        spark.conf.set(key, before)
+    return records.select("record_id", warc.content_text().alias("text"))
+
+
 @query(
     "warc_record_numbers",
     "SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(0 AS BIGINT) AS n_gaps FROM pages",

@@ -4,6 +4,10 @@ The JVM text reader cuts the archives (gunzipping ``.gz`` files as a stream) at
 end followed by ``WARC/``; a generator then takes each record's header and exactly as
 many bytes as its Content-Length says. A payload that holds the separator is put back
 together from its pieces. Only one record is held in memory at a time.
+
+A split of a plain file is parsed as if a record began at its first mark. One scan writes the records
+and a row about the end of every split; the edges of the splits are then settled from these rows. Where a record ends
+in a later split, the splits that it reaches into are parsed again from where it ends.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill import schemas
+from strandmill.session import fresh_dir
 from strandmill.sources.lines import Paths, read_pieces, small_per_split, write_lines
 
 MARK = b"WARC/"
@@ -61,7 +66,11 @@ def _read_header(data: bytes) -> tuple[list[bytes], int, int] | None:
     return None
 
 
-def _as_row(lines: list[bytes], content: bytes, truncated: bool) -> dict:
+def _as_row(lines: list[bytes], content: bytes, missing: int | None = None, of_header: int = 0) -> dict:
+    """A record; ``missing`` is the number of bytes that a record at the end lacks, -1 if its header is open.
+
+    ``of_header`` of these belong to the header: a line end that is also the next separator's.
+    """
     row = {field: "" for field in FIELD_KEYS.values()}
     metadata: dict[str, str] = {}
     for line in lines:
@@ -75,7 +84,8 @@ def _as_row(lines: list[bytes], content: bytes, truncated: bool) -> dict:
         "metadata": list(metadata.items()),
         "content": content,
         "content_length": len(content),
-        "truncated": truncated,
+        "missing": missing,
+        "n_bytes": of_header,
     }
 
 
@@ -92,7 +102,7 @@ def split_records(pieces: Iterable[bytes]) -> Iterator[dict]:
     """Records of one file part, from its pieces in order.
 
     Bytes between a payload and the next mark are skipped. A record the bytes do not
-    suffice for comes last, with ``truncated`` set.
+    suffice for comes last, with the number of bytes it lacks in ``missing``.
     """
     parts: list[bytes] = []  # of the open record
     have = wanted = 0
@@ -114,18 +124,36 @@ def split_records(pieces: Iterable[bytes]) -> Iterator[dict]:
             wanted = at + length
             if have < wanted:
                 break
-            yield _as_row(lines, data[at:wanted], False)
+            yield _as_row(lines, data[at:wanted])
             # another mark may follow the payload at once or on a later line
             start = wanted if data.startswith(MARK, wanted) else data.find(b"\n" + MARK, wanted) + 1
             parts = [data[start:]] if start else []
             have, wanted, header = len(data) - start, 0, None
     if parts:
         data = b"".join(parts)
-        header = header or _read_header(data)
-        lines, at = (header[0], header[2]) if header else ([], len(data))
-        yield _as_row(lines, data[at:], True)
+        header = header or _read_header(data) or _read_header(data + b"\n")
+        lines, length, at = header or ([], 0, len(data))
+        yield _as_row(lines, data[at:], at + length - len(data) if header else -1, max(0, at - len(data)))
+
+
+def _without_tail(pieces: Iterable[bytes], claimed: int, tail: list[bytes]) -> Iterator[bytes]:
+    """The pieces of a split after its first ``claimed`` bytes, which belong to an earlier split's record and go to ``tail``.
+
+    Pieces have lost the separator in front of them, which counts.
+    """
+    for piece in pieces:
+        if not claimed:
+            yield piece
+            continue
+        data = b"\n" + MARK + piece
+        tail.append(data[:claimed])
+        rest, claimed = data[claimed:], max(0, claimed - len(data))
+        if rest.startswith(MARK):  # the record ends right before a mark
+            yield rest
 
 
+RECORD, TAIL, END = "record", "tail", "end"
+PARSED = f"{schemas.WARC}, block BIGINT, kind STRING, missing BIGINT, claimed BIGINT, n_bytes BIGINT, ends_file BOOLEAN"
 _ARROW = pa.schema(
     [
         ("record_type", pa.string()),
@@ -138,52 +166,66 @@ _ARROW = pa.schema(
         ("file_path", pa.string()),
         ("record_number", pa.int64()),
         ("block", pa.int64()),
-        ("truncated", pa.bool_()),
+        ("kind", pa.string()),
+        ("missing", pa.int64()),
+        ("claimed", pa.int64()),
+        ("n_bytes", pa.int64()),
+        ("ends_file", pa.bool_()),
     ]
 )
 
 
 def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of pieces, in file order, to batches of records."""
+    """Arrow batches of pieces, in file order, to batches of rows of three kinds.
+
+    A ``record`` is numbered inside its split and may miss bytes if it is the last one. ``tail`` holds the
+    first ``claimed`` bytes of a split. ``end`` says how many records (``record_number``) and bytes a split has.
+    """
     upcoming = (row for batch in batches for row in batch.to_pylist())
     row = next(upcoming, None)
     ready: list[dict] = []
     size = 0
     while row is not None:
-        part = (row["source"], row["block"])
-        ends_file = row["block_end"] >= row["source_size"]
+        part, claimed = (row["source"], row["block"]), row["claimed"]
+        n_bytes = 0
 
         def pieces() -> Iterator[bytes]:
-            nonlocal row
+            nonlocal row, n_bytes
             opens_file = row["block"] == 0
             while row is not None and (row["source"], row["block"]) == part:
                 piece = row["piece"]
                 row = next(upcoming, None)
                 for part_of_piece in _cut(piece):
+                    n_bytes += len(part_of_piece) + 1 + len(MARK)
                     # before the first mark of a file nothing counts
                     if not opens_file or part_of_piece.startswith(MARK):
                         yield part_of_piece
                     opens_file = False
 
-        for number, record in enumerate(split_records(pieces())):
-            if record["truncated"] and not ends_file:
-                raise ValueError(
-                    f"a record of {part[0]} does not end in its split at {part[1]}; "
-                    "read the file with splittable=False"
-                )
-            record |= {"file_path": part[0], "block": part[1], "record_number": number}
-            ready.append(record)
+        tail: list[bytes] = []
+        place = {"file_path": part[0], "block": part[1], "claimed": claimed, "ends_file": row["ends_file"]}
+        number = -1
+        for number, record in enumerate(split_records(_without_tail(pieces(), claimed, tail))):
+            ready.append(record | place | {"kind": RECORD, "record_number": number})
             size += record["content_length"] + 512
             if size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
                 ready, size = [], 0
+        if tail:
+            ready.append(place | {"kind": TAIL, "content": b"".join(tail)})
+        ready.append(place | {"kind": END, "record_number": number + 1, "n_bytes": n_bytes})
     if ready:
         yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
 
 def _pieces(spark: SparkSession, path: Paths) -> DataFrame:
-    pieces = read_pieces(spark, path, SEPARATOR)
-    return pieces.withColumn("piece", F.col("piece").cast("binary")).drop("seq")
+    return read_pieces(spark, path, SEPARATOR).select(
+        F.col("piece").cast("binary").alias("piece"),
+        "source",
+        "block",
+        F.lit(0).cast("bigint").alias("claimed"),
+        (F.col("block_end") >= F.col("source_size")).alias("ends_file"),
+    )
 
 
 def _whole_files(spark: SparkSession, path: Paths) -> DataFrame:
@@ -192,11 +234,15 @@ def _whole_files(spark: SparkSession, path: Paths) -> DataFrame:
         F.col("content").alias("piece"),
         F.col("path").alias("source"),
         F.lit(0).cast("bigint").alias("block"),
-        F.col("length").alias("block_end"),
-        F.col("length").alias("source_size"),
+        F.lit(0).cast("bigint").alias("claimed"),
+        F.lit(True).alias("ends_file"),
     )
 
 
+def _parsed(pieces: DataFrame) -> DataFrame:
+    return pieces.mapInArrow(_records_of_partition, PARSED)
+
+
 def read_warc(
     spark: SparkSession,
     path: Paths,
@@ -206,42 +252,132 @@ def read_warc(
 ) -> DataFrame:
     """One row per record; ``record_number`` counts from 0 in each file.
 
-    A plain file is read by as many tasks as it has splits, a ``.gz`` file by one.
-    Numbering the records of plain files counts them per split first; ``numbered=False``
-    saves that pass. A payload with the separator in it that crosses the end of a split
-    fails the query; ``splittable=False`` reads plain files whole.
+    A plain file is read by as many tasks as it has splits, a ``.gz`` file by one. Plain files are
+    parsed once, into a table in the shared folder that the result reads; numbers and records that
+    reach over the end of a split are settled from it. ``numbered=False`` writes nothing and parses as the result is
+    read: numbers then count inside a split, and a record that reaches into another split fails the query.
+    ``splittable=False`` reads plain files whole, without a table either.
 
     The cut-off last record of a damaged file is dropped, or kept and marked by
     ``with_truncated``, which adds a ``truncated`` column.
     """
-    pieces = _pieces(spark, path)
     # listed names are encoded as URIs; paths are not
-    names = [unquote(name) for name in pieces.inputFiles()]
+    names = [unquote(name) for name in spark.read.text(path).inputFiles()]
     plain = [name for name in names if not name.endswith((".gz", ".bz2", ".zst"))]
-    if plain and not splittable:
-        pieces = _whole_files(spark, plain)
-        if len(plain) < len(names):
-            pieces = pieces.unionByName(_pieces(spark, [n for n in names if n not in set(plain)]))
-    records = pieces.mapInArrow(_records_of_partition, f"{schemas.WARC}, block BIGINT, truncated BOOLEAN")
+    packed = [name for name in names if name.endswith((".gz", ".bz2", ".zst"))]
+    found = []
     if plain and splittable and numbered:
-        records = _numbered(records)
-    records = records.drop("block")
+        found.append(_settled(spark, plain if packed else path))
+    elif plain and splittable:
+        problem = F.concat(F.lit("a record of "), "file_path", F.lit(" does not end in its split; read the file with numbers or with splittable=False"))
+        inner = F.col("missing").isNotNull() & ~F.col("ends_file")
+        lacks = F.when(inner, F.raise_error(problem).cast("boolean")).otherwise(F.col("missing").isNotNull())
+        found.append(_ending(_parsed(_pieces(spark, plain if packed else path)).filter(F.col("kind") == RECORD), lacks))
+    elif plain:
+        found.append(_ending(_parsed(_whole_files(spark, plain)).filter(F.col("kind") == RECORD)))
+    if packed or not names:
+        found.append(_ending(_parsed(_pieces(spark, packed if plain else path)).filter(F.col("kind") == RECORD)))
+    records = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return records if with_truncated else records.filter(~F.col("truncated")).drop("truncated")
 
 
-def _numbered(records: DataFrame) -> DataFrame:
-    """Add the records of earlier splits to each split's own numbers."""
-    counts = records.groupBy("file_path", "block").agg(F.count("*").alias("n_records"))
-    earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        "file_path", "block", F.coalesce(F.sum("n_records").over(earlier), F.lit(0)).alias("offset")
-    )
+RECORD_COLUMNS = [field.strip().split(" ")[0] for field in re.sub("<.*?>", "", schemas.WARC).split(",")]
+
+
+def _ending(records: DataFrame, missing: Column | None = None) -> DataFrame:
+    lacks = F.col("missing").isNotNull() if missing is None else missing
+    return records.select(*RECORD_COLUMNS, lacks.alias("truncated"))
+
+
+def _written(parsed: DataFrame) -> DataFrame:
+    path = fresh_dir(parsed.sparkSession, "warc-parsed")
+    parsed.write.parquet(path)
+    return parsed.sparkSession.read.schema(parsed.schema).parquet(path)
+
+
+CLAIMS = "file_key BIGINT, block BIGINT, claimed BIGINT, owner BIGINT"
+
+
+def _claims(blocks: list[int], sizes: dict[int, int], missing: dict[tuple[int, int], int]) -> dict[int, tuple[int, int]]:
+    """Per split of one file that an earlier record reaches into: how many bytes it claims, and the split of that record.
+
+    ``missing`` tells what the last record of a split lacks if so many bytes are claimed. Where that is not
+    known yet, it is taken to be what it is without a claim, as records fall into step again.
+    """
+    claims, lacks, owner = {}, 0, -1
+    for block in blocks:
+        claimed = min(lacks, sizes[block])
+        if claimed:
+            claims[block] = (claimed, owner)
+        if lacks > sizes[block] or claimed == sizes[block]:
+            lacks -= claimed
+            continue
+        lacks, owner = missing.get((block, claimed), missing[block, 0]), block
+    return claims
+
+
+def _settled(spark: SparkSession, path: Paths) -> DataFrame:
+    """The records of split plain files, numbered, with those that reach over the end of a split put together.
+
+    Only numbers reach the driver: of files in which a record lacks bytes, a row per split.
+    """
     key = F.xxhash64("file_path").alias("file_key")
-    offsets = small_per_split(offsets.select(key, "block", "offset"))
-    numbered = records.select("*", key).join(offsets, ["file_key", "block"], "left")
-    return numbered.withColumn("record_number", F.col("record_number") + F.col("offset")).select(
-        *records.columns
-    )
+    parsed = _written(_parsed(_pieces(spark, path)))
+    rows = parsed.filter("kind = 'record' AND missing IS NOT NULL").select(key, "block", "claimed", "missing").collect()
+    sizes: dict[int, dict[int, int]] = {}
+    if rows:
+        files = spark.createDataFrame([(file,) for file in {row.file_key for row in rows}], "file_key BIGINT")
+        for row in parsed.filter("kind = 'end'").select(key, "block", "n_bytes").join(F.broadcast(files), "file_key").collect():
+            sizes.setdefault(row.file_key, {})[row.block] = row.n_bytes
+    known: dict[int, dict[tuple[int, int], int]] = {file: {(block, 0): 0 for block in of_file} for file, of_file in sizes.items()}
+    claims: dict[tuple[int, int], tuple[int, int]] = {}
+    seen = set()
+    while True:
+        for row in rows:
+            known[row.file_key][row.block, row.claimed] = row.missing
+        claims = {
+            (file, block): claim
+            for file, of_file in sizes.items()
+            for block, claim in _claims(sorted(of_file), of_file, {k: max(n, 0) for k, n in known[file].items()}).items()
+        }
+        fresh = [(file, block, claimed, owner) for (file, block), (claimed, owner) in claims.items() if (file, block, claimed) not in seen]
+        if not fresh:
+            break
+        seen.update(row[:3] for row in fresh)
+        wanted = spark.createDataFrame(fresh, CLAIMS).select(F.col("file_key").alias("k"), F.col("block").alias("b"), F.col("claimed").alias("c"))
+        # the same splits as before, since the same files are listed
+        again = _pieces(spark, path).join(F.broadcast(wanted), (F.xxhash64("source") == F.col("k")) & (F.col("block") == F.col("b")))
+        latest = _written(_parsed(again.withColumn("claimed", F.col("c")).drop("k", "b", "c")))
+        for file, block, claimed, _ in fresh:
+            known[file][block, claimed] = 0
+        rows = latest.filter("kind = 'record' AND missing IS NOT NULL").select(key, "block", "claimed", "missing").collect()
+        parsed = parsed.unionByName(latest)
+    for file, of_file in sizes.items():
+        last = max(of_file)
+        if any(known[file][block, claims.get((file, block), (0,))[0]] < 0 for block in of_file if block < last):
+            raise ValueError("the header of a record does not end in its split; read the files with splittable=False")
+    parsed = parsed.withColumn("file_key", key)
+    if claims:
+        settled = spark.createDataFrame([(*place, *claim) for place, claim in claims.items()], CLAIMS)
+        settled = settled.select("file_key", "block", F.col("claimed").alias("settled"), "owner")
+        parsed = parsed.join(F.broadcast(settled), ["file_key", "block"], "left").filter(F.col("claimed") == F.coalesce("settled", F.lit(0)))
+    earlier = W.partitionBy("file_key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = parsed.filter("kind = 'end'")
+    offsets = ends.select("file_key", "block", F.coalesce(F.sum("record_number").over(earlier), F.lit(0)).alias("offset"))
+    records = parsed.filter("kind = 'record'").join(small_per_split(offsets), ["file_key", "block"])
+    records = records.withColumn("record_number", F.col("record_number") + F.col("offset"))
+    if not claims:
+        return _ending(records)
+    in_order = F.sort_array(F.collect_list(F.struct("block", "content")))
+    tails = parsed.filter("kind = 'tail'").groupBy("file_key", F.col("owner").alias("block")).agg(in_order.alias("parts"))
+    rest = F.aggregate("parts", F.lit(b""), lambda joined, part: F.concat(joined, part["content"]))
+    tails = tails.select("file_key", "block", rest.alias("rest"))
+    crossing = F.col("missing").isNotNull()
+    whole = records.filter(crossing).join(tails, ["file_key", "block"], "left")
+    content = F.concat("content", F.substring("rest", F.col("n_bytes").cast("int") + 1, F.octet_length("rest")))
+    whole = whole.withColumn("missing", F.col("missing") - F.coalesce(F.octet_length("rest"), F.lit(0)))
+    whole = whole.withColumn("content", F.when(F.col("rest").isNull(), F.col("content")).otherwise(content)).withColumn("content_length", F.octet_length("content"))
+    return _ending(records.filter(~crossing)).unionByName(_ending(whole, F.col("missing") != 0))
 
 
 def header_text(line_end: str = "\n", version: str = VERSION_LINE) -> Column:
