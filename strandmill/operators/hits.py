@@ -31,21 +31,15 @@ def top_hits(hits: DataFrame, k: int = 5, by: tuple[str, ...] = ("query_id", "sp
 
     Subjects rank by their best hit: smallest e-value, then largest bit score, then id.
 
-    Hits are reduced to one row per subject before anything is ranked, and Spark keeps
-    at most ``k`` of those per group and task before it shuffles them, so a query with a
-    third of all hits reaches its ranking task as a few rows per map task.
+    Hits are read once and shuffled once whole, by group and subject, so that a query with a third of all
+    hits is spread by its subjects; windows over one subject's hits spill where they must. Of
+    each task's groups only the hits of its first ``k`` subjects go on to the ranking.
     """
-    subject = (*by, "subject_id")
-    best = hits.groupBy(*subject).agg(
-        F.min(F.struct("e_value", (-F.col("bit_score")).alias("minus_score"))).alias("best")
-    )
-    order = W.partitionBy(*by).orderBy("best.e_value", "best.minus_score", "subject_id")
-    ranked = (
-        best.withColumn("subject_rank", F.row_number().over(order))
-        .filter(F.col("subject_rank") <= k)
-        .drop("best")
-    )
-    return hits.join(ranked, list(subject)).select(*hits.columns, "subject_rank")
+    subject = W.partitionBy(*by, "subject_id")
+    best = F.min(F.struct("e_value", (-F.col("bit_score")).alias("minus_score"))).over(subject)
+    order = W.partitionBy(*by).orderBy("__best.e_value", "__best.minus_score", "subject_id")
+    ranked = hits.withColumn("__best", best).withColumn("subject_rank", F.dense_rank().over(order))
+    return ranked.filter(F.col("subject_rank") <= k).drop("__best")
 
 
 def best_hits(hits: DataFrame, k: int = 1) -> DataFrame:
