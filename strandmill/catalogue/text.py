@@ -15,7 +15,7 @@ from strandmill.operators.tools import (
     pipe_tool,
     run_tool,
     run_tool_over_splits,
-    tool_log,
+    run_tool_logged,
 )
 from strandmill.plans import text as plans
 from strandmill.plans.workflow import Workflow, materialise
@@ -191,13 +191,16 @@ def tool_output_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT count(*) AS n_rows, CAST(0 AS INTEGER) AS worst_code, 'counted' AS last_word FROM {SQL_LINES}",
 )
 def tool_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each run reported: rows fed, exit code and the end of both streams."""
-    report = ToolSpec(["sh", "-c", 'wc -l < "$1"; echo counted >&2', "tool", "{input}"])
-    log = tool_log(lines(spark, sf_dir), report)
-    same = F.when(F.trim("stdout").cast("bigint") == F.col("n_rows"), F.col("n_rows"))
-    return log.agg(
-        F.sum(same).alias("n_rows"), F.max("exit_code").alias("worst_code"), F.max(F.trim(F.replace("stderr", F.lit("\n")))).alias("last_word")
+    """The lines of each run and what the same run reported: every line bears the mark that the run wrote to its error stream."""
+    marked = ToolSpec(["sh", "-c", 'run=$$-$(date +%N); sed "s/^/$run:/" "$1"; echo "$run" >&2; echo counted >&2', "tool", "{input}"])
+    pieces, log = run_tool_logged(lines(spark, sf_dir), marked)
+    reported = F.split(F.trim(F.col("stderr"), F.lit("\n")), "\n")
+    log = log.select("part_id", "exit_code", "n_rows", F.get(reported, F.lit(0)).alias("run"), F.get(reported, F.lit(1)).alias("last_word"))
+    per_run = pieces.join(log, "part_id").groupBy("part_id", "n_rows", "exit_code", "last_word").agg(
+        F.count_if(F.col("piece").startswith(F.concat("run", F.lit(":")))).alias("n_same")
     )
+    same = F.when(F.col("n_same") == F.col("n_rows"), F.col("n_rows"))
+    return per_run.agg(F.sum(same).alias("n_rows"), F.max("exit_code").alias("worst_code"), F.max("last_word").alias("last_word"))
 
 
 @query("tool_empty_partitions", f"SELECT line FROM {SQL_LINES} WHERE contains(line, '{WORD}')")

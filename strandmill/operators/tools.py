@@ -4,7 +4,7 @@ A partition's text column is streamed to the program, through a file or its stan
 input, and the program's output is streamed back as rows, cut at a separator. Every
 task attempt works in a folder of its own under the executor's Spark directory and
 removes it, so retries and speculative attempts cannot meet. Nothing but the rows the
-task returns outlives it.
+task returns outlives it; what a run reported is a row beside those of its output.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.session import fresh_dir
+
 NOT_FOUND = 127
 CHUNK = 1 << 20
 ROWS_PER_BATCH = 10_000
@@ -33,6 +35,21 @@ CHARACTERS_PER_BATCH = 8 << 20
 LOG_CHARACTERS = 1 << 20
 PIECES = "part_id INT, piece STRING, seq BIGINT"
 LOG = "part_id INT, host STRING, exit_code INT, n_rows BIGINT, seconds DOUBLE, stdout STRING, stderr STRING"
+_ARROW = pa.schema(
+    [
+        ("part_id", pa.int32()),
+        ("split_id", pa.int32()),
+        ("piece", pa.string()),
+        ("seq", pa.int64()),
+        ("host", pa.string()),
+        ("exit_code", pa.int32()),
+        ("n_rows", pa.int64()),
+        ("seconds", pa.float64()),
+        ("stdout", pa.string()),
+        ("stderr", pa.string()),
+    ]
+)
+_ROWS = "part_id INT, split_id INT, piece STRING, seq BIGINT, " + LOG.split(", ", 1)[1]
 
 
 class ToolError(RuntimeError):
@@ -109,15 +126,17 @@ def _cut_file(path: str, separator: str) -> Iterator[str]:
         yield rest.decode("utf-8", "replace")
 
 
-def _batches(part_id: int, rows: Iterator[str]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("part_id", pa.int32()), ("piece", pa.string()), ("seq", pa.int64())])
+def _batch(part_id: int, split_id: int, n: int, **columns: list) -> pa.RecordBatch:
+    """Rows of one run; columns that are not given are null."""
+    columns |= {"part_id": [part_id] * n, "split_id": [split_id] * n}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW
+    )
+
 
+def _batches(part_id: int, split_id: int, rows: Iterator[str]) -> Iterator[pa.RecordBatch]:
     def batch(ready: list[str], start: int) -> pa.RecordBatch:
-        seq = list(range(start, start + len(ready)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part_id] * len(ready), pa.int32()), pa.array(ready, pa.string()), pa.array(seq, pa.int64())],
-            schema=schema,
-        )
+        return _batch(part_id, split_id, len(ready), piece=ready, seq=list(range(start, start + len(ready))))
 
     ready: list[str] = []
     start = size = 0
@@ -152,37 +171,39 @@ def _read_text(path: str, most: int = LOG_CHARACTERS) -> str:
 def _check_run(spec: ToolSpec, command: list[str], code: int, stdout: str, stderr: str) -> None:
     if code not in spec.ok_codes:
         raise ToolError(f"{command} ended with exit code {code}: {_read_text(stderr, 4000)}")
-    patterns = [pattern.lower() for pattern in spec.fail_patterns]
+    patterns = [pattern.lower().encode() for pattern in spec.fail_patterns]
     if patterns:
-        with open(stdout, encoding="utf-8", errors="replace") as lines:
-            for line in lines:
-                if any(pattern in line.lower() for pattern in patterns):
-                    raise ToolError(f"{command} reported a failure: {line.strip()}")
+        found = _find_any(stdout, patterns)
+        if found is not None:
+            raise ToolError(f"{command} reported a failure: {found}")
 
 
-def _run(
-    spec: ToolSpec, batches: Iterator[pa.RecordBatch], folder: str, through: str, part_id: int
-) -> _Run | None:
-    """Feed all batches to one run of the program; None when there are no rows."""
-    first = next((batch for batch in batches if batch.num_rows), None)
-    if first is None:
-        return None
-    source, output = os.path.join(folder, "input"), os.path.join(folder, "output")
-    stdout, stderr = os.path.join(folder, "stdout"), os.path.join(folder, "stderr")
+def _find_any(path: str, patterns: list[bytes]) -> str | None:
+    """The line (4,000 bytes of it at most) around the first of the lower-case ``patterns``; read in chunks that overlap."""
+    overlap = max(map(len, patterns)) + 4000
+    held = b""
+    with open(path, "rb") as source:
+        while chunk := source.read(CHUNK):
+            data = held + chunk
+            lower = data.lower()
+            at = min((k for k in map(lower.find, patterns) if k >= 0), default=-1)
+            if at >= 0:
+                begin = max(lower.rfind(b"\n", 0, at) + 1, at - 2000)
+                return data[begin : at + 2000].split(b"\n", 1)[0].decode("utf-8", "replace").strip()
+            held = data[-overlap:]
+    return None
+
+
+def _execute(spec: ToolSpec, folder: str, source: str, part_id: int, feed: Callable | None) -> _Run:
+    """One run of the program in ``folder``; ``feed`` writes its standard input, if it reads one."""
+    output, stdout, stderr = (os.path.join(folder, name) for name in ("output", "stdout", "stderr"))
     command = spec.command(input=source, output=output, part=str(part_id))
-    writes_file = any(output in word for word in command)
     environment = os.environ | spec.environment
     started = time.monotonic()
-
-    def feed(sink) -> int:
-        return _write_rows(first, sink) + sum(_write_rows(batch, sink) for batch in batches)
-
     n_rows = 0
     with open(stdout, "wb") as out, open(stderr, "wb") as err:
         try:
-            if through == "file":
-                with open(source, "wb", CHUNK) as sink:
-                    n_rows = feed(sink)
+            if feed is None:
                 code = subprocess.run(
                     command, stdin=subprocess.DEVNULL, stdout=out, stderr=err, cwd=folder, env=environment
                 ).returncode
@@ -200,18 +221,47 @@ def _run(
         except FileNotFoundError as missing:
             raise ToolError(f"{command[0]} is not available on {socket.gethostname()}") from missing
     _check_run(spec, command, code, stdout, stderr)
-    return _Run(
-        output if writes_file else stdout, code, n_rows, time.monotonic() - started, stdout, stderr
-    )
+    writes_file = any(output in word for word in command)
+    return _Run(output if writes_file else stdout, code, n_rows, time.monotonic() - started, stdout, stderr)
 
 
-def _piece_task(spec: ToolSpec, through: str):
+def _runs(
+    specs: dict[int, ToolSpec], batches: Iterator[pa.RecordBatch], through: str, part_id: int
+) -> Iterator[tuple[int, _Run]]:
+    """A run per program over all batches; none when there are no rows. The files of a run are there until the next."""
+    first = next((batch for batch in batches if batch.num_rows), None)
+    if first is None:
+        return
+
+    def feed(sink) -> int:
+        return _write_rows(first, sink) + sum(_write_rows(batch, sink) for batch in batches)
+
+    with _attempt_folder() as folder:
+        source, n_rows = os.path.join(folder, "input"), 0
+        if through == "file":
+            with open(source, "wb", CHUNK) as sink:
+                n_rows = feed(sink)
+        for number, spec in specs.items():
+            place = os.path.join(folder, str(number))
+            os.mkdir(place)
+            run = _execute(spec, place, source, part_id, feed if through == "pipe" else None)
+            yield number, replace(run, n_rows=n_rows) if through == "file" else run
+            shutil.rmtree(place, ignore_errors=True)
+
+
+def _task(specs: dict[int, ToolSpec], through: str, rows: bool = True, log: bool = False):
+    """What the programs put out, and a row of what each run reported; both come from the same run."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
-        with _attempt_folder() as folder:
-            run = _run(spec, iter(batches), folder, through, part_id)
-            if run is not None and os.path.exists(run.output):
-                yield from _batches(part_id, _cut_file(run.output, spec.separator))
+        for number, run in _runs(specs, iter(batches), through, part_id):
+            if rows and os.path.exists(run.output):
+                yield from _batches(part_id, number, _cut_file(run.output, specs[number].separator))
+            if log:
+                yield _batch(
+                    part_id, number, 1, host=[socket.gethostname()], exit_code=[run.exit_code], n_rows=[run.n_rows],
+                    seconds=[run.seconds], stdout=[_read_text(run.stdout)], stderr=[_read_text(run.stderr)],
+                )
 
     return task
 
@@ -223,7 +273,7 @@ def run_tool(df: DataFrame, spec: ToolSpec, through: str = "file") -> DataFrame:
     it in ``seq``. An empty partition runs nothing. ``through`` is ``file``, where the
     program reads ``{input}``, or ``pipe``, where it reads its standard input.
     """
-    return df.mapInArrow(_piece_task(spec, through), PIECES)
+    return df.mapInArrow(_task({0: spec}, through), _ROWS).select("part_id", "piece", "seq")
 
 
 def pipe_tool(df: DataFrame, spec: ToolSpec) -> DataFrame:
@@ -235,55 +285,32 @@ def tool_log(df: DataFrame, spec: ToolSpec, through: str = "file") -> DataFrame:
 
     Of each stream the last ``LOG_CHARACTERS`` bytes are kept.
     """
+    logged = df.mapInArrow(_task({0: spec}, through, rows=False, log=True), _ROWS)
+    return logged.select("part_id", "host", "exit_code", "n_rows", "seconds", "stdout", "stderr")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        with _attempt_folder() as folder:
-            run = _run(spec, iter(batches), folder, through, part_id)
-            if run is not None:
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "part_id": part_id,
-                            "host": socket.gethostname(),
-                            "exit_code": run.exit_code,
-                            "n_rows": run.n_rows,
-                            "seconds": run.seconds,
-                            "stdout": _read_text(run.stdout),
-                            "stderr": _read_text(run.stderr),
-                        }
-                    ],
-                    schema=pa.schema(
-                        [
-                            ("part_id", pa.int32()),
-                            ("host", pa.string()),
-                            ("exit_code", pa.int32()),
-                            ("n_rows", pa.int64()),
-                            ("seconds", pa.float64()),
-                            ("stdout", pa.string()),
-                            ("stderr", pa.string()),
-                        ]
-                    ),
-                )
 
-    return df.mapInArrow(task, LOG)
+def run_tool_logged(df: DataFrame, spec: ToolSpec, through: str = "file") -> tuple[DataFrame, DataFrame]:
+    """The output of :func:`run_tool` and the log of :func:`tool_log`, both of one and the same run of each partition.
+
+    The program runs when this is called. Rows and log are written once, to the shared
+    folder, in files apart, so that the log is read without the output.
+    """
+    path = fresh_dir(df.sparkSession, "tool-run")
+    rows = df.mapInArrow(_task({0: spec}, through, log=True), _ROWS).drop("split_id")
+    rows.withColumn("is_log", F.col("host").isNotNull()).write.partitionBy("is_log").parquet(path)
+    written = df.sparkSession.read.schema(rows.schema.add("is_log", "boolean")).option("basePath", path).parquet(path)
+    log = written.filter("is_log").select("part_id", "host", "exit_code", "n_rows", "seconds", "stdout", "stderr")
+    return written.filter("not is_log").select("part_id", "piece", "seq"), log
 
 
 def run_tool_over_splits(df: DataFrame, spec: ToolSpec, n_splits: int) -> DataFrame:
     """Run a program once per partition and database split ``{split}``.
 
-    The splits are branches of one union, so they run side by side and nothing is
-    shuffled; ``df`` is read once per split and is best a stage already written.
+    A task evaluates its partition of ``df`` once, into one input file, and runs the program on it for one split
+    after another. The plan does not depend on ``n_splits``; nothing is shuffled. Programs may not change their input.
     """
-    branches = [
-        run_tool(df, replace(spec, values={**spec.values, "split": str(split)}))
-        .withColumn("split_id", F.lit(split))
-        for split in range(1, n_splits + 1)
-    ]
-    result = branches[0]
-    for branch in branches[1:]:
-        result = result.unionByName(branch)
-    return result
+    specs = {split: replace(spec, values={**spec.values, "split": str(split)}) for split in range(1, n_splits + 1)}
+    return df.mapInArrow(_task(specs, "file"), _ROWS).select("part_id", "piece", "seq", "split_id")
 
 
 def as_lines(pieces: DataFrame, *keep: str) -> DataFrame:

@@ -13,6 +13,7 @@ from strandmill.operators.tools import (
     map_partitions,
     pipe_tool,
     run_tool,
+    run_tool_logged,
     run_tool_over_splits,
     tool_log,
 )
@@ -83,6 +84,45 @@ def test_log(lines):
     assert row.host == socket.gethostname() and row.seconds >= 0
 
 
+def test_rows_and_log_come_from_one_run(spark, lines, tmp_path):
+    script = f'echo run >> {tmp_path}/runs; (cat "$1"; echo "$$") > "$2"; echo "$$" >&2'
+    pieces, log = run_tool_logged(lines("a", "b", "c").repartition(2), shell(script))
+    for _ in range(2):
+        by_part = {r.part_id: r for r in log.collect()}
+        rows = sorted((r.part_id, r.seq, r.piece) for r in pieces.collect())
+        assert sorted(p for *_, p in rows if not p.isdigit()) == ["a", "b", "c"]
+        assert {part: p for part, _, p in rows if p.isdigit()} == {part: r.stderr.strip() for part, r in by_part.items()}
+    assert sum(r.n_rows for r in by_part.values()) == 3
+    assert (tmp_path / "runs").read_text().count("run") == len(by_part)
+
+
+def test_splits_read_their_partition_once(spark, lines, tmp_path):
+    seen = tmp_path / "seen"
+
+    def note(frames):
+        for frame in frames:
+            with open(seen, "a") as out:
+                out.write("x" * len(frame))
+            yield frame
+
+    spec = ToolSpec(["sed", "s/^/{split}:/", "{input}"])
+    noted = map_partitions(lines("a", "b").coalesce(1), note, "line STRING")
+    plans = [run_tool_over_splits(noted, spec, n)._jdf.queryExecution().executedPlan().toString() for n in (2, 50)]
+    assert plans[0].count("\n") == plans[1].count("\n") and "Exchange" not in plans[0].replace("SinglePartition", "")
+    rows = run_tool_over_splits(noted, spec, 4).collect()
+    assert sorted(r.piece for r in rows) == sorted(f"{n}:{x}" for n in range(1, 5) for x in "ab")
+    assert all(r.piece.startswith(f"{r.split_id}:") for r in rows) and seen.read_text() == "xx"
+
+
+def test_a_failure_is_found_in_one_huge_line(lines, monkeypatch):
+    from strandmill.operators import tools
+
+    monkeypatch.setattr(tools, "CHUNK", 5000)
+    spec = shell("head -c 40000 /dev/zero | tr '\\0' x; printf 'PaNic now'; head -c 9000 /dev/zero | tr '\\0' y", fail_patterns=("panic now",))
+    with pytest.raises(Exception, match="reported a failure: x+PaNic now"):
+        run_tool(lines("a"), spec).collect()
+
+
 def test_splits_and_host_dependent_arguments(lines):
     spec = ToolSpec(lambda host: ["sh", "-c", f"echo {host} {{split}} {{size}}"], values={"size": "7"})
     rows = as_lines(run_tool_over_splits(lines("a").coalesce(1), spec, 3), "split_id").collect()
