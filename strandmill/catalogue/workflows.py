@@ -58,20 +58,44 @@ def bucket_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_dir(spark, "buckets")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     for _ in range(2):
-        result = _doubled(orders, root, n_buckets=16, n_waves=2)
+        result = _doubled(orders, root, n_buckets=16, at_once=4)
     return result.select("o_orderkey", "o_custkey", "doubled")
 
 
 @query(
     "bucket_resume_other_input",
-    "SELECT o_orderkey, CAST(o_totalprice * 2 AS DOUBLE) AS doubled FROM orders WHERE o_orderkey % 2 = 1",
+    "SELECT o_orderkey, CAST(o_totalprice * 2 AS DOUBLE) AS doubled FROM orders",
 )
 def bucket_resume_other_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the same schema from another input are not taken for done."""
+    """All orders after all orders at another price: rows of the same schema are not taken for done."""
     root = fresh_dir(spark, "buckets")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    _doubled(orders.filter("o_orderkey % 2 = 0"), root, n_buckets=4, n_waves=1)
-    return _doubled(orders.filter("o_orderkey % 2 = 1"), root, n_buckets=4, n_waves=1).select("o_orderkey", "doubled")
+    _doubled(orders.withColumn("o_totalprice", -F.col("o_totalprice")), root, n_buckets=4, at_once=2)
+    return _doubled(orders, root, n_buckets=4, at_once=2).select("o_orderkey", "doubled")
+
+
+@query(
+    "bucket_resume_after_failure",
+    "SELECT o_orderkey, CAST(o_totalprice * 2 AS DOUBLE) AS doubled, o_orderkey % 5 <> 3 AS done_before FROM orders",
+)
+def bucket_resume_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that fails in one bucket keeps the others; the next run computes that one alone."""
+    root = fresh_dir(spark, "buckets")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").withColumn("part", F.col("o_orderkey") % 5)
+
+    def run(fails: bool) -> DataFrame:
+        def double(df: DataFrame) -> DataFrame:
+            broken = F.when((F.col("part") == 3) & F.lit(fails), F.raise_error(F.lit("stopped midway")).cast("boolean"))
+            return df.select("o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"), F.coalesce(broken, F.lit(fails)).alias("done_before"))
+
+        return resume_buckets(orders, double, root, "user", "double", "twice the price", at_once=2, partition_column="part")
+
+    try:
+        run(fails=True)
+    except Exception as error:  # noqa: BLE001
+        if "stopped midway" not in str(error):
+            raise
+    return run(fails=False)
 
 
 @query(
@@ -84,8 +108,8 @@ def bucket_resume_own_bucket_column(spark: SparkSession, sf_dir: str) -> DataFra
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").withColumn(
         "bucket", F.when(F.col("o_orderkey") % 7 != 3, F.col("o_orderkey") % 7 - 2)
     )
-    plain = _doubled(orders, f"{root}/plain", n_buckets=4, n_waves=2)
-    named = _doubled(orders, f"{root}/named", n_waves=3, partition_column="bucket")
+    plain = _doubled(orders, f"{root}/plain", n_buckets=4, at_once=2)
+    named = _doubled(orders, f"{root}/named", at_once=3, partition_column="bucket")
     # what only one of the two has comes on top and fails the comparison
     apart = plain.exceptAll(named).unionByName(named.exceptAll(plain))
     return plain.unionByName(apart).select("o_orderkey", "bucket", "doubled")
@@ -116,9 +140,22 @@ def recover_on_and_off(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a job: its stages with their rows."""
-    workflow = Workflow(spark, fresh_dir(spark, "report"), "orders", recover=True)
+    return _reported(spark, sf_dir, recover=True)
+
+
+@query(
+    "stage_report_lazy",
+    "SELECT 'stage_1/orders' AS stage, count(*) AS n_rows, false AS recovered FROM orders UNION ALL SELECT 'stage_2/large', count(*), false FROM orders WHERE o_totalprice >= 50000",
+)
+def stage_report_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages that run fused together are counted as they run."""
+    return _reported(spark, sf_dir, recover=False)
+
+
+def _reported(spark: SparkSession, sf_dir: str, recover: bool) -> DataFrame:
+    workflow = Workflow(spark, fresh_dir(spark, "report"), "orders", recover=recover)
     orders = workflow.stage("orders", lambda: table(spark, sf_dir, "orders"))
-    workflow.stage("large", lambda: orders.filter("o_totalprice >= 50000"))
+    materialise(workflow.stage("large", lambda: orders.filter("o_totalprice >= 50000")))
     return workflow.report().select("stage", "n_rows", "recovered")
 
 

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.plans.identity import mark_of
@@ -28,7 +28,8 @@ class Workflow:
     in an earlier run of the same job is only read. A stage is known by its number, its tool and
     the mark of what it computes (plan, input files, recipe), so a job that asks for something
     else, or of another input, computes it. A stage without its ``_SUCCESS`` file is
-    overwritten. Without ``recover`` stages stay lazy and run fused together.
+    overwritten. Without ``recover`` stages stay lazy and run fused together; their rows are observed as
+    the first action that needs them reads them.
     """
 
     def __init__(self, spark: SparkSession, root: str, job_id: str, recover: bool = False):
@@ -38,6 +39,7 @@ class Workflow:
         self.timings: list[tuple[str, float, int | None, bool]] = []
         self._n_stages = 0
         self._kept: list[DataFrame] = []
+        self._observed: dict[int, Observation] = {}
 
     def stage_path(self, tool: str, mark: str) -> str:
         """The folder of the next stage; every call counts one up."""
@@ -54,8 +56,9 @@ class Workflow:
         result = compute()
         if not self.recover:
             self._n_stages += 1
+            self._observed[len(self.timings)] = observation = Observation()
             self.timings.append((f"stage_{self._n_stages}/{tool}", time.monotonic() - started, None, False))
-            return result
+            return result.observe(observation, F.count(F.lit(1)).alias("n_rows"))
         path = self.stage_path(tool, mark_of(result, recipe))
         recovered = path_exists(self.spark, f"{path}/{SUCCESS}")
         if not recovered:
@@ -91,8 +94,17 @@ class Workflow:
             self._kept.pop().unpersist()
 
     def report(self) -> DataFrame:
-        """Stage, seconds, rows and whether it was recovered; a lazy stage only counts planning and has no rows."""
-        return self.spark.createDataFrame(self.timings, "stage STRING, seconds DOUBLE, n_rows BIGINT, recovered BOOLEAN")
+        """Stage, seconds, rows and whether it was recovered.
+
+        A lazy stage has the seconds of its planning, since it runs fused with others, and the rows
+        that the first action on it read; none before there was one.
+        """
+        rows = list(self.timings)
+        for index, observation in self._observed.items():
+            if observation._jo.getRowOrEmpty().isDefined():  # get would wait for an action
+                stage, seconds, _, recovered = rows[index]
+                rows[index] = (stage, seconds, observation.get["n_rows"], recovered)
+        return self.spark.createDataFrame(rows, "stage STRING, seconds DOUBLE, n_rows BIGINT, recovered BOOLEAN")
 
 
 def repartition_by(df: DataFrame, multiplier: float) -> DataFrame:

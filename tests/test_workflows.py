@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from strandmill.catalogue import load, workflows as catalogue
 from strandmill.operators.tools import ToolError, ToolSpec
-from strandmill.plans import text
+from strandmill.plans import buckets, text
 from strandmill.plans.annotation import annotate
 from strandmill.plans.buckets import done_buckets, resume_buckets
 from strandmill.plans.workflow import SUCCESS, Workflow, materialise, path_exists, take
@@ -88,22 +88,47 @@ def test_buckets_resume_after_a_failure(spark, tmp_path):
         return part.withColumn("twice", F.col("id") * 2)
 
     def run(df=df, recipe="v1", **options):
-        return resume_buckets(df, compute, str(tmp_path), "me", "s", recipe, **({"n_buckets": 8, "n_waves": 4} | options))
+        return resume_buckets(df, compute, str(tmp_path), "me/us", "s", recipe, **({"n_buckets": 8, "at_once": 1} | options))
 
     with pytest.raises(RuntimeError):
         run()
-    done = spark.read.parquet(f"{tmp_path}/done")
-    assert done.count() == 4 and done_buckets(spark, str(tmp_path), "me", "s", done.first().mark)
+    folder = next(p for p in tmp_path.glob("me*/s-*") if not p.name.endswith("-input"))
+    mark = folder.name.removeprefix("s-")
+    # all buckets but the one that failed are done
+    first = done_buckets(spark, str(tmp_path), "me/us", "s", mark)
+    assert first == {*"01234567"} - {"2"}
+    stamps = {b: (folder / f"bucket={b}" / "_SUCCESS").stat().st_mtime_ns for b in first}
     assert sorted(r.twice for r in run().collect()) == list(range(0, 400, 2))
+    assert stamps == {b: (folder / f"bucket={b}" / "_SUCCESS").stat().st_mtime_ns for b in first}
     before = len(calls)
     again = run()
     assert len(calls) == before + 1 and again.count() == 200
-    assert done_buckets(spark, str(tmp_path), "you", "s", done.first().mark) == set()
-    assert run(recipe="v2", n_buckets=4, n_waves=1).count() == 200
+    assert done_buckets(spark, str(tmp_path), "you", "s", mark) == set()
+    assert run(recipe="v2", n_buckets=4, at_once=3).count() == 200
     other = run(spark.range(1000, 1020).withColumn("hot", F.lit("same")))
     assert sorted(r.id for r in other.collect()) == list(range(1000, 1020))
 
 
+def test_too_many_buckets_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "MAX_BUCKETS", 3)
+    odd = spark.createDataFrame([("a/b",), ("%null",), (None,)], "k STRING")
+    got = resume_buckets(odd, lambda part: part, str(tmp_path), "me", "s", "v1", partition_column="k")
+    assert sorted(map(str, (r.k for r in got.collect()))) == ["%null", "None", "a/b"] and got.columns == ["k"]
+    with pytest.raises(ValueError, match="more than 3 values"):
+        resume_buckets(spark.range(4), lambda part: part, str(tmp_path), "me", "s", "v1", partition_column="id")
+
+
+def test_lazy_stages_are_counted_as_they_run(spark, tmp_path):
+    workflow = Workflow(spark, str(tmp_path), "job")
+    a = workflow.keep(workflow.stage("a", lambda: spark.range(10)))
+    b = workflow.stage("b", lambda: a.filter("id > 6"))
+    assert [r.n_rows for r in workflow.report().collect()] == [None, None]
+    assert b.join(b.withColumnRenamed("id", "k"), F.col("id") == F.col("k")).count() == 3
+    for _ in range(2):
+        assert [(r.stage, r.n_rows) for r in workflow.report().collect()] == [("stage_1/a", 10), ("stage_2/b", 3)]
+    workflow.release()
+
+
 def test_every_value_of_a_partition_column_is_a_bucket(spark, tmp_path):
     df = spark.range(100).withColumn("bucket", F.when(F.col("id") % 11 != 0, F.col("id") % 10 - 3))
     twice = lambda part: part.withColumn("twice", F.col("id") * 2)
