@@ -4,8 +4,10 @@ Every paragraph gives points for its length and its commas to the elements that
 the parent, half to the grandparent, less and less further up. An element's points are discounted by the
 share of its text that lies in links. The best element is the container of the article, together with its
 siblings that score nearly as well. Without an <article> or <main>, siblings that are prose by their length and their share of
-links belong to it too, however few points they have, and so do headings before what is kept. What is never part of an article (menus, footers,
-forms, scripts, adverts, reader comments and the like) is left out, by tag, role or name.
+links belong to it too, however few points they have, and so do headings before what is kept. An article may be split over
+nested boxes, of which the best element is one; so the siblings of the elements around it are looked at in the same way, all the way
+up, where they must have the same class or hold a fair share of the best element's prose. What is never part of an article (menus, footers,
+forms, scripts, adverts, notices, reader comments and the like) is left out, by tag, role or name.
 
 A page is one row's work; the functions here parse one page at a time inside Arrow batches.
 """
@@ -35,13 +37,20 @@ NEVER = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments cookie cookies "
-    "consent disqus discussion footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
+    "ad ads advert adverts advertisement advertising adsense adslot alert alerts banner breadcrumb breadcrumbs comment comments cookie cookies "
+    "consent disclaimer disqus discussion footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification notifications "
     "outbrain pager pagination paywall popup promo promotion promoted related replies respond share sharing shoutbox sidebar "
     "signup social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
 ARTICLE_NAMES = frozenset("article body content entry main page post story text".split())
-KEPT_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
+# furniture names that a part of an article may have beside one of ARTICLE_NAMES, and such as a paragraph or heading may have
+LAYOUT = frozenset("banner discussion header masthead modal popup share sharing social subscribe toolbar topbar widget widgets".split())
+TITLES = frozenset("header masthead".split())
+READERS = frozenset("reader readers user users visitor visitors".split())
+OPINIONS = frozenset("feedback letters opinion opinions reactions responses reviews".split())
+ABOUT_OTHERS = frozenset("has hide is no non not show with without".split())  # a class such as no-sidebar
+KEPT_TAGS = frozenset("html body article main".split())
+PAGE = frozenset("html body #page".split())
 PARAGRAPHS = frozenset("p li td th pre blockquote h1 h2 h3 h4 h5 h6 dt dd".split())
 CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -72,9 +81,10 @@ PROSE_LINKS = 0.25
 class Element:
     """An element, its place in the tree, and what was found of its text."""
 
-    __slots__ = ("tag", "parent", "left_out", "in_article", "points", "chars", "link_chars", "in_paragraphs", "sentences")
+    __slots__ = ("tag", "kind", "parent", "left_out", "in_article", "points", "chars", "link_chars", "in_paragraphs", "sentences")
 
-    def __init__(self, tag: str, parent: Element | None, left_out: bool):
+    def __init__(self, tag: str, parent: Element | None, left_out: bool, kind: str = ""):
+        self.kind = kind  # its class
         self.tag, self.parent, self.left_out = tag, parent, left_out
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.points = 0.0
@@ -95,11 +105,16 @@ def _is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> boo
         return not in_article
     if tag in KEPT_TAGS:
         return False
-    names = {part.lower() for key in ("class", "id") for part in _NAME_PARTS.findall(attributes.get(key, ""))}
+    parts = [[part.lower() for part in _NAME_PARTS.findall(name)] for key in ("class", "id") for name in attributes.get(key, "").split()]
+    names = {part for name in parts if name and name[0] not in ABOUT_OTHERS for part in name}
+    if names & READERS and names & OPINIONS:
+        return True
     bad = names & FURNITURE
-    if in_article:
-        bad -= {"header"}
-    return bool(bad) and (not names & ARTICLE_NAMES or bool(bad & {"comment", "comments", "sidebar", "footer", "nav", "menu", "related", "promo"}))
+    if in_article or tag == "p" or tag in HEADINGS:
+        bad -= TITLES
+    if names & ARTICLE_NAMES:
+        bad -= LAYOUT
+    return bool(bad)
 
 
 def parse(html: str) -> list[tuple[Element, str, int]]:
@@ -175,9 +190,10 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
                 close(open_)
             flush()
         parent = stack[-1][1]
-        left_out = parent.left_out
+        left_out, kind = parent.left_out, ""
         if not left_out:
-            left_out = _is_furniture(tag, _attributes(token[3]), parent.in_article)
+            attributes = _attributes(token[3])
+            left_out, kind = _is_furniture(tag, attributes, parent.in_article), attributes.get("class", "")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = len(html) if end is None else end.start()
@@ -187,7 +203,7 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
         if tag not in VOID:
             deep = len(stack) >= MAX_DEPTH and (parent.left_out or not left_out)
             opened[tag] += 1
-            stack.append((tag, parent if deep else Element(tag, parent, left_out), len(stack) if tag in STOPS else stack[-1][2]))
+            stack.append((tag, parent if deep else Element(tag, parent, left_out, kind), len(stack) if tag in STOPS else stack[-1][2]))
     flush()
     return blocks
 
@@ -198,8 +214,8 @@ def _ancestors(element: Element) -> Iterator[Element]:
         element = element.parent
 
 
-def container(blocks: list[tuple[Element, str, int]]) -> set[int]:
-    """Ids of the elements whose text is the article's: the best container and good siblings."""
+def container(blocks: list[tuple[Element, str, int]]) -> tuple[set[int], set[int]]:
+    """Ids of the elements whose text is the article's, the best container and good siblings, and of those in them whose text is not."""
     scored: dict[int, Element] = {}
     holding: dict[int, Element] = {}  # all elements with text, paragraphs too, in order
     for holder, text, link_chars in blocks:
@@ -217,7 +233,7 @@ def container(blocks: list[tuple[Element, str, int]]) -> set[int]:
             element.points += points / (1 if level <= 0 else 2 if level == 1 else 3 * level)
             scored[id(element)] = element
     if not scored:
-        return set()
+        return set(), set()
 
     def score(element: Element) -> float:
         bonus = SEMANTIC_POINTS if element.tag in ("article", "main") else 0.0
@@ -229,40 +245,55 @@ def container(blocks: list[tuple[Element, str, int]]) -> set[int]:
         if element.tag in ("article", "main"):
             best = element
             break
-    if best.parent is None:
-        return {id(best)}
     least = max(10.0, SIBLING_SHARE * score(best))
+    marked = best.tag in ("article", "main")
+    children: dict[int, list[Element]] = {}  # by parent; where an element begins is where its first text is
+    for element in holding.values():
+        children.setdefault(id(element.parent), []).append(element)
+    kept = {id(best)}
+    # of the page itself, boxes of links do not belong to the article
+    links = {id(e) for e in children.get(id(best), ()) if 2 * e.link_chars > e.chars and e.tag not in PARAGRAPHS} if best.tag in PAGE else set()
 
-    def is_prose(element: Element) -> bool:
-        """Whether a sibling is a paragraph of the article, or a part of it like the best one."""
-        if element.tag not in PARAGRAPHS and (element.tag != best.tag or 2 * element.in_paragraphs < element.chars):
+    def is_prose(element: Element, like: Element, far: bool) -> bool:
+        """Whether a sibling of ``like`` is a paragraph of the article, or a part of it as that one is."""
+        if element.tag not in PARAGRAPHS and (element.tag != like.tag or 2 * element.in_paragraphs < element.chars):
             return False
         if element.link_chars > PROSE_LINKS * element.chars:
             return False
+        if far and not (element.kind and element.kind == like.kind):
+            return element.in_paragraphs > max(PROSE_CHARS, SIBLING_SHARE * best.in_paragraphs) and element.sentences > 0
         return element.chars > PROSE_CHARS or not element.link_chars and element.sentences > 0
 
-    kept = {id(best)}
-    follows = False  # whether what comes next is kept
-    marked = best.tag in ("article", "main")
-    # where an element begins is where its first text is
-    for element in reversed([e for e in holding.values() if e.parent is best.parent]):
-        if element is not best:
-            good = id(element) in scored and score(element) >= least
-            if not marked and element.tag in HEADINGS:
-                good |= follows and element.link_chars <= PROSE_LINKS * element.chars
-            elif not marked:
-                good |= is_prose(element)
-            if good:
-                kept.add(id(element))
-        follows = id(element) in kept
-    return kept
+    around, far = best, False
+    while around.parent is not None:
+        follows = False  # whether what comes next is kept
+        siblings = children[id(around.parent)]
+        for element in reversed(siblings):
+            if element is not around:
+                good = not far and id(element) in scored and score(element) >= least
+                if not marked and element.tag in HEADINGS:
+                    good |= follows and element.link_chars <= PROSE_LINKS * element.chars
+                elif not marked:
+                    good |= is_prose(element, around, far)
+                if good:
+                    kept.add(id(element))
+            follows = element is around or id(element) in kept
+        if marked:
+            break
+        far, around = True, around.parent
+    return kept, links
 
 
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, one to a line; empty if there is none."""
     blocks = parse(html or "")
-    kept = container(blocks)
-    return "\n".join(text for holder, text, _ in blocks if any(id(e) in kept for e in _ancestors(holder)))
+    kept, dropped = container(blocks)
+
+    def belongs(holder: Element) -> bool:
+        around = {id(e) for e in _ancestors(holder)}
+        return not kept.isdisjoint(around) and dropped.isdisjoint(around)
+
+    return "\n".join(text for holder, text, _ in blocks if belongs(holder))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

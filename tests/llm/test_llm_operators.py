@@ -204,6 +204,39 @@ def test_main_text_keeps_paragraphs_beside_the_best_container():
     assert found[:2] == ["Title", lead.strip()] and found[-1] == "Last one." and len(found) == 23
 
 
+@pytest.mark.parametrize("levels", range(1, 5))
+def test_main_text_keeps_every_section_of_nested_boxes(levels):
+    """Sections in boxes in boxes, beside a menu without a name and an advert."""
+    text = "A sentence of the section, with commas, and so on, that is long enough to be one. It goes on, too."
+    menu = "<div>" + "".join(f'<p><a href="/{k}">link number {k}</a></p>' for k in range(12)) + "</div>"
+    after = '<div class="sponsored-content"><p>' + text + "</p></div>"
+    for n in range(1, 13):
+        sections = "".join(
+            "<div class=sec>" + "<div class=inner>" * (levels - 1) + f"<h2>Part {k}</h2><p>{text} {k}</p><p>{text}</p>" + "</div>" * levels
+            for k in range(n)
+        )
+        for page in (sections, f"<div>{sections}</div>", f"<div><h1>Title</h1>{sections}</div>"):
+            foot = "" if page is sections else after  # beside the sections it would be one of them
+            found = main_text.main_text(f"<html><body>{menu}{page}{foot}</body></html>").split("\n")
+            title = ["Title"] if "<h1>" in page else []
+            assert found == title + [line for k in range(n) for line in (f"Part {k}", f"{text} {k}", text)], (n, page[:30])
+
+
+def test_main_text_leaves_out_named_paragraphs_and_content_boxes():
+    text = "A sentence of the article, with commas, and so on, that is long enough to be one."
+    gone = [
+        '<p class="advert">BUY NOW, it is cheap, and good.</p>', '<p class="cookie-notice">We use cookies, as all do.</p>', '<p class="comment">I, for one, agree.</p>',
+        '<div class="sponsored-content"><p>Paid, by them.</p></div>', '<div class="ad-text"><p>An ad, here.</p></div>', '<div class="cookie-content"><p>Cookies, again.</p></div>',
+        '<div class="alert"><p>An alert, here.</p></div>', '<section id="disclaimer"><p>No advice, at all.</p></section>', '<div class="reader-opinions"><p>I think, so.</p></div>',
+        '<h3 class="related">Related, as they say</h3>',
+    ]
+    kept = ['<h1 class="header">Title</h1>', f'<div class="content no-sidebar"><p>{text}</p></div>', f'<div class="article-header"><p>{text}</p></div>']
+    lines = ["Title", text, text]
+    for open_, close in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = open_ + kept[0] + "".join(k + g for k, g in zip(kept[1:], ("".join(gone[:5]), "".join(gone[5:])))) + close
+        assert main_text.main_text(f"<body>{page}</body>").split("\n") == lines
+
+
 def test_main_text_keeps_short_parts_of_a_split_article():
     long = "<section><h2>One</h2>" + "<p>Much, much, more, text, is, here, than, there.</p>" * 10 + "</section>"
     links = "<section><h2>See</h2><p><a href=1>Another story.</a></p></section>"
