@@ -90,9 +90,9 @@ class Profiles:
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """The nearest language (the first by name if several are) and 1 - distance / largest distance."""
-        codes, counts = ngram_counts(text or "")
-        if not len(codes):
+        if not any(map(str.isalpha, text or "")):  # marks alone are no letters
             return UNDETERMINED, 0.0
+        codes, counts = ngram_counts(text)
         top = ranked(codes, counts, self.length)
         column = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
         ranks = np.where(self.codes[column] == top, self.ranks[:, column], -1)

@@ -167,6 +167,13 @@ def test_a_part_of_a_message_is_linked_however_it_is_wrapped(spark):
     assert [got[t]["position"] for t in range(5)] == [0, 4, 1, 2, 3] and got[4]["thread"] == 0
 
 
+def test_a_text_of_marks_has_no_language():
+    profiles = language_id.Profiles({"aa": language_id.ngram_codes("abc abd").tolist()[:5]}, 5)
+    for text in (None, "", "12 !?", "\u0301\u0302", "\u0483 1"):
+        assert profiles.judge(text) == ("und", 0.0)
+    assert profiles.judge("\u0301a")[0] == "aa"
+
+
 # --- main text -------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
