@@ -184,7 +184,7 @@ SQL_GENES = f"""(
           FROM {SQL_CONTIGS}))"""
 
 
-def gene_call_files(spark: SparkSession, sf_dir: str) -> str:
+def gene_call_files(spark: SparkSession, sf_dir: str, gzip: bool = False) -> str:
     """Gene calls on all documents, as text files."""
     sized = contigs(spark, sf_dir).select("doc_id", "header", F.length("sequence").cast("bigint").alias("n"))
     last = F.least(1 + F.col("doc_id") % 4, F.col("n"))
@@ -215,7 +215,7 @@ def gene_call_files(spark: SparkSession, sf_dir: str) -> str:
         let(F.col("n"), lambda n: F.transform("ks", lambda i: gene_line(i, n))),
     )
     path = fresh_dir(spark, "gene-calls")
-    write_lines(genes.select(block.alias("line")), path)
+    write_lines(genes.select(block.alias("line")), path, gzip)
     return path
 
 
@@ -249,6 +249,18 @@ def gene_calls_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "gene_calls_gzip",
+    f"SELECT header AS name, count(*) AS n_genes, CAST(sum(end_pos - start_pos) AS BIGINT) AS residues FROM {SQL_GENES} GROUP BY header",
+)
+def gene_calls_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not split, whose headers are carried by stretches."""
+    genes = flatten_genes(read_gene_calls(spark, gene_call_files(spark, sf_dir, gzip=True)))
+    return genes.groupBy(F.col("contig_name").alias("name")).agg(
+        F.count("*").alias("n_genes"), F.sum((F.col("end_pos") - F.col("start_pos")).cast("bigint")).alias("residues")
+    )
+
+
 @query(
     "gene_extract",
     f"""SELECT replace(header || '_' || gene_id, ' ', '_') AS header,

@@ -1,9 +1,9 @@
 """Gene calls: three ``# `` header lines per contig, then one tab-separated line per gene.
 
 Files are cut at a line end followed by ``# ``, so a piece is one header line with the
-gene lines below it. The headers are carried down to the genes inside each split by a
-window, and from split to split through one row of state per split; no window ever
-spans a whole file's lines.
+gene lines below it. The headers are carried down to the genes inside each stretch of a split by a
+window, and from stretch to stretch through one row of state for each; no window ever
+spans a whole file's lines, a ``.gz`` file's neither, which is one split of many stretches.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.fields import required
+from strandmill.sources.fastq import sub_block
 from strandmill.sources.lines import Paths, read_pieces
 
 SEPARATOR = "\n# "
@@ -70,19 +71,19 @@ def parse_gene(line: Column) -> Column:
 
 
 HEADERS = ("name", "composition", "self")
+STRETCH = ("source", "block", "sub")
 
 
-def _headed(pieces: DataFrame) -> DataFrame:
-    """Pieces as one header and its gene lines; ``stops`` marks a blank line after them."""
+def _headed(pieces: DataFrame, sub: Column) -> DataFrame:
+    """Pieces as one header and its gene lines; ``stops`` marks a blank line after them, ``sub`` the stretch."""
     text = F.regexp_replace(F.regexp_replace("piece", r"\r(\n|\z)", "$1"), r"\A# ", "")
     lines = F.split(F.rtrim(F.substring_index("text", "\n\n", 1), F.lit("\n")), "\n")
     header = F.get("lines", F.lit(0))
     return (
-        pieces.select("source", "block", "seq", F.col("piece").startswith("# ").alias("marked"), text.alias("text"))
+        pieces.select("source", "block", sub.alias("sub"), "seq", F.col("piece").startswith("# ").alias("marked"), text.alias("text"))
         .withColumn("lines", lines)
         .select(
-            "source",
-            "block",
+            *STRETCH,
             "seq",
             (F.col("text").rlike(r"\n\n|\n\z") | (F.col("text") == "")).alias("stops"),
             "marked",
@@ -96,22 +97,23 @@ def _headed(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _split_states(headed: DataFrame) -> DataFrame:
-    """Per split: the headers that earlier splits leave open, and where its file ends.
+def _stretch_states(headed: DataFrame) -> DataFrame:
+    """Per stretch: the headers that earlier stretches leave open, whether it is its file's first, and where its file ends.
 
-    The windows here run over one row per split.
+    The windows here run over one row per stretch.
     """
     latest = {
         name: F.max(F.when(F.col(name).isNotNull(), F.struct("seq", F.col(name).alias("value"))))
         for name in HEADERS
     }
-    splits = headed.groupBy("source", "block").agg(
+    stretches = headed.groupBy(*STRETCH).agg(
         *(column.alias(name) for name, column in latest.items()),
         F.max(F.when(F.col("has_genes"), F.col("seq"))).alias("gene_seq"),
         (F.min(F.when(F.col("stops"), F.col("seq"))) - F.min("seq") + 1).alias("stop_place"),
         F.count("*").alias("last_place"),
     )
-    before = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.partitionBy("source").orderBy("block", "sub")
+    before = in_order.rowsBetween(W.unboundedPreceding, -1)
     in_file = W.partitionBy("source")
 
     def left_open(name: str) -> Column:
@@ -122,16 +124,13 @@ def _split_states(headed: DataFrame) -> DataFrame:
             closed, F.struct(F.lit(None).alias("value"))
         )
 
-    first_stop = F.min(F.when(F.col("stop_place").isNotNull(), F.struct("block", "stop_place")))
-    last = F.max(F.struct("block", "last_place"))
-    return splits.select(
-        "source",
-        "block",
+    first_stop = F.min(F.when(F.col("stop_place").isNotNull(), F.struct("block", "sub", F.col("stop_place").alias("place"))))
+    last = F.max(F.struct("block", "sub", F.col("last_place").alias("place")))
+    return stretches.select(
+        *STRETCH,
         *(F.last(left_open(n), ignorenulls=True).over(before).alias(f"earlier_{n}") for n in HEADERS),
-        F.coalesce(
-            first_stop.over(in_file).cast("struct<block: bigint, place: bigint>"),
-            last.over(in_file).cast("struct<block: bigint, place: bigint>"),
-        ).alias("end"),
+        (F.row_number().over(in_order) == 1).alias("is_first"),
+        F.coalesce(first_stop.over(in_file), last.over(in_file)).alias("end"),
     )
 
 
@@ -143,15 +142,14 @@ def parse_gene_calls(
     ``split_sources=False`` says that every source is one block, as the output of a
     program is, and evaluates the pieces once.
     """
-    headed = _headed(pieces)
-    in_split = W.partitionBy("source", "block").orderBy("seq")
+    headed = _headed(pieces, sub_block() if split_sources else F.lit(0).cast("bigint"))
+    in_split = W.partitionBy(*STRETCH).orderBy("seq")
     so_far = in_split.rowsBetween(W.unboundedPreceding, 0)
     before = in_split.rowsBetween(W.unboundedPreceding, -1)
 
     closed_at = F.max(F.when(F.col("has_genes"), F.col("seq"))).over(before)
     carried = headed.select(
-        "source",
-        "block",
+        *STRETCH,
         "header",
         "marked",
         "has_genes",
@@ -169,15 +167,16 @@ def parse_gene_calls(
         "stops",
     )
     if split_sources:
-        placed = carried.join(_split_states(headed), ["source", "block"])
+        placed = carried.join(_stretch_states(headed), list(STRETCH))
     else:
-        whole = W.partitionBy("source", "block")
+        whole = W.partitionBy(*STRETCH)
         stop = F.min(F.when(F.col("stops"), F.col("place"))).over(whole)
         end = F.coalesce(stop, F.max("place").over(whole)).cast("bigint")
         nothing = F.lit(None).cast("struct<value: string>")
         placed = carried.select(
             "*",
-            F.struct(F.col("block"), end.alias("place")).alias("end"),
+            F.struct("block", "sub", end.alias("place")).alias("end"),
+            F.lit(True).alias("is_first"),
             *(nothing.alias(f"earlier_{n}") for n in HEADERS if n != "composition"),
             F.lit(None).cast("struct<value: struct<gc: string, rbs: string>>").alias("earlier_composition"),
         )
@@ -193,9 +192,9 @@ def parse_gene_calls(
             F.raise_error(problem).cast(data_type),
         )
 
-    place = F.struct(F.col("block"), F.col("place").cast("bigint"))
+    place = F.struct("block", "sub", F.col("place").cast("bigint").alias("place"))
     survives = place <= F.col("end")
-    opens_file = (F.col("block") == 0) & (F.col("place") == 1)
+    opens_file = F.col("is_first") & (F.col("block") == 0) & (F.col("place") == 1)
     blank_start = opens_file & (F.col("header") == "")
     recognised = F.col("recognised") & (F.col("marked") | ~opens_file)
     emits = F.col("has_genes") | (place == F.col("end"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.operators.genes import flatten_genes
+from strandmill.sources import fastq
 from strandmill.sources.domains import parse_domains, read_domains
 from strandmill.sources.fasta import read_fasta, write_fasta
 from strandmill.sources.fastq import read_fastq, write_fastq
@@ -231,6 +232,24 @@ def test_broken_gene_calls_fail(spark, tmp_path, split_size, size, text, problem
         read_gene_calls(spark, written(tmp_path / "g", text)).collect()
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_gene_call_headers_are_carried_over_stretches(spark, tmp_path, monkeypatch, bits):
+    """Headers, their genes, blank lines and ends of files in stretches of one, two or eight pieces, in files that do not split."""
+    rng = random.Random(bits)
+    for number in range(3):
+        parts = []
+        for k in range(20):
+            genes = [f"g{k}_{i}\t0\t9\t+\t0\t11\t1.5\ts\t-\t-\t-" for i in range(rng.choice([0, 0, 1, 3]))]
+            parts += [f"# c{number}_{k}", f"# gc = 0.{k}, rbs = -1", "# self: x", *genes]
+            if rng.random() < 0.1 * number:
+                parts.append("")  # nothing counts after it
+        (tmp_path / f"{number}.gz").write_bytes(gzip.compress("\n".join(parts).encode()))
+    calls = lambda keep: sorted((r.name, r.gc, len(r.predicted_genes)) for r in read_gene_calls(spark, str(tmp_path), keep).collect())
+    whole = [calls(False), calls(True)]
+    monkeypatch.setattr(fastq, "SUB_BLOCK_BITS", bits)
+    assert [calls(False), calls(True)] == whole and len(whole[0]) < len(whole[1])
+
+
 def test_json_round_trip(spark):
     schema = "a INT, b STRING, c ARRAY<STRING>, d STRUCT<e: DOUBLE>"
     rows = [(1, 'q"uote', ["x"], (1.5,)), (None, None, [], None)]
