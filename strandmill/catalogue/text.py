@@ -220,11 +220,13 @@ def tool_host_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.min(named).alias("named"))
 
 
-@query("records_spread", "SELECT DISTINCT n_nationkey, n_name FROM nation")
+@query("records_spread", "SELECT n_nationkey, n_name, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
 def records_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that the driver holds become a table of several partitions."""
+    """The few rows that the driver holds become a table of several partitions, which all customers are joined with."""
     rows = table(spark, sf_dir, "nation", "n_nationkey", "n_name").collect()
-    return from_records(spark, rows, "n_nationkey BIGINT, n_name STRING")
+    nations = from_records(spark, rows, "n_nationkey BIGINT, n_name STRING")
+    customers = table(spark, sf_dir, "customer", "c_nationkey").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n_customers"))
+    return customers.join(nations, "n_nationkey")
 
 
 @query("row_count_action", f"SELECT count(*) AS n FROM {SQL_LINES}")
