@@ -8,12 +8,17 @@ together from its pieces. Only one record is held in memory at a time.
 A split of a plain file is parsed as if a record began at its first mark. One scan writes the records
 and a row about the end of every split; the edges of the splits are then settled from these rows. Where a record ends
 in a later split, the splits that it reaches into are parsed again from where it ends.
+
+Large ``.gz`` archives are cut at the start of their members (an archive has one for each record), so that their splits are
+inflated by many tasks. Where members and records do not go together, one task reads the file as a stream.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -42,6 +47,19 @@ VERSION_LINE = "WARC/0.18"
 HEADER_LINE = re.compile(rb"([^\n]*)\n")
 BATCH_BYTES = 8 << 20
 
+# Fixed value: how a member of a gzip file begins.
+MEMBER = b"\x1f\x8b\x08"
+MEMBER_BYTES = 256 << 20  # more than that is not inflated at once
+LARGE_GZIP = 32 << 20
+# No codec takes a file for which the last ending before its name, in the order of reversed names, is not its own; text
+# files without a codec are split. The second name of an option is its name in Spark's shaded client.
+UNPACKED = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".!.gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".!.gz",
+    "encoding": "ISO-8859-1",
+}
+
 
 def _read_header(data: bytes) -> tuple[list[bytes], int, int] | None:
     """Header lines, Content-Length and payload offset; None while the header is open.
@@ -218,6 +236,101 @@ def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
 
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of each gzip member, from the file part cut where members seem to begin.
+
+    The mark of a member may turn up by chance inside another one, which then goes on with the next piece.
+    Raises ``zlib.error`` if the pieces are not whole members or if a member is over ``MEMBER_BYTES``.
+    """
+    for piece in pieces:
+        member, data = zlib.decompressobj(wbits=31), b""
+        packed: bytes | None = MEMBER + piece
+        parts, size = [], 0
+        while packed is not None:
+            data = member.decompress(packed, MEMBER_BYTES - size + 1)
+            parts.append(data)
+            size += len(data)
+            if size > MEMBER_BYTES or member.unused_data:
+                raise zlib.error("too long, or followed by other bytes")
+            packed = None if member.eof else next(pieces, None)
+            if packed is not None:
+                packed = MEMBER + packed
+        if not member.eof:
+            raise zlib.error("not whole")
+        yield b"".join(parts)
+
+
+def _records_of_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of pieces cut at ``MEMBER``, in file order, to batches of ``record`` and ``end`` rows.
+
+    An ``end`` row has ``missing`` set if the split is not made of members that hold whole records; its records then do not count.
+    """
+    upcoming = (row for batch in batches for row in batch.to_pylist())
+    row = next(upcoming, None)
+    ready: list[dict] = []
+    size = 0
+    while row is not None:
+        part = (row["source"], row["block"])
+        # a file begins with the mark, in front of which there is nothing
+        opened = bool(row["block"]) or not row["piece"]
+        if not row["block"]:
+            row = next(upcoming, None)
+
+        def pieces() -> Iterator[bytes]:
+            nonlocal row
+            while row is not None and (row["source"], row["block"]) == part:
+                piece = row["piece"]
+                row = next(upcoming, None)
+                yield piece
+
+        place = {"file_path": part[0], "block": part[1], "claimed": 0, "ends_file": False}
+        number, whole = 0, opened
+        of_split = pieces()
+        try:
+            for data in _inflated(of_split) if opened else ():
+                records = split_records(_cut(data))
+                if data and not (data.startswith(MARK) and data.endswith(b"\n")):
+                    raise zlib.error("not of whole records")
+                for record in records if data else ():
+                    if record["missing"] is not None:
+                        raise zlib.error("not of whole records")
+                    ready.append(record | place | {"kind": RECORD, "record_number": number})
+                    number += 1
+                    size += record["content_length"] + 512
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
+                        ready, size = [], 0
+        except zlib.error:
+            whole = False
+            for _ in of_split:
+                pass
+        ready.append(place | {"kind": END, "record_number": number, "missing": None if whole else 1})
+    if ready:
+        yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
+
+
+def _members(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """The numbered records of ``.gz`` files made of members with whole records, and the files that are not."""
+    pieces = spark.read.options(**UNPACKED).text(paths, lineSep=MEMBER.decode("latin-1")).select(
+        F.col("value").cast("binary").alias("piece"),
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    parsed = _written(pieces.mapInArrow(_records_of_members, PARSED)).withColumn("file_key", F.xxhash64("file_path"))
+    broken = parsed.filter("kind = 'end' AND missing IS NOT NULL").select("file_path", "file_key").distinct()
+    others = {row.file_path: row.file_key for row in broken.collect()}  # no more than the listed files
+    if others:
+        keys = spark.createDataFrame([(key,) for key in others.values()], "file_key BIGINT")
+        parsed = parsed.join(F.broadcast(keys), "file_key", "left_anti")
+    there = {_local(path): path for path in paths}
+    return _ending(_numbered(parsed)), [there[_local(path)] for path in others]
+
+
+def _local(path: str) -> str:
+    """One spelling for the ways in which paths are listed."""
+    return re.sub("^([a-z0-9+.-]+):/+", r"\1:/", unquote(path))
+
+
 def _pieces(spark: SparkSession, path: Paths) -> DataFrame:
     return read_pieces(spark, path, SEPARATOR).select(
         F.col("piece").cast("binary").alias("piece"),
@@ -249,10 +362,12 @@ def read_warc(
     splittable: bool = True,
     numbered: bool = True,
     with_truncated: bool = False,
+    large_gzip: int = LARGE_GZIP,
 ) -> DataFrame:
     """One row per record; ``record_number`` counts from 0 in each file.
 
-    A plain file is read by as many tasks as it has splits, a ``.gz`` file by one. Plain files are
+    A plain file is read by as many tasks as it has splits, and so is a ``.gz`` file of more than ``large_gzip`` bytes if its
+    members hold whole records; other packed files are read by one. Plain files and large ``.gz`` files are
     parsed once, into a table in the shared folder that the result reads; numbers and records that
     reach over the end of a split are settled from it. ``numbered=False`` writes nothing and parses as the result is
     read: numbers then count inside a split, and a record that reaches into another split fails the query.
@@ -275,12 +390,26 @@ def read_warc(
         found.append(_ending(_parsed(_pieces(spark, plain if packed else path)).filter(F.col("kind") == RECORD), lacks))
     elif plain:
         found.append(_ending(_parsed(_whole_files(spark, plain)).filter(F.col("kind") == RECORD)))
+    large = _large(spark, packed, large_gzip) if splittable and numbered else []
+    if large:
+        of_members, others = _members(spark, large)
+        found.append(of_members)
+        packed = sorted(set(packed) - set(large) | set(others))
     if packed or not names:
-        found.append(_ending(_parsed(_pieces(spark, packed if plain else path)).filter(F.col("kind") == RECORD)))
-    records = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        found.append(_ending(_parsed(_pieces(spark, packed if plain or large else path)).filter(F.col("kind") == RECORD)))
+    records = reduce(DataFrame.unionByName, found)
     return records if with_truncated else records.filter(~F.col("truncated")).drop("truncated")
 
 
+def _large(spark: SparkSession, packed: list[str], least: int) -> list[str]:
+    """The ``.gz`` files of more than ``least`` bytes, by their listing; those whose name ends in ``!.gz`` do not split."""
+    names = {_local(name): name for name in packed if name.endswith(".gz") and not name.endswith("!.gz")}
+    if not names:
+        return []
+    listed = spark.read.format("binaryFile").load(list(names.values())).where(F.col("length") > least).select("path")
+    return sorted(names[_local(row.path)] for row in listed.collect())
+
+
 RECORD_COLUMNS = [field.strip().split(" ")[0] for field in re.sub("<.*?>", "", schemas.WARC).split(",")]
 
 
@@ -295,6 +424,15 @@ def _written(parsed: DataFrame) -> DataFrame:
     return parsed.sparkSession.read.schema(parsed.schema).parquet(path)
 
 
+def _numbered(parsed: DataFrame) -> DataFrame:
+    """The records of parsed splits, numbered in their files, by the number of records that every split ends with."""
+    earlier = W.partitionBy("file_key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = parsed.filter("kind = 'end'")
+    offsets = ends.select("file_key", "block", F.coalesce(F.sum("record_number").over(earlier), F.lit(0)).alias("offset"))
+    records = parsed.filter("kind = 'record'").join(small_per_split(offsets), ["file_key", "block"])
+    return records.withColumn("record_number", F.col("record_number") + F.col("offset"))
+
+
 CLAIMS = "file_key BIGINT, block BIGINT, claimed BIGINT, owner BIGINT"
 
 
@@ -361,11 +499,7 @@ def _settled(spark: SparkSession, path: Paths) -> DataFrame:
         settled = spark.createDataFrame([(*place, *claim) for place, claim in claims.items()], CLAIMS)
         settled = settled.select("file_key", "block", F.col("claimed").alias("settled"), "owner")
         parsed = parsed.join(F.broadcast(settled), ["file_key", "block"], "left").filter(F.col("claimed") == F.coalesce("settled", F.lit(0)))
-    earlier = W.partitionBy("file_key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    ends = parsed.filter("kind = 'end'")
-    offsets = ends.select("file_key", "block", F.coalesce(F.sum("record_number").over(earlier), F.lit(0)).alias("offset"))
-    records = parsed.filter("kind = 'record'").join(small_per_split(offsets), ["file_key", "block"])
-    records = records.withColumn("record_number", F.col("record_number") + F.col("offset"))
+    records = _numbered(parsed)
     if not claims:
         return _ending(records)
     in_order = F.sort_array(F.collect_list(F.struct("block", "content")))

@@ -132,6 +132,55 @@ def test_nested_records_at_any_split_size(spark, tmp_path, split_size):
         assert numbers == [*range(7), 0, 1]
 
 
+def members(payloads, level=9):
+    return [gzip.compress(record(b"response", body, number=n) + b"\r\n\r\n", level) for n, body in enumerate(payloads)]
+
+
+def test_large_gzip_archives_split_at_members(spark, tmp_path, split_size):
+    rng = random.Random(4)
+    payloads = [bytes(rng.choices(range(256), k=rng.randrange(900))) for _ in range(150)]
+    payloads[20] = b"\n" + record(b"response", b"inner") + b"\r\n\r\n" + payloads[20]
+    payloads[30] = b""
+    (tmp_path / "a b%20.warc.gz").write_bytes(b"".join(members(payloads)) + gzip.compress(b""))
+    split_size("5k")
+    df = warc.read_warc(spark, str(tmp_path), large_gzip=0)
+    assert bodies(df) == payloads
+    assert [r.record_number for r in df.orderBy("record_number").collect()] == list(range(150))
+    assert df.select("file_path").distinct().count() == 1 and df.first().file_path.endswith("a%20b%2520.warc.gz")
+    pieces = spark.read.options(**warc.UNPACKED).text(str(tmp_path), lineSep=warc.MEMBER.decode("latin-1"))
+    assert pieces.rdd.getNumPartitions() > 5
+
+
+def test_a_member_mark_by_chance(spark, tmp_path, split_size):
+    """Stored blocks keep the bytes of a payload, marks of members among them, over whole splits and their ends."""
+    fake = gzip.compress(b"WARC/ not a member of the file\n", 0)
+    payloads = [b"a" * 50, (fake + b"x" * 300) * 20, b"b", warc.MEMBER * 40, b"c" * 700]
+    (tmp_path / "a.gz").write_bytes(b"".join(members(payloads, 0)))
+    for size in ("128m", "700b", "64b"):
+        split_size(size)
+        df = warc.read_warc(spark, str(tmp_path), large_gzip=0)
+        split_size("128m")
+        assert bodies(df) == payloads
+        assert [r.record_number for r in df.orderBy("record_number").collect()] == list(range(5))
+
+
+def test_gzip_archives_whose_members_are_not_records(spark, tmp_path, split_size):
+    payloads = [b"p%d" % n * 200 for n in range(30)]
+    text = b"".join(record(b"response", body, number=n) + b"\r\n\r\n" for n, body in enumerate(payloads))
+    whole = b"".join(members(payloads))
+    (tmp_path / "a.gz").write_bytes(gzip.compress(text))  # one member
+    (tmp_path / "b.gz").write_bytes(b"".join(gzip.compress(text[i : i + 1000]) for i in range(0, len(text), 1000)))  # members cut anywhere
+    (tmp_path / "c.gz").write_bytes(whole + b"".join(gzip.compress(part) for part in (record(b"response", b"glued"), record(b"response", b"not at a line end"))))
+    (tmp_path / "d.gz").write_bytes(gzip.compress(b"junk\n") + whole)
+    (tmp_path / "e!.gz").write_bytes(whole)
+    (tmp_path / "f.gz").write_bytes(whole)
+    (tmp_path / "g").write_bytes(text)
+    alone = bodies(warc.read_warc(spark, str(tmp_path)))
+    split_size("1k")
+    assert bodies(warc.read_warc(spark, str(tmp_path), large_gzip=0)) == alone
+    assert alone[:60] == payloads * 2 and alone.count(payloads[7]) == 7
+
+
 def test_truncated_tail_is_dropped_or_marked(spark, tmp_path):
     whole, cut = record(b"response", b"whole"), record(b"response", b"cut off", number=1)
     (tmp_path / "a.gz").write_bytes(gzip.compress(whole + b"\r\n\r\n" + cut[:-3]))
