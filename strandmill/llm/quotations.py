@@ -83,10 +83,12 @@ def _own_text(lines: Column) -> Column:
     return F.array_join(F.transform(kept, lambda line: line["body"]), "\n")
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, words, source) of every quoted passage, paragraph and line of messages (conv, turn, lines, own)."""
-    messages = messages.withColumn("marked", _marked(F.col("lines"))).withColumn("quoting", _quoted_lines(F.col("lines")))
-    messages = messages.withColumn("paragraphs", _runs(F.col("marked"))).withColumn("passages", _runs(F.col("quoting")))
+def _hashed_units(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, words, h1, h2) of the distinct lines, paragraphs, passages and own text of every message."""
+    quotes = F.col("n_quotes") > 0
+    messages = messages.withColumn("marked", _marked(F.col("lines"))).withColumn("quoting", F.when(quotes, _quoted_lines(F.col("lines"))))
+    passages = F.coalesce(_runs(F.col("quoting")), F.slice("lines", 1, 0))
+    messages = messages.withColumn("paragraphs", _runs(F.col("marked"))).withColumn("passages", passages)
     quoted = F.filter(F.concat("lines", "passages", "paragraphs"), lambda line: line["level"] > 0)
     own_paragraphs = F.transform(F.filter("paragraphs", lambda x: x["level"] == 0), lambda x: x["body"])
     mine = F.concat(F.split("own", "\n"), F.array("own"), own_paragraphs)
@@ -95,7 +97,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     units = F.concat(F.transform(quoted, lambda q: unit(q["level"], q["body"])), F.transform(mine, lambda body: unit(F.lit(0), body)))
     rows = messages.select("conv", "turn", F.explode(F.array_distinct(units)).alias("u"))
     rows = rows.select("conv", "turn", F.substring_index("u", END, 1).cast("int").alias("level"), F.substr("u", F.instr("u", END) + 1).alias("body"))
-    hashed = rows.where("body != ''").select(
+    return rows.where("body != ''").select(
         "conv",
         "turn",
         "level",
@@ -103,8 +105,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.xxhash64("body").alias("h1"),
         F.xxhash64(F.lit(1), F.col("body")).alias("h2"),
     )
+
+
+def link_quotes(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, words, source) of every quoted passage, paragraph and line of messages (conv, turn, lines, own, n_quotes)."""
+    hashed = _hashed_units(messages)
     # only what is quoted somewhere needs its place; the rest never meets a quote
-    asked = hashed.where("level > 0").select("conv", "h1", "h2").distinct()
+    asked = _hashed_units(messages.where("n_quotes > 0")).where("level > 0").select("conv", "h1", "h2").distinct()
     matched = hashed.alias("m").join(asked.alias("a"), F.col("m.conv").eqNullSafe(F.col("a.conv")) & (F.col("m.h1") == F.col("a.h1")) & (F.col("m.h2") == F.col("a.h2")), "left_semi")
     earlier = W.partitionBy("conv", "h1", "h2").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     source = F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)
