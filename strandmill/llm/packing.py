@@ -1,12 +1,17 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Documents become pieces of at most ``capacity`` tokens. Full pieces are sequences of their own;
-the others are dealt into blocks of a bounded number of pieces, and each block is evolved by several
-islands. A chromosome is a set of bins. Crossover injects well-filled bins of one parent
-whole into another, removes the bins that hold a piece twice, and best-fits the displaced
-pieces; mutation dissolves poorly filled bins. After an epoch the best packing of every
-island migrates to the next island of its block. Then the poorly filled bins of all blocks are dealt into new, fewer blocks, at most
-``MAX_DEALS`` times or until one block holds them; bins are dealt whole, so that a packing only gets better.
+Documents become pieces of at most ``capacity`` tokens. Full pieces are sequences of their own.
+The first chromosome is the best-fit decreasing packing of all other pieces. Pieces of one length are
+alike, so it is found from their numbers by length, at most ``capacity`` of them, and pieces take
+their places by their rank. Its bins are dealt whole into blocks of about ``block_pieces`` pieces, and each
+block is evolved by several islands. A chromosome is a set of bins. Crossover injects well-filled
+bins of one parent whole into another, removes the bins that hold a piece twice, and best-fits the
+displaced pieces; mutation dissolves poorly filled bins. After an epoch the best packing of every
+island migrates to the next island of its block. Then the poorly filled bins of all blocks are dealt
+into new, fewer blocks, as long as that saves at least one bin in ``1 / MIN_GAIN`` and more than one block is left.
+
+A packing is fitter with fewer bins and the fittest stays, so there are never more bins than best-fit decreasing
+over all pieces gives. A block whose bins are as few as its tokens allow is not evolved.
 
 Tasks hold the lengths of one block at a time; texts are only read by the tokeniser.
 """
@@ -16,6 +21,7 @@ from __future__ import annotations
 import json
 import random
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, cached_property, reduce
 
@@ -31,10 +37,10 @@ from strandmill.llm.common import materialise, tidy
 CAPACITY = 2048
 BLOCK_PIECES = 1024
 ISLANDS = 2
-POPULATION = 4
-GENERATIONS = 10
+POPULATION = 6
+GENERATIONS = 30
 WELL_FILLED = 0.99
-MAX_DEALS = 5
+MIN_GAIN = 0.001
 MEMO_WORDS = 300_000
 
 
@@ -164,6 +170,70 @@ def tokenised_pieces(documents: DataFrame, tokenizer_path: str, id_col: str, tex
     return docs.mapInArrow(tidy(pieces), schema)
 
 
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing over ``counts`` pieces of each length: its runs and its number of bins.
+
+    A run (start, bin, per_bin) says that the pieces from place ``start`` on, counted from the longest piece, fill the bins from ``bin`` on
+    with ``per_bin`` each. The best bin for a piece is also the best for the next one of that length while it has
+    room, so alike bins are filled together, and there are a few runs per length and room, however many pieces.
+    """
+    alike: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (first bin, number of bins)
+    mask, runs, n_bins, start = 0, [], 0, 0  # bit r of the mask: some bins have room r
+
+    def put(room: int, first: int, number: int) -> None:
+        nonlocal mask
+        if number and room:
+            alike[room].append((first, number))
+            mask |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            wide = mask >> length
+            if wide:
+                room = length + (wide & -wide).bit_length() - 1
+                first, number = alike[room].pop()
+                if not alike[room]:
+                    mask ^= 1 << room
+            else:
+                room, first, number = capacity, n_bins, -(-left // (capacity // length))
+                n_bins += number
+            per_bin = room // length
+            filled = min(number, left // per_bin)
+            if filled:
+                runs.append((start, first, per_bin))
+                put(room - per_bin * length, first, filled)
+                start, left = start + filled * per_bin, left - filled * per_bin
+            if left and filled < number:
+                runs.append((start, first + filled, left))
+                put(room - left * length, first + filled, 1)
+                start, left, filled = start + left, 0, filled + 1
+            put(room, first + filled, number - filled)
+    return np.array(runs, "int64").reshape(-1, 3), n_bins
+
+
+def seeded(loose: DataFrame, capacity: int) -> DataFrame:
+    """``loose`` (uid, length) with ``bin``, its bin in the best-fit decreasing packing of all its rows."""
+    counts = {row["length"]: row["n"] for row in loose.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    shared = loose.sparkSession.sparkContext.broadcast(best_fit_decreasing(counts, capacity)[0])
+    # places from the longest piece on: a range of rows per task, and the rows before it from one count per task
+    ranged = loose.repartitionByRange(F.desc("length"), "uid").sortWithinPartitions(F.desc("length"), "uid")
+    ranged = materialise(ranged.withColumn("at", F.monotonically_increasing_id()), "pack-order")
+    sizes = {row["task"]: row["n"] for row in ranged.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count("*").alias("n")).collect()}
+    before = np.concatenate(([0], np.cumsum([sizes.get(k, 0) for k in range(max(sizes, default=0) + 1)])))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, first, per_bin = shared.value.T
+        for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            place = before[at >> 33] + (at & ((1 << 33) - 1))
+            run = np.searchsorted(start, place, "right") - 1
+            bins = first[run] + (place - start[run]) // per_bin[run]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("length"), pa.array(bins)], ["uid", "length", "bin"])
+
+    return ranged.mapInArrow(tidy(places), "uid long, length long, bin long")
+
+
 class Packer:
     """Packings of one block: lists of bins, each a list of piece numbers."""
 
@@ -173,9 +243,9 @@ class Packer:
     def load(self, bin_: list[int]) -> int:
         return sum(map(self.lengths.__getitem__, bin_))
 
-    def fitness(self, bins: list[list[int]]) -> float:
-        """Mean squared fill: fewer bins, and among equally many the more unequal ones."""
-        return sum(self.load(b) ** 2 for b in bins) / (len(bins) * self.capacity**2) if bins else 0.0
+    def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
+        """Fewer bins are fitter, and among equally many those with the larger mean squared fill."""
+        return -len(bins), sum(self.load(b) ** 2 for b in bins) / (len(bins) * self.capacity**2) if bins else 0.0
 
     def best_fit(self, bins: list[list[int]], pieces: list[int]) -> list[list[int]]:
         """``bins`` with ``pieces`` added in order, each where it leaves the least room."""
@@ -225,13 +295,19 @@ class Packer:
         return self.best_fit([list(b) for b in ranked if id(b) not in gone], displaced)
 
     def evolve(self, given: list[list[list[int]]], population: int, generations: int) -> list[list[int]]:
-        """The fittest packing found from the given ones and new best-fit ones."""
+        """The fittest packing found from the given ones and new best-fit ones.
+
+        A given one that has as few bins as the tokens allow is returned as it is.
+        """
+        fewest = -(-sum(self.lengths) // self.capacity)
+        optimal = [x for x in given if len(x) <= fewest]
+        if optimal:
+            return max(optimal, key=self.fitness)
         all_pieces = list(range(len(self.lengths)))
         people = [*given, self.best_fit([], self.decreasing(all_pieces))]
         while len(people) < population:
             people.append(self.best_fit([], self.decreasing(all_pieces, 0.3)))
         ranked = sorted(((self.fitness(x), k, x) for k, x in enumerate(people)), reverse=True)
-        fewest = -(-sum(self.lengths) // self.capacity)
         for generation in range(generations):
             if len(ranked[0][2]) <= fewest:
                 break
@@ -279,6 +355,12 @@ def _epoch(rows: DataFrame, capacity: int, population: int, generations: int) ->
     return rows.groupBy("block", "island").applyInPandas(island, "block long, island int, uid long, length long, bin long, load long")
 
 
+def _size(packing: DataFrame) -> tuple[int, int]:
+    """The numbers of pieces and of bins of a packing; a bin is named by one of its pieces."""
+    row = packing.agg(F.count("*").alias("pieces"), F.count(F.when(F.col("uid") == F.col("bin"), 1)).alias("bins")).first()
+    return row["pieces"], row["bins"]
+
+
 def pack(
     documents: DataFrame,
     tokenizer_path: str,
@@ -299,16 +381,14 @@ def pack(
     pieces = materialise(
         tokenised_pieces(documents, tokenizer_path, id_col, text_col, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces"
     )
-    loose = pieces.where(F.col("length") < capacity).select("uid", "length")
+    loose = seeded(pieces.where(F.col("length") < capacity).select("uid", "length"), capacity)
 
-    def dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
-        return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block_pieces)))))
+    def dealt(rows: DataFrame, n: int) -> DataFrame:
+        return rows.withColumn("block", F.pmod(F.xxhash64("bin"), F.lit(max(1, -(-n // block_pieces)))))
 
-    starts = dealt(loose, "uid", loose.count()).select(
-        "block", F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), F.lit(0).alias("given"), "uid", "length", F.lit(None).cast("long").alias("bin")
-    )
-    first = materialise(_epoch(starts, capacity, population, generations), "pack-first")
     packed = ["uid", "length", "bin"]
+    starts = dealt(loose, loose.count()).select("block", F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), F.lit(0).alias("given"), *packed)
+    first = materialise(_epoch(starts, capacity, population, generations), "pack-first")
     arrivals = first.select("block", "island", F.lit(0).alias("given"), *packed)
     if islands > 1:
         arrivals = arrivals.unionAll(first.select("block", ((F.col("island") + 1) % islands).alias("island"), F.lit(1).alias("given"), *packed))
@@ -319,16 +399,16 @@ def pack(
 
     well_filled = F.col("load") >= WELL_FILLED * capacity
     packings, poor = [elite.where(well_filled)], elite.where(~well_filled)
-    for _ in range(MAX_DEALS):
-        n = poor.count()
-        if not n:
-            break
-        again = dealt(poor, "bin", n).select("block", F.lit(0).alias("island"), F.lit(0).alias("given"), *packed)
+    n, n_bins = _size(poor)
+    while n:
+        again = dealt(poor, n).select("block", F.lit(0).alias("island"), F.lit(0).alias("given"), *packed)
         after = materialise(_epoch(again, capacity, population, 2 * generations), "pack-again").select(*packed, "load")
         packings.append(after.where(well_filled))
         poor = after.where(~well_filled)
-        if n <= block_pieces:
+        saved = n_bins - _size(after)[1]
+        if n <= block_pieces or saved < max(1, MIN_GAIN * n_bins):
             break
+        n, n_bins = _size(poor)
     final = reduce(DataFrame.unionAll, [*packings, poor])
     in_bin = "PARTITION BY bin ORDER BY uid"
     placed = final.select(

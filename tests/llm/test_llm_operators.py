@@ -579,6 +579,60 @@ def test_evolution_keeps_every_piece_and_never_gets_worse():
     assert packer.fitness(best) >= packer.fitness(packer.best_fit([], packer.decreasing(list(range(300)))))
 
 
+def brute_best_fit(lengths, capacity):
+    """The bins of best-fit decreasing, piece by piece, looking at every bin."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [k for k, room in enumerate(rooms) if room >= n]
+        if fitting:
+            rooms[min(fitting, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(capacity - n)
+    return rooms
+
+
+SHAPES = {
+    "uniform": lambda rng: rng.randrange(1, 2048),
+    "thirds": lambda rng: rng.randrange(650, 720),
+    "over_half": lambda rng: rng.randrange(1030, 1200),
+    "one_length": lambda rng: 700 if rng.random() < 0.6 else rng.randrange(1, 60),
+    "short": lambda rng: rng.randrange(1, 40),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_best_fit_by_length_equals_piece_by_piece(shape):
+    rng = random.Random(shape)
+    lengths = sorted((SHAPES[shape](rng) for _ in range(900)), reverse=True)
+    runs, n_bins = packing.best_fit_decreasing(Counter(lengths), 2048)
+    loads = Counter()
+    for (start, first, per_bin), end in zip(runs.tolist(), [*runs[1:, 0].tolist(), len(lengths)]):
+        for place in range(start, end):
+            loads[first + (place - start) // per_bin] += lengths[place]
+    assert sorted(2048 - n for n in loads.values()) == sorted(brute_best_fit(lengths, 2048)) and n_bins == len(loads)
+    assert packing.best_fit_decreasing({}, 2048)[1] == 0
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_never_more_sequences_than_best_fit_decreasing_over_all(spark, monkeypatch, shape):
+    rng = random.Random(shape)
+    lengths = [SHAPES[shape](rng) for _ in range(3000)]
+    frame = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "tokenised_pieces", lambda *_: frame)
+    packed = packing.pack(docs(spark, []), "", block_pieces=512).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(3000))
+    ends = defaultdict(int)
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 2048
+    best_fit = len(brute_best_fit(lengths, 2048))
+    print(shape, len(ends), best_fit, math.ceil(sum(lengths) / 2048))
+    assert len(ends) <= best_fit
+    if shape == "thirds":  # three to a bin at best, where best fit leaves room for generations to find
+        assert len(ends) < best_fit
+
+
 # --- line runs -------------------------------------------------------------
 
 
