@@ -47,6 +47,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many ``_`` behind it as make it the name of none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out(row_id: Column, modulus: int, remainder: int = 2) -> Column:
     """Whether crc32 of ``row_id`` as text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

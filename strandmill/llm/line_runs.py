@@ -21,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import forget, materialise, materialise_at, small
+from strandmill.llm.common import BROADCAST_ROWS, forget, materialise, materialise_at, small, unused
 
 MIN_WORDS = 50
+HOT_SHARE = 1_000  # a name of more than one row in so many is joined by broadcast, so there are fewer of them
 _ODD_SPACE = r"^ | $|  |[\t\x0b\f\r]"
 
 
@@ -52,21 +53,38 @@ def line_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc", "h", "h2", "idx", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), F.col("line")).alias("l2"), count_words(F.col("line")).alias("words"))
 
 
+def _with_names(rows: DataFrame, names: DataFrame, key: list[str], dealt_by: list[str], n_rows: int) -> DataFrame:
+    """``rows`` that have a name, with it. ``names``: key, first, n (its rows among ``rows``, or more).
+
+    Names of very many rows are broadcast, and these rows are then dealt by ``dealt_by`` in place of the key, so that a
+    line that a third of all rows share is spread over all tasks.
+    """
+    hot_rows = max(1, n_rows // HOT_SHARE)
+    hot = F.broadcast(names.where(F.col("n") > hot_rows).select(*key, F.col("first").alias("hot_first")))
+    cold = names.where(F.col("n") <= hot_rows).select(F.col(key[0]).alias("cold_0"), F.col(key[1]).alias("cold_1"), F.col("first").alias("cold_first"))
+    lone = F.col("hot_first").isNull()
+    dealt = rows.join(hot, key, "left").withColumn("dealt", F.when(lone, F.col(key[0])).otherwise(F.xxhash64(*dealt_by)))
+    named = dealt.join(cold, (F.col("dealt") == F.col("cold_0")) & (F.col(key[1]) == F.col("cold_1")) & lone, "left")
+    return named.withColumn("first", F.coalesce("hot_first", "cold_first")).where(F.col("first").isNotNull()).select(*rows.columns, "first")
+
+
 def _copies(lines: DataFrame) -> DataFrame:
     """(doc, h, words): documents whose text a document with a smaller id has too."""
     docs = materialise(lines.groupBy("doc", "h", "h2").agg(F.sum("words").alias("words")), "run-docs")
     firsts = docs.groupBy("h", "h2").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return docs.join(firsts, ["h", "h2"]).where(~F.col("doc").eqNullSafe(F.col("first.doc"))).select("doc", "h", "words")
+    named = _with_names(docs, firsts, ["h", "h2"], ["doc"], docs.count())
+    return named.where(~F.col("doc").eqNullSafe(F.col("first.doc"))).select("doc", "h", "words")
 
 
-def _starts(lines: DataFrame) -> DataFrame:
+def _starts(lines: DataFrame, n_lines: int) -> DataFrame:
     """The lines that occur more than once, in order: pos, seg, doc, h, idx, upto, g, g_seg.
 
     ``pos`` numbers them by document and line, neighbours in a document by consecutive numbers; ``seg`` is the
     first pos of a stretch of neighbouring lines; ``upto`` sums the words of the stretch; ``g`` names the line.
     """
-    repeated = lines.groupBy("l1", "l2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    active = lines.join(repeated, ["l1", "l2"]).select("doc", "h", "idx", "l1", "l2", "words")
+    lines = lines.select("doc", "h", "idx", "l1", "l2", "words")
+    repeated = lines.groupBy("l1", "l2").agg(F.count("*").alias("n")).where("n > 1").withColumn("first", F.lit(True))
+    active = _with_names(lines, repeated, ["l1", "l2"], ["doc", "idx"], n_lines).drop("first")
     ordered = active.repartitionByRange("doc", "h").sortWithinPartitions("doc", "h", "idx").withColumn("pos", F.monotonically_increasing_id())
     placed = materialise(ordered, "run-lines").withColumn("stretch", F.col("idx") - F.col("pos"))
     placed = placed.selectExpr(
@@ -75,17 +93,14 @@ def _starts(lines: DataFrame) -> DataFrame:
         "sum(words) OVER (PARTITION BY doc, h, stretch ORDER BY idx ROWS UNBOUNDED PRECEDING) AS upto",
     )
     placed = materialise(placed.select("pos", "seg", "doc", "h", "idx", "words", "upto", "l1", "l2"), "run-starts")
-    return _named(placed, ["l1", "l2"], ["doc", "h", "idx", "words", "upto"])
-
+    return _named(placed, ["l1", "l2"], placed.count(), ["doc", "h", "idx", "words", "upto"])
 
-def _named(rows: DataFrame, key: list[str], keep: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """``rows`` whose key occurs more than once, named by the key's first place: g and its stretch g_seg.
 
-    ``most`` bounds the number of rows, if it is known.
-    """
+def _named(rows: DataFrame, key: list[str], most: int, keep: list[str] | None = None) -> DataFrame:
+    """``rows``, at most ``most``, whose key occurs more than once, named by the key's first place: g and its stretch g_seg."""
     names = rows.groupBy(*key).agg(F.min(F.struct("pos", "seg")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    names = names if most is None else small(names, most)
-    return rows.join(names, key).select("pos", "seg", *(keep or []), F.col("first.pos").alias("g"), F.col("first.seg").alias("g_seg"))
+    named = rows.join(F.broadcast(names), key) if most <= BROADCAST_ROWS else _with_names(rows, names, key, ["pos"], most)
+    return named.select("pos", "seg", *(keep or []), F.col("first.pos").alias("g"), F.col("first.seg").alias("g_seg"))
 
 
 def longest_runs(starts: DataFrame) -> DataFrame:
@@ -97,7 +112,7 @@ def longest_runs(starts: DataFrame) -> DataFrame:
         here, rows = levels[-1], sizes[-1]
         after = here.select((F.col("pos") - half).alias("pos"), "seg", F.col("g").alias("g2"))
         pairs = here.select("pos", "seg", "g").join(small(after, rows), ["pos", "seg"])
-        named, path = materialise_at(_named(pairs, ["g", "g2"], most=rows), "run-names")
+        named, path = materialise_at(_named(pairs, ["g", "g2"], rows), "run-names")
         levels.append(named)
         sizes.append(named.count())
         paths.append(path)
@@ -156,7 +171,7 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     if not lines.where("idx = 0").groupBy("doc", "h").count().where("count > 1").isEmpty():
         lines = lines.dropDuplicates(["doc", "h", "idx"])  # rows that repeat id and text are one document
     first = lines.alias("l").join(copies.alias("c"), F.col("l.doc").eqNullSafe(F.col("c.doc")) & (F.col("l.h") == F.col("c.h")), "left_anti")
-    starts = materialise(_starts(first), "run-active")
+    starts = materialise(_starts(first, lines.count()), "run-active")
     runs = longest_runs(starts)
     begins = runs.join(starts.select("pos", "doc", "h", "idx", (F.col("upto") - F.col("words")).alias("before")), "pos")
     ends = begins.withColumn("last", F.col("pos") + F.col("len") - 1).join(starts.select(F.col("pos").alias("last"), "upto"), "last")
@@ -171,20 +186,22 @@ def remove_repeated_runs(documents: DataFrame, *, id_col: str = "doc_id", text_c
     """``documents`` with later copies of runs taken out of the text, and ``__lines``, ``__removed`` (numbers of lines).
 
     A text that loses all its lines is empty. Lines end at a line feed; all other columns are
-    passed on. A null text stays null and has one empty line. A null id comes before all others; rows that repeat
-    both id and text are one document and are treated alike. Empty lines have no words and go
-    only as part of a longer run.
+    passed on, but for those named ``__lines`` or ``__removed``, which are replaced. A null text stays null and has one empty line. A null id
+    comes before all others; rows that repeat both id and text are one document and are treated alike. Empty lines have no
+    words and go only as part of a longer run.
     """
     decided = materialise(repeated_spans(documents, id_col=id_col, text_col=text_col, min_words=min_words), "run-spans")
-    decided = small(decided, decided.count()).select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
+    doc, h, spans, whole = unused(documents.columns, "__doc", "__h", "__spans", "__whole")
+    numbers = decided.agg(F.sum(F.size("spans") + 2).alias("n")).first()["n"] or 0
+    decided = small(decided, numbers).select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("spans").alias(spans), F.col("whole").alias(whole))
     text = F.col(text_col).cast("string")
-    joined = documents.join(decided, F.col(id_col).eqNullSafe(F.col("__doc")) & (_text_hash(text) == F.col("__h")), "left")
+    joined = documents.join(decided, F.col(id_col).eqNullSafe(F.col(doc)) & (_text_hash(text) == F.col(h)), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda line, i: ~F.exists(F.col("__spans"), lambda s: (i >= s["begin"]) & (i < s["end"])))
+    kept = F.filter(lines, lambda line, i: ~F.exists(F.col(spans), lambda s: (i >= s["begin"]) & (i < s["end"])))
     n_lines = F.when(text.isNull(), 1).otherwise(F.size(lines))
-    removed = F.when(F.col("__whole"), n_lines).otherwise(
-        F.coalesce(F.aggregate("__spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]), F.lit(0))
+    removed = F.when(F.col(whole), n_lines).otherwise(
+        F.coalesce(F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["begin"]), F.lit(0))
     )
     joined = joined.withColumns({"__lines": n_lines.cast("long"), "__removed": removed.cast("long")})
-    cleaned = F.when(F.col("__whole"), "").when(F.size("__spans") > 0, F.array_join(kept, "\n")).otherwise(text)
-    return joined.withColumn(text_col, cleaned).drop("__doc", "__h", "__spans", "__whole")
+    cleaned = F.when(F.col(whole), "").when(F.size(spans) > 0, F.array_join(kept, "\n")).otherwise(text)
+    return joined.withColumn(text_col, cleaned).drop(doc, h, spans, whole)

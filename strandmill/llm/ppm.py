@@ -42,6 +42,7 @@ BYTE, WORD = 0, 1
 BATCH_BYTES = 1 << 20
 HELD_ENTRIES = 1_500_000
 LISTS = ("unseen", "unseen_n", "rare", "rare_n")
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -279,7 +280,7 @@ def score_texts(
 
     ``training`` has the training ``text``s. A null text is empty and is scored as its end
     token. Without training texts every byte is equally likely, no token is known, and the base score is that of N = V = 0, log10(1) = 0. Repeated rows
-    are scored one by one. ``cache_nodes`` changes no score; ``max_nodes`` prunes the model, by default not at all.
+    are scored one by one. A column with the name of a result is replaced by it. ``cache_nodes`` changes no score; ``max_nodes`` prunes the model, by default not at all.
     """
     spark = documents.sparkSession
     counts = materialise(corpus_counts(training.select("text")), "lm-counts")
@@ -308,7 +309,10 @@ def score_texts(
     order = np.argsort(common)
     lexicon = spark.sparkContext.broadcast((common[order], common_n[order]))
 
-    others = [c for c in documents.columns if c != "text"]
+    # the caller's columns go along under names of their own, which no column of the work has
+    passed = [c for c in documents.columns if c.lower() not in ("text", *RESULTS)]
+    others = [f"passed_{k}" for k in range(len(passed))]
+    documents = documents.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(passed, others)), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached, cached_log = cache.value
@@ -362,7 +366,7 @@ def score_texts(
     )
     looked_up = of_words.unionAll(of_bytes).groupBy("row_number_").agg(*(F.sum(c).alias(c) for c in ("n_rare", "base_rare", "score_rest")))
     return scored.join(looked_up, "row_number_", "left").select(
-        *others,
+        *(F.col(o).alias(c) for c, o in zip(passed, others)),
         "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),

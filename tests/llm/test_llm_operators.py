@@ -653,6 +653,30 @@ def brute_runs(rows, min_words):
     return {d: ("\n".join(x for k, x in enumerate(lines) if k not in gone[d]), len(lines), len(gone[d])) for d, lines in seqs.items()}
 
 
+def test_results_replace_clashing_columns_and_others_are_passed_on(spark):
+    names = ["N_TOKENS", "score", "n_common", "score_cached", "unseen", "row_number_", "passed_0", "__doc", "__h", "__spans", "__whole", "__lines", "__removed"]
+    table = docs(spark, [(k, "a b c\nd e f" if k < 3 else "x y") for k in range(5)])
+    clashing = table.select("doc_id", "text", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
+    by_id = lambda frame: {r["doc_id"]: r.asDict() for r in frame.collect()}
+    scored, plain = by_id(ppm.score_texts(clashing, table)), by_id(ppm.score_texts(table.select("doc_id", "text"), table))
+    cleaned, bare = by_id(line_runs.remove_repeated_runs(clashing, min_words=2)), by_id(line_runs.remove_repeated_runs(table.select("doc_id", "text"), min_words=2))
+    for k in range(5):
+        passed = {n: f"{n}{k}" for n in names}
+        assert scored[k] == {**{n: v for n, v in passed.items() if n not in ("N_TOKENS", "score")}, **plain[k]}
+        assert cleaned[k] == {**passed, **bare[k]}
+
+
+@pytest.mark.parametrize("share", [3, 50])
+def test_repeated_runs_with_split_hot_lines(spark, monkeypatch, share):
+    monkeypatch.setattr(line_runs, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_runs, "HOT_SHARE", share)
+    rng = random.Random(share)
+    rows = [(d, "\n".join(rng.choice(["a b", "a b", "a b", "c", "d e f", "g h"]) for _ in range(rng.choice([1, 3, 9])))) for d in range(10)]
+    rows += [(10 + d, rows[3][1]) for d in range(6)]
+    got = {r["doc_id"]: (r["text"], r["__lines"], r["__removed"]) for r in line_runs.remove_repeated_runs(docs(spark, rows).drop("__lines"), min_words=5).collect()}
+    assert got == brute_runs(rows, 5)
+
+
 @pytest.mark.parametrize("seed,kinds,min_words", [(1, 2, 4), (2, 3, 9), (3, 6, 1)])
 def test_repeated_runs_equal_brute_force(spark, seed, kinds, min_words):
     rng = random.Random(seed)
