@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialise, table
+from strandmill.llm.common import materialise, table, unused
 from strandmill.llm.decontaminate import contamination
 from strandmill.llm.language_id import UNDETERMINED, identify, learn_profiles
 from strandmill.llm.line_runs import remove_repeated_runs
@@ -23,10 +23,11 @@ BROADCAST_IDS = 1_000_000
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the ids of ``dropped``; ids are broadcast if they are few enough."""
-    ids = materialise(dropped.select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    (name,) = unused(docs.columns, "__dropped")
+    ids = materialise(dropped.select(F.col("doc_id").alias(name)).distinct(), "dropped")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
