@@ -4,6 +4,7 @@ import socket
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.catalogue.text import tool_empty_partitions
 from strandmill.operators.tools import (
     ToolError,
     ToolSpec,
@@ -155,3 +156,12 @@ def test_partition_functions(numbers):
         yield pd.DataFrame({"n": [sum(len(frame) for frame in frames)]})
 
     assert sorted(r.n for r in map_partitions(numbers, sizes, "n INT").collect()) == [8333, 8333, 8334]
+
+
+def test_lines_of_one_kind_are_dealt_over_many_tasks_beside_empty_ones(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).select(F.concat(F.lit("the same\nthe line "), "id", F.lit("\nno match")).alias("text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    found = tool_empty_partitions(spark, str(tmp_path))
+    assert output(found.select(F.col("line").alias("piece"))) == sorted(["the same"] * 400 + [f"the line {n}" for n in range(400)])
+    sizes = [row["count"] for row in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 16 and max(sizes) <= 200 and found.rdd.getNumPartitions() >= 2 * len(sizes)
