@@ -120,14 +120,9 @@ def warc_nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", "warc_date", F.concat(F.lit("<urn:outer:"), "record_id", F.lit(">")).alias("record_id"), "content_type",
         warc.clear_metadata().alias("metadata"), body.cast("binary").alias("content"),
     )
-    path, key = fresh_dir(spark, "warc"), "spark.sql.files.maxPartitionBytes"
+    path = fresh_dir(spark, "warc")
     warc.write_warc(outer, path, line_end="\n")
-    before = spark.conf.get(key)
-    spark.conf.set(key, "64k")
-    try:
-        records = warc.read_warc(spark, path)
-    finally:
-        spark.conf.set(key, before)
+    records = warc.read_warc(spark, path, split_bytes="64k")
     return records.select("record_id", warc.content_text().alias("text"))
 
 

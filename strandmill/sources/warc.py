@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import unquote
 
@@ -232,6 +233,11 @@ def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         if tail:
             ready.append(place | {"kind": TAIL, "content": b"".join(tail)})
         ready.append(place | {"kind": END, "record_number": number + 1, "n_bytes": n_bytes})
+        # a task may read many small splits
+        size += sum(map(len, tail)) + 512
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
+            ready, size = [], 0
     if ready:
         yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
@@ -356,6 +362,18 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(_records_of_partition, PARSED)
 
 
+@contextmanager
+def _splits_of(spark: SparkSession, split_bytes: str | None) -> Iterator[None]:
+    """Scans that are planned inside are split at ``split_bytes``."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, split_bytes or before)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_warc(
     spark: SparkSession,
     path: Paths,
@@ -363,6 +381,7 @@ def read_warc(
     numbered: bool = True,
     with_truncated: bool = False,
     large_gzip: int = LARGE_GZIP,
+    split_bytes: str | None = None,
 ) -> DataFrame:
     """One row per record; ``record_number`` counts from 0 in each file.
 
@@ -373,6 +392,9 @@ def read_warc(
     read: numbers then count inside a split, and a record that reaches into another split fails the query.
     ``splittable=False`` reads plain files whole, without a table either.
 
+    ``split_bytes`` sets the size of the splits of plain files that are numbered, by default the session's. Smaller splits do
+    not make more tasks or files: a task reads several, as much together as the session's size asks for.
+
     The cut-off last record of a damaged file is dropped, or kept and marked by
     ``with_truncated``, which adds a ``truncated`` column.
     """
@@ -382,7 +404,7 @@ def read_warc(
     packed = [name for name in names if name.endswith((".gz", ".bz2", ".zst"))]
     found = []
     if plain and splittable and numbered:
-        found.append(_settled(spark, plain if packed else path))
+        found.append(_settled(spark, plain if packed else path, split_bytes))
     elif plain and splittable:
         problem = F.concat(F.lit("a record of "), "file_path", F.lit(" does not end in its split; read the file with numbers or with splittable=False"))
         inner = F.col("missing").isNotNull() & ~F.col("ends_file")
@@ -454,13 +476,19 @@ def _claims(blocks: list[int], sizes: dict[int, int], missing: dict[tuple[int, i
     return claims
 
 
-def _settled(spark: SparkSession, path: Paths) -> DataFrame:
+def _settled(spark: SparkSession, path: Paths, split_bytes: str | None = None) -> DataFrame:
     """The records of split plain files, numbered, with those that reach over the end of a split put together.
 
     Only numbers reach the driver: of files in which a record lacks bytes, a row per split.
     """
     key = F.xxhash64("file_path").alias("file_key")
-    parsed = _written(_parsed(_pieces(spark, path)))
+    n_tasks = max(1, _pieces(spark, path).rdd.getNumPartitions()) if split_bytes else None
+
+    def written(pieces: DataFrame) -> DataFrame:
+        with _splits_of(spark, split_bytes):
+            return _written(_parsed(pieces.coalesce(n_tasks) if n_tasks else pieces))
+
+    parsed = written(_pieces(spark, path))
     rows = parsed.filter("kind = 'record' AND missing IS NOT NULL").select(key, "block", "claimed", "missing").collect()
     sizes: dict[int, dict[int, int]] = {}
     if rows:
@@ -485,7 +513,7 @@ def _settled(spark: SparkSession, path: Paths) -> DataFrame:
         wanted = spark.createDataFrame(fresh, CLAIMS).select(F.col("file_key").alias("k"), F.col("block").alias("b"), F.col("claimed").alias("c"))
         # the same splits as before, since the same files are listed
         again = _pieces(spark, path).join(F.broadcast(wanted), (F.xxhash64("source") == F.col("k")) & (F.col("block") == F.col("b")))
-        latest = _written(_parsed(again.withColumn("claimed", F.col("c")).drop("k", "b", "c")))
+        latest = written(again.withColumn("claimed", F.col("c")).drop("k", "b", "c"))
         for file, block, claimed, _ in fresh:
             known[file][block, claimed] = 0
         rows = latest.filter("kind = 'record' AND missing IS NOT NULL").select(key, "block", "claimed", "missing").collect()

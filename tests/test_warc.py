@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.catalogue.archives import warc_nested_records
 from strandmill.operators.links import (
     html_tags,
     http_body,
@@ -283,3 +284,23 @@ def test_warc_outlinks(spark, tmp_path):
     assert sorted((r.record_id, r.link) for r in links) == [
         ("<urn:0>", "http://h.com/b�"), ("<urn:0>", "http://h.com/c"),
     ]
+
+
+def test_small_splits_are_read_by_few_tasks(spark, tmp_path):
+    rows = spark.range(0, 60, 1, 2).selectExpr("id AS page_id", "'http://h/' || id AS url", "repeat('html of ' || id || '\n', 3000) AS html")
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    found = warc_nested_records(spark, str(tmp_path))
+    # 60 records of over 60 kB in splits of 64 kB, which few tasks read in each round
+    assert len(found.inputFiles()) <= 40
+    texts = {row.record_id: row.text for row in found.collect()}
+    assert len(texts) == 60 and texts["<urn:outer:<urn:page:7>>"].count("html of 7\n") == 6000
+
+
+def test_split_size_does_not_change_records(spark, tmp_path):
+    rng = random.Random(6)
+    payloads = [bytes(rng.choices(range(32, 127), k=rng.randrange(400))) + b"\n" + record(b"response", b"inner" * rng.randrange(40)) for _ in range(60)]
+    (tmp_path / "a").write_bytes(b"".join(record(b"response", body, number=n) + b"\r\n\r\n" for n, body in enumerate(payloads)))
+    for size in ("150b", "1k", None):
+        df = warc.read_warc(spark, str(tmp_path), split_bytes=size)
+        assert bodies(df) == payloads
+        assert [r.record_number for r in df.orderBy("record_number").collect()] == list(range(60))
