@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import chain
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -50,7 +51,7 @@ BATCH_BYTES = 8 << 20
 
 # Fixed value: how a member of a gzip file begins.
 MEMBER = b"\x1f\x8b\x08"
-MEMBER_BYTES = 256 << 20  # more than that is not inflated at once
+PACKED, CHUNK = 64 << 10, 1 << 20  # of a member and of its content, inflated at once
 LARGE_GZIP = 32 << 20
 # No codec takes a file for which the last ending before its name, in the order of reversed names, is not its own; text
 # files without a codec are split. The second name of an option is its name in Spark's shaded client.
@@ -155,6 +156,29 @@ def split_records(pieces: Iterable[bytes]) -> Iterator[dict]:
         yield _as_row(lines, data[at:], at + length - len(data) if header else -1, max(0, at - len(data)))
 
 
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one; pieces may be large, so no batch becomes Python values at once."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _cut_chunks(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """Like :func:`_cut`, of data that comes in chunks; only the piece that has not ended is held."""
+    mark = b"\n" + MARK
+    held: list[bytes] = []
+    end = b""  # of what is held, where a separator may begin
+    for chunk in chunks:
+        if mark in end + chunk:
+            *whole, rest = b"".join([*held, chunk]).split(mark)
+            yield from whole
+            held, chunk = [], rest
+            end = b""
+        held.append(chunk)
+        end = (end + chunk)[1 - len(mark) :]
+    yield b"".join(held)
+
+
 def _without_tail(pieces: Iterable[bytes], claimed: int, tail: list[bytes]) -> Iterator[bytes]:
     """The pieces of a split after its first ``claimed`` bytes, which belong to an earlier split's record and go to ``tail``.
 
@@ -200,7 +224,7 @@ def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     A ``record`` is numbered inside its split and may miss bytes if it is the last one. ``tail`` holds the
     first ``claimed`` bytes of a split. ``end`` says how many records (``record_number``) and bytes a split has.
     """
-    upcoming = (row for batch in batches for row in batch.to_pylist())
+    upcoming = _rows(batches)
     row = next(upcoming, None)
     ready: list[dict] = []
     size = 0
@@ -242,28 +266,60 @@ def _records_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
 
-def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of each gzip member, from the file part cut where members seem to begin.
+def _inflated(pieces: Iterator[bytes]) -> Iterator[Iterator[bytes]]:
+    """The content of each gzip member in chunks, from the file part cut where members seem to begin.
 
-    The mark of a member may turn up by chance inside another one, which then goes on with the next piece.
-    Raises ``zlib.error`` if the pieces are not whole members or if a member is over ``MEMBER_BYTES``.
+    The mark of a member may turn up by chance inside another one, which then goes on with the next piece. A member is to be
+    used up before the next one is asked for. Raises ``zlib.error`` if the pieces are not whole members.
     """
-    for piece in pieces:
-        member, data = zlib.decompressobj(wbits=31), b""
-        packed: bytes | None = MEMBER + piece
-        parts, size = [], 0
-        while packed is not None:
-            data = member.decompress(packed, MEMBER_BYTES - size + 1)
-            parts.append(data)
-            size += len(data)
-            if size > MEMBER_BYTES or member.unused_data:
-                raise zlib.error("too long, or followed by other bytes")
-            packed = None if member.eof else next(pieces, None)
-            if packed is not None:
-                packed = MEMBER + packed
+
+    def chunks(piece: bytes | None) -> Iterator[bytes]:
+        member = zlib.decompressobj(wbits=31)
+        while piece is not None:
+            for packed in chain([MEMBER], (piece[k : k + PACKED] for k in range(0, len(piece), PACKED))):
+                if member.eof:
+                    raise zlib.error("followed by other bytes")
+                more = True
+                while more and not member.eof:
+                    data = member.decompress(packed, CHUNK)
+                    packed = member.unconsumed_tail
+                    if data:
+                        yield data
+                    # a full chunk may leave output inside the member
+                    more = bool(packed) or len(data) == CHUNK
+                if member.unused_data:
+                    raise zlib.error("followed by other bytes")
+            piece = None if member.eof else next(pieces, None)
         if not member.eof:
             raise zlib.error("not whole")
-        yield b"".join(parts)
+
+    for piece in pieces:
+        yield chunks(piece)
+
+
+def _records_of_member(chunks: Iterator[bytes]) -> Iterator[dict]:
+    """The records of a member, as it is inflated; raises ``zlib.error`` where it turns out not to hold whole records."""
+    first = last = b""
+
+    def looked_at() -> Iterator[bytes]:
+        nonlocal first, last
+        for chunk in chunks:
+            if len(first) < len(MARK):
+                first += chunk[: len(MARK) - len(first)]
+                if not MARK.startswith(first):
+                    raise zlib.error("not of whole records")
+            last = chunk[-1:]
+            yield chunk
+
+    for record in split_records(_cut_chunks(looked_at())):
+        if record["missing"] is not None:
+            # nothing in the member at all is no record either
+            if first:
+                raise zlib.error("not of whole records")
+            continue
+        yield record
+    if first and (first != MARK or last != b"\n"):
+        raise zlib.error("not of whole records")
 
 
 def _records_of_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +327,7 @@ def _records_of_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     An ``end`` row has ``missing`` set if the split is not made of members that hold whole records; its records then do not count.
     """
-    upcoming = (row for batch in batches for row in batch.to_pylist())
+    upcoming = _rows(batches)
     row = next(upcoming, None)
     ready: list[dict] = []
     size = 0
@@ -293,13 +349,8 @@ def _records_of_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         number, whole = 0, opened
         of_split = pieces()
         try:
-            for data in _inflated(of_split) if opened else ():
-                records = split_records(_cut(data))
-                if data and not (data.startswith(MARK) and data.endswith(b"\n")):
-                    raise zlib.error("not of whole records")
-                for record in records if data else ():
-                    if record["missing"] is not None:
-                        raise zlib.error("not of whole records")
+            for chunks in _inflated(of_split) if opened else ():
+                for record in _records_of_member(chunks):
                     ready.append(record | place | {"kind": RECORD, "record_number": number})
                     number += 1
                     size += record["content_length"] + 512

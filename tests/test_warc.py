@@ -1,6 +1,8 @@
 import gzip
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +306,49 @@ def test_split_size_does_not_change_records(spark, tmp_path):
         df = warc.read_warc(spark, str(tmp_path), split_bytes=size)
         assert bodies(df) == payloads
         assert [r.record_number for r in df.orderBy("record_number").collect()] == list(range(60))
+
+
+def peak_of(parse, *batches):
+    """The bytes that Python takes at most beside the batches, and the number of records."""
+    tracemalloc.start()
+    try:
+        n = sum(sum(kind == "record" for kind in found.column("kind").to_pylist()) for found in parse(iter(batches)))
+        return tracemalloc.get_traced_memory()[1], n
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_long_member_is_inflated_in_parts(spark):
+    text = b"".join(record(b"response", b"%d " % n * 2000, number=n) + b"\r\n\r\n" for n in range(6000))
+    pieces = gzip.compress(text, 1).split(warc.MEMBER)
+    schema = pa.schema([("piece", pa.binary()), ("source", pa.string()), ("block", pa.int64())])
+    batch = pa.RecordBatch.from_pylist([{"piece": piece, "source": "a", "block": 0} for piece in pieces], schema=schema)
+    peak, n = peak_of(warc._records_of_members, batch)
+    assert n == 6000 and len(text) > 50 << 20 and peak < 30 << 20
+
+
+def test_a_batch_of_pieces_is_taken_row_by_row(spark):
+    pieces = [record(b"response", b"%d " % n * 2000, number=n).removeprefix(warc.MARK if n else b"") for n in range(6000)]
+    place = {"source": "a", "block": 0, "claimed": 0, "ends_file": True}
+    schema = pa.schema([("piece", pa.binary()), ("source", pa.string()), ("block", pa.int64()), ("claimed", pa.int64()), ("ends_file", pa.bool_())])
+    batch = pa.RecordBatch.from_pylist([{"piece": piece, **place} for piece in pieces], schema=schema)
+    del pieces
+    peak, n = peak_of(warc._records_of_partition, batch)
+    assert n == 6000 and batch.nbytes > 50 << 20 and peak < 30 << 20
+
+
+def test_a_member_in_chunks_of_any_size(monkeypatch):
+    """Members by chance whole records or not, with separators over the ends of chunks."""
+    rng = random.Random(7)
+    schema = pa.schema([("piece", pa.binary()), ("source", pa.string()), ("block", pa.int64())])
+    payloads = [b"\nWARC/1.0 x" * rng.randrange(4) + bytes(rng.choices(b"ab\n", k=rng.randrange(90))) for _ in range(40)]
+    whole = b"".join(record(b"response", body, number=n) + b"\r\n\r\n" for n, body in enumerate(payloads))
+    for text, missing in ((whole, None), (b"", None), (whole + b"x", 1), (b"junk\n" + whole, 1), (b"WAR", 1), (whole[:-60] + b"\n", 1)):
+        rows = [{"piece": piece, "source": "a", "block": 0} for piece in gzip.compress(text).split(warc.MEMBER)]
+        for chunk, packed in ((1, 1), (5, 3), (1 << 20, 64 << 10)):
+            monkeypatch.setattr(warc, "CHUNK", chunk)
+            monkeypatch.setattr(warc, "PACKED", packed)
+            found = [row for batch in warc._records_of_members(iter([pa.RecordBatch.from_pylist(rows, schema=schema)])) for row in batch.to_pylist()]
+            assert found[-1]["kind"] == "end" and found[-1]["missing"] == missing
+            if missing is None:
+                assert [row["content"] for row in found[:-1]] == (payloads if text else [])
